@@ -11,26 +11,34 @@ SLICES = 200
 
 
 def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """How often each value of each measure occurs in each group."""
+    """How often each value of each measure, or NULL, occurs in each group.
+
+    Several branches read this frame. None filters it on a key or drops ``n``,
+    which would give each branch a shuffle of its own.
+    """
     rows = df.dropna(subset=list(by)) if by else df
     long = rows.select(*by, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(
         list(by), list(measures), "measure", "value"
     )
-    return long.where(F.col("value").isNotNull()).groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _values() -> Column:
+    """Occurrences that take a rank; NULL takes none."""
+    return F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0))
 
 
 def _with_slice(tally: DataFrame) -> DataFrame:
-    # At most one row per measure. The test of n keeps the tally as the main
-    # branch has it, so that one shuffle serves both.
     grid = [i / SLICES for i in range(1, SLICES)]
     cuts = (
         tally.where(F.col("n") > 0)
         .groupBy("measure")
         .agg(F.array_distinct(F.percentile_approx("value", grid)).alias("cuts"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cuts"))).alias("cuts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cuts"))).alias("cuts"))  # a row per measure
     )
     below = F.filter(F.col("_cuts")[F.col("measure")], lambda cut: cut < F.col("value"))
-    return tally.withColumn("_cuts", cuts.scalar()).withColumn("slice", F.size(below)).drop("_cuts")
+    sliced = tally.withColumn("_cuts", cuts.scalar()).withColumn("slice", F.coalesce(F.size(below), F.lit(0)))
+    return sliced.withColumn("n", _values()).drop("_cuts")
 
 
 def _wanted_ranks(probs: Sequence[float]) -> Column:
@@ -85,11 +93,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], measures: Sequence[str], p
 
 
 def medians(df: DataFrame, by: Sequence[str], measures: Sequence[str], prefix: str = "median_") -> DataFrame:
-    """One row per group that has any value, one median column per measure."""
-    long = exact_quantiles(df, by, measures, [0.5])
-    return long.groupBy(*by).agg(
+    """One row per group: its rows ``n`` and the median of each measure, NULL where no row has a value."""
+    tally = _tally(df, by, measures)
+    # Every row counts once under each measure, so any measure gives the rows.
+    of_one = F.when(F.col("measure") == measures[0], F.col("n"))
+    groups = tally.groupBy(*by).agg(F.sum(of_one).alias("n"))
+    wide = _quantiles(tally, by, [0.5]).groupBy(*by).agg(
         *[F.max(F.when(F.col("measure") == m, F.col("quantile"))).alias(f"{prefix}{m}") for m in measures]
     )
+    return groups.join(wide, list(by), "left")
 
 
 def box_statistics(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -101,8 +113,8 @@ def box_statistics(df: DataFrame, by: Sequence[str], measures: Sequence[str]) ->
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in quartiles.items()]
     )
     summary = tally.groupBy(*by, "measure").agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.sum(_values()).alias("n"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum(_values())).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )

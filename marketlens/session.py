@@ -23,14 +23,14 @@ _local_dirs: dict[str, str] = {}
 
 
 def build_session(app_name: str = "marketlens", master: str | None = None, **conf: str) -> SparkSession:
-    """Get or create a session with the settings above; ``conf`` uses ``_`` for ``.``."""
+    """Get or create a session with the settings above and any others given."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
+        builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
