@@ -245,7 +245,9 @@ QUERIES: dict[str, Query] = {
     "stage_median_by_status": _on_fact(funnel.stage_medians),
     # Map marks
     "scaled_marks": _then(_staged(STATE_METRICS, "state_metrics"), marks.state_bubbles),
-    "scaled_marks_flow": _then(_staged(ROUTES, "routes"), marks.flow_arcs),
+    "scaled_marks_flow": _then(
+        _staged(ROUTES, "routes"), lambda routes: marks.flow_arcs(routes, "avg_delay_days")
+    ),
     "scaled_marks_seller": _round(_then(_staged(LEADERBOARD, "sellers"), marks.seller_points), 3, "radius"),
     "delay_divergence": _then(_staged(DELAYS, "delays"), marks.delay_points),
 }

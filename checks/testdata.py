@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import pad_zip
-from marketlens.plans.etl import build_fact, geo_centroids
-from marketlens.session import new_table_path, tune
+from marketlens.plans.etl import geo_centroids, staged_fact
+from marketlens.session import new_table_path, stage, tune
 from marketlens.sources.states import STATES
 from marketlens.sources.tables import stored_bytes, write_fact
 
@@ -223,7 +223,9 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build(spark: SparkSession, sf_dir: str) -> str:
     """Build the fact from the supplied tables, store it in the shared folder, return its path."""
     path = new_table_path(spark, "orders_enriched")
-    write_fact(build_fact(raw_tables(spark, sf_dir)), path, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
+    raw = raw_tables(spark, sf_dir)
+    prepared = staged_fact(raw, stage(geo_centroids(raw["geolocation"]), "geo_centroids"))
+    write_fact(prepared, path, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
     return path
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 200
+SLICES = 256
 
 
 def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -29,11 +29,17 @@ def _values() -> Column:
 
 
 def _with_slice(tally: DataFrame) -> DataFrame:
-    grid = [i / SLICES for i in range(1, SLICES)]
+    """Number the slice each value lies in, by cuts at a sample of the distinct values.
+
+    The sample takes one value of each hash class. It has a fixed size, and a
+    repeated run takes the same values, so all branches agree on the slices.
+    """
+    hashed = F.xxhash64("value")
+    sample = tally.where(F.col("n") > 0).groupBy("measure", F.pmod(hashed, F.lit(SLICES)).alias("class"))
     cuts = (
-        tally.where(F.col("n") > 0)
+        sample.agg(F.min_by("value", hashed).alias("cut"))
         .groupBy("measure")
-        .agg(F.array_distinct(F.percentile_approx("value", grid)).alias("cuts"))
+        .agg(F.sort_array(F.collect_set("cut")).alias("cuts"))  # at most SLICES
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cuts"))).alias("cuts"))  # a row per measure
     )
     below = F.filter(F.col("_cuts")[F.col("measure")], lambda cut: cut < F.col("value"))
@@ -84,10 +90,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], measures: Sequence[str], p
 
     The builtin exact percentile keeps every distinct value of a group in one
     buffer. Here values are first counted, which folds hot values, then cut into
-    slices at approximate quantiles of the distinct values. Slice totals tell
-    which slice holds a wanted rank, and only those slices are sorted. The cuts
-    affect balance alone, not the result. NULL values and rows whose group is
-    NULL do not count.
+    slices of about as many distinct values each. Slice totals tell which slice
+    holds a wanted rank, and only those slices are sorted. NULL values and rows
+    whose group is NULL do not count.
     """
     return _quantiles(_tally(df, by, measures), by, probs)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.spherical import haversine_km
 from marketlens.functions.timing import days_between, hours_between, month_start
+from marketlens.session import stage
 
 ITEM_COLUMNS = ["order_id", "order_item_id", "product_id", "seller_id"]
 ORDER_COLUMNS = [
@@ -146,18 +147,22 @@ def order_side(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
     )
 
 
-def star_join(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
+def star_join(raw: Mapping[str, DataFrame], centroids: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Items with everything known about them, in stored types.
 
     The narrow sides come first: the wide order attributes join last and are not
-    shuffled again.
+    shuffled again. ``orders`` is a stored ``order_side``. Given one, both inputs of
+    the last join are plain shuffles, which adaptive execution can split where one
+    order has very many items; straight from its own joins it could not.
     """
+    if orders is None:
+        orders = order_side(raw, centroids)
     joined = (
         raw["order_items"]
         .select(*ITEM_COLUMNS, "shipping_limit_date", "price", "freight_value")
         .join(product_side(raw), "product_id")
         .join(seller_side(raw, centroids), "seller_id")
-        .join(order_side(raw, centroids), "order_id")
+        .join(orders, "order_id")
     )
     return joined.select(*[F.col(c).cast(STORED_TYPES[c]).alias(c) if c in STORED_TYPES else c for c in FACT_COLUMNS])
 
@@ -198,8 +203,20 @@ def with_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("seller_customer_distance_km", distance.cast("float"))
 
 
-def build_fact(raw: Mapping[str, DataFrame], centroids: DataFrame | None = None) -> DataFrame:
+def with_measures(joined: DataFrame) -> DataFrame:
+    """All derived columns of the fact."""
+    return with_distance(with_lifecycle(with_item_value(joined)))
+
+
+def build_fact(
+    raw: Mapping[str, DataFrame], centroids: DataFrame | None = None, orders: DataFrame | None = None
+) -> DataFrame:
     """The fact ``orders_enriched``: one row per order item."""
     if centroids is None:
         centroids = geo_centroids(raw["geolocation"])
-    return with_distance(with_lifecycle(with_item_value(star_join(raw, centroids))))
+    return with_measures(star_join(raw, centroids, orders))
+
+
+def staged_fact(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
+    """The fact over a stored order side; ``centroids`` should be stored too."""
+    return build_fact(raw, centroids, stage(order_side(raw, centroids), "order_side"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.plans.etl import build_fact, geo_centroids
+from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.quality import LATE_ITEMS, quality_checks
 from marketlens.plans.rollups import build_rollups
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
@@ -33,7 +33,7 @@ def prepare(
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")
-    fact = write_fact(build_fact(raw, centroids), f"{folder}/orders_enriched.parquet", item_bytes)
+    fact = write_fact(staged_fact(raw, centroids), f"{folder}/orders_enriched.parquet", item_bytes)
     write_tables(build_rollups(fact), folder)
     return quality_checks(fact, raw["order_items"], centroids, late_items=late_items)
 
