@@ -180,8 +180,11 @@ timed AS (
 fact AS (
     SELECT * EXCLUDE (half_lat, half_lng, cosines),
            coalesce(delay_days > 0, false) AS is_late,
-           (2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(half_lat * half_lat + cosines * half_lng * half_lng))))::FLOAT
-               AS seller_customer_distance_km
+           CASE WHEN seller_lat IS NOT NULL AND seller_lng IS NOT NULL
+                 AND customer_lat IS NOT NULL AND customer_lng IS NOT NULL
+                THEN (2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE,
+                      sqrt(half_lat * half_lat + cosines * half_lng * half_lng))))::FLOAT
+           END AS seller_customer_distance_km
     FROM timed
 )"""
 

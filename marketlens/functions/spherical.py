@@ -14,5 +14,7 @@ def haversine_km(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
     half_lat = F.sin(F.radians(b_lat - a_lat) / 2)
     half_lng = F.sin(F.radians(b_lng - a_lng) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(a_lat)) * F.cos(F.radians(b_lat)) * half_lng * half_lng
-    # Rounding can push antipodal points a hair past 1.
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    # Rounding can push antipodal points a hair past 1. Not least(), which would
+    # turn a missing coordinate into 1.
+    half_angle = F.asin(F.when(chord > 1, F.lit(1.0)).otherwise(F.sqrt(chord)))
+    return F.lit(2 * EARTH_RADIUS_KM) * half_angle

@@ -13,13 +13,15 @@ SLICES = 256
 def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """How often each value of each measure, or NULL, occurs in each group.
 
-    Several branches read this frame. None filters it on a key or drops ``n``,
-    which would give each branch a shuffle of its own.
+    Several branches read this frame and share its one shuffle. None may filter it
+    on a key or drop ``n``; nor is it an ``unpivot``, whose copies are not recognised
+    as the same.
     """
-    rows = df.dropna(subset=list(by)) if by else df
-    long = rows.select(*by, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(
-        list(by), list(measures), "measure", "value"
-    )
+    for key in by:
+        # Said as a constraint the optimizer knows, or a join would add it to one branch.
+        df = df.where(F.col(key).isNotNull())
+    pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+    long = df.select(*by, F.inline(F.array(*pairs)))
     return long.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

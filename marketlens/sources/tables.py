@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 MONTH_KEY = "order_year_month"
 # Below this a folder per month would only make small files.
 PARTITION_BY_MONTH_FROM_BYTES = 64 * 1024**3
+ADVISORY_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+FILE_SHUFFLE_BYTES = "512m"  # in the shuffle before the write; the file is a fraction of it
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> str:
@@ -27,15 +29,20 @@ def write_fact(fact: DataFrame, path: str, input_bytes: int) -> DataFrame:
     """Write the fact once for all queries and read it back.
 
     A large fact gets a folder per purchase month, which date filters prune.
-    ``rebalance`` gathers a month into few files and splits a month that is too
-    big for one task, so neither small files nor a giant one appear.
+    ``rebalance`` evens out the files: it gathers a month into few files, splits a
+    month too big for one task, and spreads a small fact over all cores.
     """
-    if input_bytes >= PARTITION_BY_MONTH_FROM_BYTES:
-        by_month = fact.hint("rebalance", F.col(MONTH_KEY))
-        by_month.write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
-    else:
-        fact.write.mode("overwrite").parquet(path)
-    return fact.sparkSession.read.schema(fact.schema).parquet(path)
+    spark = fact.sparkSession
+    monthly = input_bytes >= PARTITION_BY_MONTH_FROM_BYTES
+    spread = fact.hint("rebalance", F.col(MONTH_KEY)) if monthly else fact.hint("rebalance")
+    usual = spark.conf.get(ADVISORY_SIZE)
+    spark.conf.set(ADVISORY_SIZE, FILE_SHUFFLE_BYTES)
+    try:
+        writer = spread.write.mode("overwrite")
+        (writer.partitionBy(MONTH_KEY) if monthly else writer).parquet(path)
+    finally:
+        spark.conf.set(ADVISORY_SIZE, usual)
+    return spark.read.schema(fact.schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):
