@@ -8,9 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.testdata import centroids, fact, raw_tables
+from checks.testdata import centroids, fact, order_rollup, raw_tables
 from marketlens.functions.text import pad_zip
-from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters
+from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest
 from marketlens.plans import (
     category,
     cohorts,
@@ -49,6 +49,7 @@ ALL_KEYS = FilterSpec(
     statuses=PICKED.statuses,
     min_value=100.5,
 )
+MANY = FilterSpec(date_from=WINDOW.date_from, date_to=WINDOW.date_to, min_value=100.5)
 SOUTH_SELLERS = FilterSpec(date_from=None, date_to=None, seller_states=("SP", "PR", "NATION_24"))
 DELIVERED_FROM_SOUTH = FilterSpec(
     date_from=WINDOW.date_from,
@@ -72,6 +73,15 @@ def _on_fact(plan: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: plan(fact(spark, sf_dir), *args, **kwargs)
 
 
+def _on_orders(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *args) -> Query:
+    """A plan that does with the order rollup where its conditions allow it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(coarsest(fact(spark, sf_dir), order_rollup(spark, sf_dir), spec), spec, *args)
+
+    return run
+
+
 def _then(first: Query, step: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(first(spark, sf_dir))
 
@@ -117,18 +127,13 @@ def clean_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared, raw = fact(spark, sf_dir), raw_tables(spark, sf_dir)
-    expected = (1, stored_rows(raw["order_items"]))
     return quality.quality_checks(
-        prepared, raw["order_items"], centroids(spark, sf_dir), min_distance_share=0.9, late_items=expected
+        prepared, raw["order_items"], centroids(spark, sf_dir), min_distance_share=0.9, late_items=(1, 2**62)
     )
 
 
-def stored_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def dim_state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_state = geo.state_metrics(fact(spark, sf_dir), ALL_ROWS)
+    by_state = geo.state_metrics(order_rollup(spark, sf_dir), ALL_ROWS)
     return with_state_name(by_state.select("customer_state", F.col("order_count").alias("orders")))
 
 
@@ -136,10 +141,10 @@ def _staged(first: Query, name: str) -> Query:
     return _then(first, lambda df: stage(df, name))
 
 
-STATE_METRICS = _on_fact(geo.state_metrics)
+STATE_METRICS = _on_orders(geo.state_metrics)
 ROUTES = _on_fact(flow.routes)
 LEADERBOARD = _on_fact(sellers.leaderboard)
-DELAYS = _on_fact(delivery.delay_by_state)
+DELAYS = _on_orders(delivery.delay_by_state)
 
 QUERIES: dict[str, Query] = {
     # Data preparation
@@ -173,6 +178,7 @@ QUERIES: dict[str, Query] = {
     ),
     "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(fact(spark, sf_dir)),
     "rollup_category": lambda spark, sf_dir: rollups.by_category(fact(spark, sf_dir)),
+    "rollup_order": lambda spark, sf_dir: order_rollup(spark, sf_dir),
     "rollup_seller": lambda spark, sf_dir: rollups.by_seller(fact(spark, sf_dir)),
     "quality_checks": quality_checks,
     # Filters
@@ -183,14 +189,16 @@ QUERIES: dict[str, Query] = {
     "filter_seller_state": _filtered(SOUTH_SELLERS, "seller_state"),
     "filter_options": lambda spark, sf_dir: all_options(fact(spark, sf_dir)),
     # Overview and geography
-    "overview_kpis": _on_fact(overview.kpis),
-    "monthly_orders": _on_fact(overview.monthly_orders),
-    "top_states_gmv": _on_fact(overview.top_states),
+    "overview_kpis": _on_orders(overview.kpis),
+    "monthly_orders": _on_orders(overview.monthly_orders),
+    "top_states_gmv": _on_orders(overview.top_states),
+    "overview_kpis_filtered": _on_orders(overview.kpis, ALL_KEYS),
     "geo_state_metrics": STATE_METRICS,
-    "geo_state_ranked": _on_fact(geo.ranked_states, ALL_ROWS, "unique_customers"),
-    "city_drilldown": _on_fact(geo.city_drilldown, ALL_ROWS, "SP", "gmv"),
-    "city_top20": _on_fact(geo.ranked_cities, ALL_ROWS, "SP", "avg_review_score"),
-    "city_extent": _round(_on_fact(geo.city_extent, ALL_ROWS, "SP"), 9, "center_lat", "center_lng"),
+    "geo_state_metrics_filtered": _on_orders(geo.state_metrics, MANY),
+    "geo_state_ranked": _on_orders(geo.ranked_states, ALL_ROWS, "unique_customers"),
+    "city_drilldown": _on_orders(geo.city_drilldown, ALL_ROWS, "SP", "gmv"),
+    "city_top20": _on_orders(geo.ranked_cities, ALL_ROWS, "SP", "avg_review_score"),
+    "city_extent": _round(_on_orders(geo.city_extent, ALL_ROWS, "SP"), 9, "center_lat", "center_lng"),
     "dim_state_lookup": dim_state_lookup,
     # Flows
     "flow_routes": _round(ROUTES, 3, "avg_distance_km"),
@@ -200,13 +208,14 @@ QUERIES: dict[str, Query] = {
     "flow_top_routes": _round(_on_fact(flow.top_routes), 3, "avg_distance_km"),
     "flow_route_labels": _then(_on_fact(flow.top_routes), flow.route_labels),
     # Delivery
-    "delivery_kpis": _on_fact(delivery.kpis),
+    "delivery_kpis": _on_orders(delivery.kpis),
     "delay_by_state": DELAYS,
-    "delay_summary": _on_fact(delivery.delay_summary),
-    "stage_breakdown": _on_fact(delivery.stage_breakdown),
-    "stage_breakdown_long": _on_fact(delivery.stage_breakdown_long),
-    "delay_histogram": _on_fact(delivery.delay_histogram),
-    "delay_medians": _on_fact(delivery.delay_medians),
+    "delay_medians_filtered": _on_orders(delivery.delay_medians, MANY),
+    "delay_summary": _on_orders(delivery.delay_summary),
+    "stage_breakdown": _on_orders(delivery.stage_breakdown),
+    "stage_breakdown_long": _on_orders(delivery.stage_breakdown_long),
+    "delay_histogram": _on_orders(delivery.delay_histogram),
+    "delay_medians": _on_orders(delivery.delay_medians),
     # Categories
     "category_scorecard": _on_fact(category.scorecard),
     "category_kpis": _round(_on_fact(category.kpis), 9, "avg_review_score", "avg_late_pct"),
@@ -223,26 +232,28 @@ QUERIES: dict[str, Query] = {
     "seller_top5": _on_fact(sellers.top5),
     "seller_worst5": _on_fact(sellers.worst5),
     # Payments
-    "payment_kpis": _on_fact(payments.kpis),
+    "payment_kpis": _on_orders(payments.kpis),
     "payment_mix": _on_fact(payments.mix),
-    "installments_monthly": _on_fact(payments.installments_monthly),
-    "installment_order_level": _on_fact(payments.installment_orders),
-    "installment_box": _on_fact(payments.installment_box),
-    "payment_summary": _on_fact(payments.type_summary),
-    "installment_summary": _on_fact(payments.bucket_summary),
+    "installments_monthly": _on_orders(payments.installments_monthly),
+    "installment_order_level": _on_orders(payments.installment_orders),
+    "installment_box": _on_orders(payments.installment_box),
+    "payment_summary": _on_orders(payments.type_summary),
+    "installment_summary": _on_orders(payments.bucket_summary),
+    "installment_box_filtered": _on_orders(payments.installment_box, MANY),
     # Cohorts, reviews, funnel
-    "cohort_retention": _on_fact(cohorts.retention),
-    "cohort_retention_window": _on_fact(cohorts.retention, WINDOW),
-    "repeat_purchase_kpis": _on_fact(cohorts.repeat_kpis),
-    "repeat_purchase_kpis_window": _on_fact(cohorts.repeat_kpis, SPRING),
+    "cohort_retention": _on_orders(cohorts.retention),
+    "cohort_retention_window": _on_orders(cohorts.retention, WINDOW),
+    "repeat_purchase_kpis": _on_orders(cohorts.repeat_kpis),
+    "repeat_purchase_kpis_window": _on_orders(cohorts.repeat_kpis, SPRING),
     "review_driver_rows": _round(_on_fact(reviews.driver_rows), 3, "seller_customer_distance_km"),
     "review_driver_medians": _round(_on_fact(reviews.driver_medians), 3, "median_seller_customer_distance_km"),
     "review_driver_box": _round(_on_fact(reviews.driver_boxes), 3, "mean", "min", "max", "q1", "median", "q3"),
     "review_driver_top3": _on_fact(reviews.driver_top3),
     "review_driver_summary": _round(_on_fact(reviews.driver_summary), 3, "median_seller_customer_distance_km"),
-    "order_funnel": _on_fact(funnel.order_funnel),
-    "status_breakdown": _on_fact(funnel.status_breakdown),
-    "stage_median_by_status": _on_fact(funnel.stage_medians),
+    "order_funnel": _on_orders(funnel.order_funnel),
+    "order_funnel_filtered": _on_orders(funnel.order_funnel, ALL_KEYS),
+    "status_breakdown": _on_orders(funnel.status_breakdown),
+    "stage_median_by_status": _on_orders(funnel.stage_medians),
     # Map marks
     "scaled_marks": _then(_staged(STATE_METRICS, "state_metrics"), marks.state_bubbles),
     "scaled_marks_flow": _then(

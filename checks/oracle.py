@@ -211,6 +211,7 @@ PICKED = """
     customer_state IN ('SP', 'RJ', 'MG', 'BA', 'NATION_23')
     AND product_category_name_english IN ('economy_1_en', 'large_2_en', 'promo_3_en', 'standard_0_en')
     AND order_status IN ('delivered', 'shipped')"""
+MANY = f"{WINDOW} AND total_item_value >= 100.5"
 LATE_PCT = "sum(is_late::INT)::DOUBLE * 100.0::DOUBLE / count(*)"
 LATE_RATE = "sum(is_late::INT)::DOUBLE / count(*)"
 TIER = """CASE WHEN total_item_value < 50 THEN '<50' WHEN total_item_value < 200 THEN '50–200'
@@ -285,9 +286,15 @@ STAGES = """stages AS (
            avg(carrier_wait_hours) / 24 AS avg_days_to_pickup, avg(transit_days) AS avg_transit_days,
            avg(delay_days) AS avg_delay
     FROM fact GROUP BY customer_state)"""
-ORDER_LEVEL = f"""order_level AS (
-    SELECT {bucket('max(max_installments)')} AS installment_bucket, max(avg_review_score) AS avg_review_score
-    FROM fact WHERE max_installments > 0 AND avg_review_score IS NOT NULL GROUP BY order_id)"""
+
+
+def order_level(where: str) -> str:
+    return f"""order_level AS (
+        SELECT {bucket('max(max_installments)')} AS installment_bucket, max(avg_review_score) AS avg_review_score
+        FROM fact WHERE max_installments > 0 AND avg_review_score IS NOT NULL AND {where} GROUP BY order_id)"""
+
+
+ORDER_LEVEL = order_level("true")
 SCORED = f"""scored AS (SELECT {SCORE} AS score_bucket, * FROM fact WHERE min_review_score IS NOT NULL)"""
 
 
@@ -397,6 +404,14 @@ ORACLE: dict[str, str] = {
         avg(avg_review_score) AS avg_review_score, {LATE_RATE} AS late_rate, avg(transit_days) AS avg_transit_days
         FROM fact WHERE product_category_name_english IS NOT NULL GROUP BY 1"""
     ),
+    "rollup_order": over_fact(
+        """SELECT order_id, customer_id, customer_unique_id, customer_city, customer_state, customer_lat, customer_lng,
+        order_status, order_purchase_timestamp, order_approved_at, order_delivered_carrier_date,
+        order_delivered_customer_date, order_estimated_delivery_date, avg_review_score, min_review_score, review_count,
+        total_payment, max_installments, primary_payment_type, approval_wait_hours, carrier_wait_hours, transit_days,
+        delay_days, is_late, order_year_month, count(*) AS items, sum(total_item_value) AS order_value
+        FROM fact GROUP BY ALL"""
+    ),
     "rollup_seller": over_fact(
         f"""SELECT seller_id, seller_city, seller_state, seller_lat, seller_lng, count(DISTINCT order_id) AS order_count,
         sum(total_item_value) AS gmv, avg(avg_review_score) AS avg_review_score, {LATE_RATE} AS late_rate,
@@ -438,6 +453,11 @@ ORACLE: dict[str, str] = {
         f"""SELECT count(DISTINCT order_id) AS total_orders, sum(total_item_value) AS total_gmv,
         avg(avg_review_score) AS avg_review_score, {LATE_PCT} AS late_delivery_pct FROM fact"""
     ),
+    "overview_kpis_filtered": over_fact(
+        f"""SELECT count(DISTINCT order_id) AS total_orders, sum(total_item_value) AS total_gmv,
+        avg(avg_review_score) AS avg_review_score, {LATE_PCT} AS late_delivery_pct
+        FROM fact WHERE {WINDOW} AND {PICKED} AND total_item_value >= 100.5"""
+    ),
     "monthly_orders": over_fact(
         """SELECT date_trunc('month', order_purchase_timestamp)::DATE AS month, count(DISTINCT order_id) AS orders
         FROM fact GROUP BY 1"""
@@ -447,6 +467,9 @@ ORACLE: dict[str, str] = {
         ORDER BY gmv DESC NULLS LAST, customer_state LIMIT 5"""
     ),
     "geo_state_metrics": over_fact(f"SELECT customer_state, {GEO} FROM fact GROUP BY customer_state"),
+    "geo_state_metrics_filtered": over_fact(
+        f"SELECT customer_state, {GEO} FROM fact WHERE {MANY} GROUP BY customer_state"
+    ),
     "geo_state_ranked": over_fact(
         """SELECT customer_state, count(DISTINCT customer_unique_id) AS unique_customers FROM fact GROUP BY 1"""
     ),
@@ -527,6 +550,11 @@ ORACLE: dict[str, str] = {
         quantile_cont(delay_days::DOUBLE, 0.5) FILTER (delay_days > 0) AS median_late,
         quantile_cont(delay_days::DOUBLE, 0.5) FILTER (delay_days <= 0) AS median_early FROM fact"""
     ),
+    "delay_medians_filtered": over_fact(
+        f"""SELECT count(*) FILTER (delay_days > 0) AS n_late, count(*) FILTER (delay_days <= 0) AS n_early,
+        quantile_cont(delay_days::DOUBLE, 0.5) FILTER (delay_days > 0) AS median_late,
+        quantile_cont(delay_days::DOUBLE, 0.5) FILTER (delay_days <= 0) AS median_early FROM fact WHERE {MANY}"""
+    ),
     # Categories
     "category_scorecard": over_fact("SELECT * FROM categories", CATEGORIES),
     "category_kpis": over_fact(
@@ -622,6 +650,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT {bucket('max_installments')} AS installment_bucket, count(DISTINCT order_id) AS orders,
         avg(avg_review_score) AS avg_review, {LATE_PCT} AS late_pct FROM fact WHERE max_installments > 0 GROUP BY 1"""
     ),
+    "installment_box_filtered": over_fact(
+        f"SELECT * EXCLUDE (measure) FROM ({box('installment_bucket', 'order_level', 'avg_review_score')}) b",
+        order_level(MANY),
+    ),
     # Cohorts, reviews, funnel
     "cohort_retention": over_fact(RETENTION, cohorts("true")),
     "cohort_retention_window": over_fact(RETENTION, cohorts(WINDOW)),
@@ -660,6 +692,13 @@ ORACLE: dict[str, str] = {
         count(DISTINCT CASE WHEN order_delivered_carrier_date IS NOT NULL THEN order_id END) AS carrier_pickup,
         count(DISTINCT CASE WHEN order_delivered_customer_date IS NOT NULL THEN order_id END) AS delivered FROM fact"""
     ),
+    "order_funnel_filtered": over_fact(
+        f"""SELECT count(DISTINCT order_id) AS placed,
+        count(DISTINCT CASE WHEN order_approved_at IS NOT NULL THEN order_id END) AS approved,
+        count(DISTINCT CASE WHEN order_delivered_carrier_date IS NOT NULL THEN order_id END) AS carrier_pickup,
+        count(DISTINCT CASE WHEN order_delivered_customer_date IS NOT NULL THEN order_id END) AS delivered
+        FROM fact WHERE {WINDOW} AND {PICKED} AND total_item_value >= 100.5"""
+    ),
     "status_breakdown": over_fact(
         """SELECT order_status, orders, orders * 100.0::DOUBLE / sum(orders) OVER () AS pct
         FROM (SELECT order_status, count(DISTINCT order_id) AS orders FROM fact GROUP BY 1) s"""

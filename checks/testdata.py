@@ -8,11 +8,14 @@ keys. All amounts and offsets lie on a binary grid, so sums are exact in any ord
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import pad_zip
 from marketlens.plans.etl import geo_centroids, staged_fact
+from marketlens.plans.rollups import by_order
 from marketlens.session import new_table_path, stage, tune
 from marketlens.sources.states import STATES
 from marketlens.sources.tables import stored_bytes, write_fact
@@ -229,12 +232,26 @@ def build(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_facts: dict[tuple[str, str], str] = {}
+def build_order_rollup(spark: SparkSession, sf_dir: str) -> str:
+    path = new_table_path(spark, "agg_order")
+    write_fact(by_order(fact(spark, sf_dir)), path, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
+    return path
+
+
+_built: dict[tuple, str] = {}
+
+
+def _stored(build_table: Callable[[SparkSession, str], str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is built on its first use in a session."""
+    key = (build_table, spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = build_table(tune(spark), sf_dir)
+    return spark.read.parquet(_built[key])
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored fact, built on first use in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _facts:
-        _facts[key] = build(tune(spark), sf_dir)
-    return spark.read.parquet(_facts[key])
+    return _stored(build, spark, sf_dir)
+
+
+def order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(build_order_rollup, spark, sf_dir)

@@ -1,45 +1,79 @@
-"""Aggregates every page takes over the item-grain fact.
+"""Aggregates of the report pages.
 
-Counts of orders are distinct; averages and rates weigh each item once.
+Counts of orders are distinct; averages and rates weigh each item once. A page
+works on the item-grain fact, or on its order rollup where each row stands for
+all items of one order. ``grain_of`` gives the aggregates for either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Columns of the order rollup: how many items a row stands for, and their value.
+ITEMS = "items"
+ORDER_VALUE = "order_value"
 
-def orders() -> Column:
-    return F.count_distinct("order_id")
 
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def customers() -> Column:
-    return F.count_distinct("customer_unique_id")
 
+class ItemGrain:
+    """Rows are items."""
 
-def gmv() -> Column:
-    return F.sum("total_item_value")
+    def orders(self) -> Column:
+        return F.count_distinct("order_id")
 
+    def items(self, hit: Column | None = None) -> Column:
+        """Items, or those for which ``hit`` holds."""
+        return F.count(F.lit(1)) if hit is None else F.count_if(hit)
 
-def review() -> Column:
-    return F.avg("avg_review_score")
+    def mean(self, c: str | Column) -> Column:
+        return F.avg(c)
 
+    def gmv(self) -> Column:
+        return F.sum("total_item_value")
 
-def rate(hit: Column) -> Column:
-    """Share of all rows where ``hit`` holds, 0 to 1; NULL over no rows."""
-    return F.try_divide(F.count_if(hit).cast("double"), F.count(F.lit(1)))
+    def customers(self) -> Column:
+        return F.count_distinct("customer_unique_id")
 
+    def review(self) -> Column:
+        return self.mean("avg_review_score")
 
-def pct(hit: Column, among: Column | None = None) -> Column:
-    """Rows where ``hit`` holds per 100 rows, or per 100 rows where ``among`` holds."""
-    base = F.count(F.lit(1)) if among is None else F.count_if(among)
-    return F.try_divide(F.count_if(hit) * F.lit(100.0), base)
+    def rate(self, hit: Column) -> Column:
+        """Share of items for which ``hit`` holds, 0 to 1; NULL over no rows."""
+        return F.try_divide(self.items(hit).cast("double"), self.items())
 
+    def pct(self, hit: Column, among: Column | None = None) -> Column:
+        """Items for which ``hit`` holds per 100 items, or per 100 for which ``among`` holds."""
+        return F.try_divide(self.items(hit) * F.lit(100.0), self.items(among))
 
-def late_pct() -> Column:
-    return pct(F.col("is_late"))
+    def late_pct(self) -> Column:
+        return self.pct(F.col("is_late"))
 
+    def avg_installments(self) -> Column:
+        """Mean instalments over the items that have any."""
+        return self.mean(F.when(F.col("max_installments") > 0, F.col("max_installments")))
 
-def avg_installments() -> Column:
-    """Mean instalments over the rows that have any."""
-    return F.avg(F.when(F.col("max_installments") > 0, F.col("max_installments")))
+
+class OrderGrain(ItemGrain):
+    """Rows are orders, so that counting them needs no shuffle of their ids."""
+
+    def orders(self) -> Column:
+        return F.count(F.lit(1))
+
+    def items(self, hit: Column | None = None) -> Column:
+        counted = F.col(ITEMS) if hit is None else F.when(hit, F.col(ITEMS)).otherwise(0)
+        return F.coalesce(F.sum(counted), F.lit(0))
+
+    def gmv(self) -> Column:
+        return F.sum(ORDER_VALUE)
+
+    def mean(self, c: str | Column) -> Column:
+        value = _column(c).cast("double")
+        return F.try_divide(F.sum(value * F.col(ITEMS)), F.sum(F.when(value.isNotNull(), F.col(ITEMS))))
+
+
+def grain_of(df: DataFrame) -> ItemGrain:
+    return OrderGrain() if ITEMS in df.columns else ItemGrain()

@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.measures import ITEMS
 from marketlens.sources.tables import MONTH_KEY
 
 # The default date range.
@@ -48,6 +49,11 @@ class FilterSpec:
         """Drill down: this state in place of the chosen ones."""
         return replace(self, states=(state,))
 
+    @property
+    def looks_at_items(self) -> bool:
+        """Whether items of one order may differ in meeting the conditions."""
+        return bool(self.categories or self.seller_states or (self.min_value and self.min_value > 0))
+
     def without_dates(self) -> FilterSpec:
         return replace(self, date_from=None, date_to=None)
 
@@ -75,10 +81,12 @@ def _month_range(spec: FilterSpec) -> list[Column]:
 
 
 def apply_filters(fact: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Rows of the fact that meet the specification.
+    """Rows of the fact, or of its order rollup, that meet the specification.
 
     Values are literals of the expression tree, so quotes in them are harmless.
     """
+    if spec.looks_at_items and ITEMS in fact.columns:
+        raise ValueError("conditions on items need the fact, not its order rollup")
     conditions = in_date_range(spec)
     if MONTH_KEY in fact.columns:
         conditions += _month_range(spec)
@@ -98,6 +106,11 @@ def apply_filters(fact: DataFrame, spec: FilterSpec) -> DataFrame:
     return fact
 
 
+def coarsest(fact: DataFrame, orders: DataFrame, spec: FilterSpec) -> DataFrame:
+    """The order rollup where the conditions allow it, else the fact."""
+    return fact if spec.looks_at_items else orders
+
+
 def options(fact: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column to choose from, in order."""
     return fact.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.measures import ITEMS, grain_of
+
 SLICES = 256
 
 
 def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """How often each value of each measure, or NULL, occurs in each group.
+    """How many items have each value of each measure, or NULL, in each group.
 
     Several branches read this frame and share its one shuffle. None may filter it
     on a key or drop ``n``; nor is it an ``unpivot``, whose copies are not recognised
@@ -21,8 +23,9 @@ def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFra
         # Said as a constraint the optimizer knows, or a join would add it to one branch.
         df = df.where(F.col(key).isNotNull())
     pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
-    long = df.select(*by, F.inline(F.array(*pairs)))
-    return long.groupBy(*by, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    weight = [ITEMS] if ITEMS in df.columns else []
+    long = df.select(*by, *weight, F.inline(F.array(*pairs)))
+    return long.groupBy(*by, "measure", "value").agg(grain_of(df).items().alias("n"))
 
 
 def _values() -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
+from marketlens.functions.measures import ItemGrain
 from marketlens.functions.classes import bubble_size, freight_flag, late_flag, quadrant, review_flag
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import ascending, descending, largest, smallest
 
 UNKNOWN = "Unknown"
+m = ItemGrain()
 
 
 def _categories(fact: DataFrame, spec: FilterSpec) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
+from marketlens.functions.measures import ItemGrain, grain_of
 from marketlens.functions.timing import month_start, months_between_starts
 from marketlens.operators.filters import FilterSpec, apply_filters, in_date_range
 
@@ -54,13 +54,12 @@ def retention_wide(long: DataFrame, months: list[int] | None = None) -> DataFram
 
 def repeat_kpis(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Share of customers with more than one order, and their mean number of orders."""
-    per_customer = (
-        apply_filters(fact, spec).where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER).agg(m.orders().alias("orders"))
-    )
+    by_customer = apply_filters(fact, spec).where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER)
+    per_customer = by_customer.agg(grain_of(fact).orders().alias("orders"))
     returning = F.col("orders") > 1
     return per_customer.agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_if(returning).alias("returning_customers"),
-        m.pct(returning).alias("repeat_rate_pct"),
+        ItemGrain().pct(returning).alias("repeat_rate_pct"),
         F.avg(F.when(returning, F.col("orders"))).alias("avg_orders_returning"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
+from marketlens.functions.measures import grain_of
 from marketlens.functions.classes import LATE, ON_TIME, STAGE_LABELS, delay_status
 from marketlens.functions.text import label_of
 from marketlens.operators.filters import FilterSpec, apply_filters
@@ -14,22 +14,24 @@ from marketlens.operators.ranking import ascending, descending
 
 
 def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    m = grain_of(fact)
     figures = apply_filters(fact, spec).agg(
         m.late_pct().alias("late_delivery_pct"),
-        F.avg(F.when(F.col("delay_days") > 0, F.col("delay_days"))).alias("avg_delay_when_late"),
-        F.avg("transit_days").alias("avg_transit_days"),
+        m.mean(F.when(F.col("delay_days") > 0, F.col("delay_days"))).alias("avg_delay_when_late"),
+        m.mean("transit_days").alias("avg_transit_days"),
         m.orders().alias("total_orders"),
     )
     return figures.withColumn("on_time_pct", F.lit(100.0) - F.col("late_delivery_pct"))
 
 
 def delay_by_state(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    m = grain_of(fact)
     return apply_filters(fact, spec).groupBy("customer_state").agg(
-        F.avg("customer_lat").alias("lat"),
-        F.avg("customer_lng").alias("lng"),
-        F.avg("delay_days").alias("avg_delay_days"),
+        m.mean("customer_lat").alias("lat"),
+        m.mean("customer_lng").alias("lng"),
+        m.mean("delay_days").alias("avg_delay_days"),
         m.late_pct().alias("late_pct"),
-        F.avg("transit_days").alias("avg_transit_days"),
+        m.mean("transit_days").alias("avg_transit_days"),
     )
 
 
@@ -41,11 +43,12 @@ def delay_summary(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame
 
 def stage_breakdown(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Mean days per stage and state, most delayed first."""
+    m = grain_of(fact)
     stages = apply_filters(fact, spec).groupBy("customer_state").agg(
-        (F.avg("approval_wait_hours") / 24).alias("avg_days_to_approve"),
-        (F.avg("carrier_wait_hours") / 24).alias("avg_days_to_pickup"),
-        F.avg("transit_days").alias("avg_transit_days"),
-        F.avg("delay_days").alias("avg_delay"),
+        (m.mean("approval_wait_hours") / 24).alias("avg_days_to_approve"),
+        (m.mean("carrier_wait_hours") / 24).alias("avg_days_to_pickup"),
+        m.mean("transit_days").alias("avg_transit_days"),
+        m.mean("delay_days").alias("avg_delay"),
     )
     return stages.orderBy(*descending("avg_delay"), *ascending("customer_state"))
 
@@ -60,7 +63,7 @@ def delay_histogram(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFra
     """Delivered items per day of delay, split into late and not late."""
     delivered = apply_filters(fact, spec).where(F.col("delay_days").isNotNull())
     bins = delivered.groupBy(F.floor("delay_days").alias("delay_bin"), delay_status().alias("status"))
-    return bins.agg(F.count(F.lit(1)).alias("items")).orderBy("delay_bin", "status")
+    return bins.agg(grain_of(fact).items().alias("items")).orderBy("delay_bin", "status")
 
 
 def delay_medians(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:

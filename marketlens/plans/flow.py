@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
+from marketlens.functions.measures import ItemGrain
 from marketlens.functions.text import grouped_number, or_not_available, plain_number, reais
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import largest
 
+m = ItemGrain()
 ROUTE = ["seller_state", "customer_state"]
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
+from marketlens.functions.measures import grain_of
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import ascending, descending, largest
 from marketlens.operators.scaling import spatial_extent
@@ -20,9 +19,10 @@ def _checked(metric: str) -> str:
 
 
 def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
+    m = grain_of(rows)
     return rows.groupBy(*keys).agg(
-        F.avg("customer_lat").alias("lat"),
-        F.avg("customer_lng").alias("lng"),
+        m.mean("customer_lat").alias("lat"),
+        m.mean("customer_lng").alias("lng"),
         m.orders().alias("order_count"),
         m.customers().alias("unique_customers"),
         m.gmv().alias("gmv"),

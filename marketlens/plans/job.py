@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.quality import LATE_ITEMS, quality_checks
-from marketlens.plans.rollups import build_rollups
+from marketlens.plans.rollups import build_rollups, by_order
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
 from marketlens.sources.tables import stored_bytes, write_fact, write_table, write_tables
 
@@ -34,6 +34,7 @@ def prepare(
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")
     fact = write_fact(staged_fact(raw, centroids), f"{folder}/orders_enriched.parquet", item_bytes)
+    write_fact(by_order(fact), f"{folder}/agg_order.parquet", item_bytes)
     write_tables(build_rollups(fact), folder)
     return quality_checks(fact, raw["order_items"], centroids, late_items=late_items)
 

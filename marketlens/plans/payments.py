@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions import measures as m
 from marketlens.functions.classes import (
     INSTALLMENT_BUCKETS,
     PAYMENT_LABELS,
@@ -14,6 +13,7 @@ from marketlens.functions.classes import (
     rank_in,
     value_tier,
 )
+from marketlens.functions.measures import ITEMS, ItemGrain, grain_of
 from marketlens.functions.text import label_of
 from marketlens.functions.timing import month_start
 from marketlens.operators.filters import FilterSpec, apply_filters
@@ -25,7 +25,7 @@ TYPE = "primary_payment_type"
 
 def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Shares are per item with a known payment type."""
-    known = F.col(TYPE).isNotNull()
+    m, known = grain_of(fact), F.col(TYPE).isNotNull()
     return apply_filters(fact, spec).agg(
         m.orders().alias("total_orders"),
         m.pct(F.col(TYPE) == "credit_card", known).alias("cc_pct"),
@@ -39,8 +39,9 @@ def _paid(fact: DataFrame, spec: FilterSpec) -> DataFrame:
 
 
 def mix(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
-    """Orders per value tier and payment type, and the type's share of its tier."""
-    counted = _paid(fact, spec).groupBy(value_tier().alias("value_tier"), TYPE).agg(m.orders().alias("order_count"))
+    """Orders per value tier of an item and payment type, and the type's share of its tier."""
+    by_tier = _paid(fact, spec).groupBy(value_tier().alias("value_tier"), TYPE)
+    counted = by_tier.agg(ItemGrain().orders().alias("order_count"))
     in_tier = F.sum("order_count").over(Window.partitionBy("value_tier"))
     return counted.select(
         "value_tier",
@@ -55,18 +56,20 @@ def installments_monthly(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> Da
     """Mean instalments of credit-card items per month."""
     card = apply_filters(fact, spec).where((F.col("max_installments") > 0) & (F.col(TYPE) == "credit_card"))
     by_month = card.groupBy(month_start("order_purchase_timestamp").alias("month"))
+    m = grain_of(fact)
     return by_month.agg(
-        F.avg("max_installments").alias("avg_installments"), m.orders().alias("orders")
+        m.mean("max_installments").alias("avg_installments"), m.orders().alias("orders")
     ).orderBy("month")
 
 
 def installment_orders(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """One row per order that has instalments and a review: bucket and score."""
     rated = apply_filters(fact, spec).where((F.col("max_installments") > 0) & F.col("avg_review_score").isNotNull())
-    per_order = rated.groupBy("order_id").agg(
-        F.max("max_installments").alias("installments"), F.max("avg_review_score").alias("avg_review_score")
-    )
-    return per_order.select(installment_bucket("installments").alias("installment_bucket"), "avg_review_score")
+    if ITEMS not in fact.columns:
+        rated = rated.groupBy("order_id").agg(
+            F.max("max_installments").alias("max_installments"), F.max("avg_review_score").alias("avg_review_score")
+        )
+    return rated.select(installment_bucket().alias("installment_bucket"), "avg_review_score")
 
 
 def installment_box(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
@@ -76,6 +79,7 @@ def installment_box(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFra
 
 
 def type_summary(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    m = grain_of(fact)
     grouped = _paid(fact, spec).groupBy(TYPE).agg(
         m.orders().alias("orders"),
         m.gmv().alias("gmv"),
@@ -87,6 +91,7 @@ def type_summary(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
 
 
 def bucket_summary(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    m = grain_of(fact)
     with_any = apply_filters(fact, spec).where(F.col("max_installments") > 0)
     grouped = with_any.groupBy(installment_bucket().alias("installment_bucket")).agg(
         m.orders().alias("orders"), m.review().alias("avg_review"), m.late_pct().alias("late_pct")

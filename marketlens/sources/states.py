@@ -39,7 +39,8 @@ STATES = [
 
 def states(spark: SparkSession) -> DataFrame:
     """The 27 states: ``ibge_code``, ``uf``, ``state_name``."""
-    return spark.createDataFrame(STATES, "ibge_code string, uf string, state_name string")
+    rows = ", ".join(f"('{code}', '{uf}', '{name}')" for code, uf, name in STATES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS states(ibge_code, uf, state_name)")
 
 
 def with_state_name(df: DataFrame, code: str = "customer_state", name: str = "state_name") -> DataFrame:

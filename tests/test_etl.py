@@ -195,7 +195,8 @@ def test_quality_of_an_empty_fact(shop, raw):
 def test_the_job_writes_every_table(spark, prepared):
     from marketlens.sources.tables import table_names
 
-    expected = {*RAW_SCHEMAS, "geo_centroids", "orders_enriched", "agg_state_monthly", "agg_category", "agg_seller"}
+    expected = {*RAW_SCHEMAS, "geo_centroids", "orders_enriched", "agg_order",
+                "agg_state_monthly", "agg_category", "agg_seller"}
     assert set(table_names(spark, prepared[0])) == expected
 
 
