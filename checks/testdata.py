@@ -18,7 +18,7 @@ from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.rollups import by_order
 from marketlens.session import new_table_path, stage, tune
 from marketlens.sources.states import STATES
-from marketlens.sources.tables import stored_bytes, write_fact
+from marketlens.sources.tables import balanced, stored_bytes, write_fact
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "nation"]
 # The last two nations have no state code; their name stands for it.
@@ -227,14 +227,16 @@ def build(spark: SparkSession, sf_dir: str) -> str:
     """Build the fact from the supplied tables, store it in the shared folder, return its path."""
     path = new_table_path(spark, "orders_enriched")
     raw = raw_tables(spark, sf_dir)
-    prepared = staged_fact(raw, stage(geo_centroids(raw["geolocation"]), "geo_centroids"))
-    write_fact(prepared, path, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
+    item_bytes = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    located = stage(geo_centroids(raw["geolocation"]), "geo_centroids")
+    write_fact(staged_fact(raw, located, item_bytes), path, item_bytes)
     return path
 
 
 def build_order_rollup(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "agg_order")
-    write_fact(by_order(fact(spark, sf_dir)), path, stored_bytes(spark, f"{sf_dir}/lineitem.parquet"))
+    item_bytes = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    write_fact(balanced(by_order(fact(spark, sf_dir)), item_bytes), path, item_bytes)
     return path
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.spherical import haversine_km
 from marketlens.functions.timing import days_between, hours_between, month_start
 from marketlens.session import stage
+from marketlens.sources.tables import MONTH_KEY, balanced
 
 ITEM_COLUMNS = ["order_id", "order_item_id", "product_id", "seller_id"]
 ORDER_COLUMNS = [
@@ -65,6 +66,17 @@ FACT_COLUMNS = [
     "max_installments",
     "primary_payment_type",
 ]
+DERIVED_COLUMNS = [
+    "total_item_value",
+    "freight_ratio",
+    "approval_wait_hours",
+    "carrier_wait_hours",
+    "transit_days",
+    "delay_days",
+    "is_late",
+    "order_year_month",
+    "seller_customer_distance_km",
+]
 
 
 def group_centroids(points: DataFrame, key: str, lat: str, lng: str, city: str, state: str) -> DataFrame:
@@ -205,18 +217,23 @@ def with_distance(df: DataFrame) -> DataFrame:
 
 def with_measures(joined: DataFrame) -> DataFrame:
     """All derived columns of the fact."""
-    return with_distance(with_lifecycle(with_item_value(joined)))
+    measured = with_distance(with_lifecycle(with_item_value(joined)))
+    return measured.select(*FACT_COLUMNS, *DERIVED_COLUMNS)
 
 
-def build_fact(
-    raw: Mapping[str, DataFrame], centroids: DataFrame | None = None, orders: DataFrame | None = None
-) -> DataFrame:
+def build_fact(raw: Mapping[str, DataFrame], centroids: DataFrame | None = None) -> DataFrame:
     """The fact ``orders_enriched``: one row per order item."""
     if centroids is None:
         centroids = geo_centroids(raw["geolocation"])
-    return with_measures(star_join(raw, centroids, orders))
+    return with_measures(star_join(raw, centroids))
+
 
+def staged_fact(raw: Mapping[str, DataFrame], centroids: DataFrame, input_bytes: int) -> DataFrame:
+    """The fact, ready to be written, over a stored order side; ``centroids`` should be stored too.
 
-def staged_fact(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
-    """The fact over a stored order side; ``centroids`` should be stored too."""
-    return build_fact(raw, centroids, stage(order_side(raw, centroids), "order_side"))
+    The shuffle that evens out the files comes before the derived columns, which
+    need not travel.
+    """
+    joined = star_join(raw, centroids, stage(order_side(raw, centroids), "order_side"))
+    keyed = joined.withColumn(MONTH_KEY, month_start("order_purchase_timestamp"))
+    return with_measures(balanced(keyed, input_bytes))

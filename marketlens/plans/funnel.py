@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.measures import ITEMS, grain_of
@@ -39,7 +39,7 @@ def funnel_stages(funnel: DataFrame) -> DataFrame:
 def status_breakdown(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Orders per status and the status's share."""
     counted = apply_filters(fact, spec).groupBy("order_status").agg(grain_of(fact).orders().alias("orders"))
-    everything = F.sum("orders").over(Window.partitionBy())  # over a row per status
+    everything = counted.agg(F.sum("orders")).scalar()
     shared = counted.withColumn("pct", F.col("orders") * F.lit(100.0) / everything)
     return shared.orderBy(*descending("orders"), *ascending("order_status"))
 

@@ -10,7 +10,7 @@ from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.quality import LATE_ITEMS, quality_checks
 from marketlens.plans.rollups import build_rollups, by_order
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
-from marketlens.sources.tables import stored_bytes, write_fact, write_table, write_tables
+from marketlens.sources.tables import balanced, stored_bytes, write_fact, write_table, write_tables
 
 
 class QualityError(ValueError):
@@ -33,8 +33,8 @@ def prepare(
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")
-    fact = write_fact(staged_fact(raw, centroids), f"{folder}/orders_enriched.parquet", item_bytes)
-    write_fact(by_order(fact), f"{folder}/agg_order.parquet", item_bytes)
+    fact = write_fact(staged_fact(raw, centroids, item_bytes), f"{folder}/orders_enriched.parquet", item_bytes)
+    write_fact(balanced(by_order(fact), item_bytes), f"{folder}/agg_order.parquet", item_bytes)
     write_tables(build_rollups(fact), folder)
     return quality_checks(fact, raw["order_items"], centroids, late_items=late_items)
 

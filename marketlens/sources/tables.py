@@ -25,24 +25,33 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]
     return {name: write_table(df, folder, name) for name, df in tables.items()}
 
 
-def write_fact(fact: DataFrame, path: str, input_bytes: int) -> DataFrame:
-    """Write the fact once for all queries and read it back.
+def _monthly(input_bytes: int) -> bool:
+    return input_bytes >= PARTITION_BY_MONTH_FROM_BYTES
 
-    A large fact gets a folder per purchase month, which date filters prune.
-    ``rebalance`` evens out the files: it gathers a month into few files, splits a
-    month too big for one task, and spreads a small fact over all cores.
+
+def balanced(df: DataFrame, input_bytes: int) -> DataFrame:
+    """Even out what each task will write.
+
+    Rows of a month meet in few files, a month too big for one task is split, and
+    a small table spreads over all cores.
+    """
+    return df.hint("rebalance", F.col(MONTH_KEY)) if _monthly(input_bytes) else df.hint("rebalance")
+
+
+def write_fact(df: DataFrame, path: str, input_bytes: int) -> DataFrame:
+    """Write a ``balanced`` table once for all queries and read it back.
+
+    A large one gets a folder per purchase month, which date filters prune.
     """
-    spark = fact.sparkSession
-    monthly = input_bytes >= PARTITION_BY_MONTH_FROM_BYTES
-    spread = fact.hint("rebalance", F.col(MONTH_KEY)) if monthly else fact.hint("rebalance")
+    spark = df.sparkSession
     usual = spark.conf.get(ADVISORY_SIZE)
     spark.conf.set(ADVISORY_SIZE, FILE_SHUFFLE_BYTES)
     try:
-        writer = spread.write.mode("overwrite")
-        (writer.partitionBy(MONTH_KEY) if monthly else writer).parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(MONTH_KEY) if _monthly(input_bytes) else writer).parquet(path)
     finally:
         spark.conf.set(ADVISORY_SIZE, usual)
-    return spark.read.schema(fact.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):

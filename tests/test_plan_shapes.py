@@ -126,7 +126,7 @@ def test_a_hot_key_is_split_and_no_row_is_lost(spark, shop_csv, tmp_path, small_
     )
     path = str(tmp_path / "centroids")
     etl.geo_centroids(raw["geolocation"]).write.parquet(path)
-    fact = etl.staged_fact(raw, spark.read.parquet(path)).select("order_id", "price", "seller_city", "product_category_name")
+    fact = etl.staged_fact(raw, spark.read.parquet(path), 0).select("order_id", "price", "seller_city", "product_category_name")
     plan = final_plan_of(fact)
     assert re.search(rf"SortMergeJoin\(skew=true\) \[{hot}_id#", plan)
     totals = fact.selectExpr("count(*) AS n", "sum(price) AS total").first()
