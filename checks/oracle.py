@@ -136,28 +136,34 @@ order_payments AS (
 )"""
 
 FACT = """
+product_side AS (
+    SELECT product_id, product_category_name, product_category_name_english,
+           product_weight_g::FLOAT AS product_weight_g
+    FROM raw_products LEFT JOIN raw_translation USING (product_category_name)
+),
+seller_side AS (
+    SELECT seller_id, seller_city, seller_state, lat::FLOAT AS seller_lat, lng::FLOAT AS seller_lng
+    FROM raw_sellers LEFT JOIN centroids USING (zip)
+),
+customer_side AS (
+    SELECT customer_id, customer_unique_id, customer_city, customer_state,
+           lat::FLOAT AS customer_lat, lng::FLOAT AS customer_lng
+    FROM raw_customers LEFT JOIN centroids USING (zip)
+),
+order_side AS (
+    SELECT * REPLACE (avg_review_score::FLOAT AS avg_review_score, review_count::INT AS review_count,
+                      total_payment::FLOAT AS total_payment, max_installments::TINYINT AS max_installments)
+    FROM raw_orders
+    JOIN customer_side USING (customer_id)
+    LEFT JOIN order_reviews USING (order_id)
+    LEFT JOIN order_payments USING (order_id)
+),
 joined AS (
-    SELECT oi.order_id, oi.order_item_id, oi.product_id, oi.seller_id, o.customer_id, c.customer_unique_id,
-           o.order_status, o.order_purchase_timestamp, o.order_approved_at, o.order_delivered_carrier_date,
-           o.order_delivered_customer_date, o.order_estimated_delivery_date, oi.shipping_limit_date,
-           oi.price::FLOAT AS price, oi.freight_value::FLOAT AS freight_value,
-           p.product_category_name, ct.product_category_name_english,
-           p.product_weight_g::FLOAT AS product_weight_g,
-           s.seller_city, s.seller_state, sg.lat::FLOAT AS seller_lat, sg.lng::FLOAT AS seller_lng,
-           c.customer_city, c.customer_state, cg.lat::FLOAT AS customer_lat, cg.lng::FLOAT AS customer_lng,
-           rev.avg_review_score::FLOAT AS avg_review_score, rev.min_review_score,
-           rev.review_count::INT AS review_count, pay.total_payment::FLOAT AS total_payment,
-           pay.max_installments::TINYINT AS max_installments, pay.primary_payment_type
-    FROM raw_items oi
-    JOIN raw_orders o ON oi.order_id = o.order_id
-    JOIN raw_customers c ON o.customer_id = c.customer_id
-    JOIN raw_sellers s ON oi.seller_id = s.seller_id
-    JOIN raw_products p ON oi.product_id = p.product_id
-    LEFT JOIN raw_translation ct ON p.product_category_name = ct.product_category_name
-    LEFT JOIN centroids cg ON c.zip = cg.zip
-    LEFT JOIN centroids sg ON s.zip = sg.zip
-    LEFT JOIN order_reviews rev ON oi.order_id = rev.order_id
-    LEFT JOIN order_payments pay ON oi.order_id = pay.order_id
+    SELECT * REPLACE (price::FLOAT AS price, freight_value::FLOAT AS freight_value)
+    FROM raw_items
+    JOIN product_side USING (product_id)
+    JOIN seller_side USING (seller_id)
+    JOIN order_side USING (order_id)
 ),
 timed AS (
     SELECT *,
@@ -437,11 +443,15 @@ ORACLE: dict[str, str] = {
         FROM fact)""",
     ),
     # Filters
-    "filter_all": over_fact(f"SELECT {FACT_KEYS}, total_item_value FROM fact WHERE {WINDOW} AND {PICKED} AND total_item_value >= 100.5"),
+    "filter_all": over_fact(
+        f"SELECT {FACT_KEYS}, total_item_value FROM fact WHERE {WINDOW} AND {PICKED} AND total_item_value >= 100.5"
+    ),
     "filter_date_range": over_fact(f"SELECT {FACT_KEYS}, order_purchase_timestamp FROM fact WHERE {WINDOW}"),
     "filter_in_lists": over_fact(f"SELECT {FACT_KEYS}, customer_state, order_status FROM fact WHERE {PICKED}"),
     "filter_min_value": over_fact(f"SELECT {FACT_KEYS}, total_item_value FROM fact WHERE total_item_value >= 512.25"),
-    "filter_seller_state": over_fact(f"SELECT {FACT_KEYS}, seller_state FROM fact WHERE seller_state IN ('SP', 'PR', 'NATION_24')"),
+    "filter_seller_state": over_fact(
+        f"SELECT {FACT_KEYS}, seller_state FROM fact WHERE seller_state IN ('SP', 'PR', 'NATION_24')"
+    ),
     "filter_options": over_fact(
         """SELECT DISTINCT 'customer_state' AS "filter", customer_state AS "option" FROM fact
         UNION SELECT 'product_category_name_english', product_category_name_english FROM fact
@@ -526,9 +536,9 @@ ORACLE: dict[str, str] = {
     ),
     # Delivery
     "delivery_kpis": over_fact(
-        f"""SELECT {LATE_PCT} AS late_delivery_pct, avg(CASE WHEN delay_days > 0 THEN delay_days END) AS avg_delay_when_late,
-        avg(transit_days) AS avg_transit_days, count(DISTINCT order_id) AS total_orders, 100.0::DOUBLE - {LATE_PCT} AS on_time_pct
-        FROM fact"""
+        f"""SELECT {LATE_PCT} AS late_delivery_pct, avg(delay_days) FILTER (delay_days > 0) AS avg_delay_when_late,
+        avg(transit_days) AS avg_transit_days, count(DISTINCT order_id) AS total_orders,
+        100.0::DOUBLE - {LATE_PCT} AS on_time_pct FROM fact"""
     ),
     "delay_by_state": over_fact("SELECT * FROM delays", DELAYS),
     "delay_summary": over_fact(
@@ -542,7 +552,8 @@ ORACLE: dict[str, str] = {
         STAGES,
     ),
     "delay_histogram": over_fact(
-        """SELECT floor(delay_days)::BIGINT AS delay_bin, CASE WHEN delay_days > 0 THEN 'Late' ELSE 'Early / On Time' END AS status,
+        """SELECT floor(delay_days)::BIGINT AS delay_bin,
+        CASE WHEN delay_days > 0 THEN 'Late' ELSE 'Early / On Time' END AS status,
         count(*) AS items FROM fact WHERE delay_days IS NOT NULL GROUP BY 1, 2"""
     ),
     "delay_medians": over_fact(
@@ -738,7 +749,8 @@ ORACLE: dict[str, str] = {
         sellers(),
     ),
     "delay_divergence": over_fact(
-        """SELECT customer_state, lat, lng, avg_delay_days, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, avg_delay_days / extreme)) AS color_position,
+        """SELECT customer_state, lat, lng, avg_delay_days,
+        greatest(-1.0::DOUBLE, least(1.0::DOUBLE, avg_delay_days / extreme)) AS color_position,
         80000::DOUBLE + abs(avg_delay_days) / extreme * 160000::DOUBLE AS radius,
         CASE WHEN avg_delay_days > 0 THEN '+' ELSE '' END || format('{:.1f}', avg_delay_days) AS delay_label,
         format('{:.1f}', late_pct) || '%' AS late_label, format('{:.1f}', avg_transit_days) || ' days' AS transit_label

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from marketlens.functions.text import pad_zip
 from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.rollups import by_order
-from marketlens.session import new_table_path, stage, tune
+from marketlens.session import new_table_path, size_for, stage, tune
 from marketlens.sources.states import STATES
-from marketlens.sources.tables import balanced, stored_bytes, write_fact
+from marketlens.sources.tables import balanced, is_complete, stored_bytes, write_fact
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "nation"]
 # The last two nations have no state code; their name stands for it.
@@ -228,6 +228,7 @@ def build(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "orders_enriched")
     raw = raw_tables(spark, sf_dir)
     item_bytes = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
+    size_for(spark, item_bytes + stored_bytes(spark, f"{sf_dir}/orders.parquet"))
     located = stage(geo_centroids(raw["geolocation"]), "geo_centroids")
     write_fact(staged_fact(raw, located, item_bytes), path, item_bytes)
     return path
@@ -246,7 +247,7 @@ _built: dict[tuple, str] = {}
 def _stored(build_table: Callable[[SparkSession, str], str], spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is built on its first use in a session."""
     key = (build_table, spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    if key not in _built or not is_complete(spark, _built[key]):
         _built[key] = build_table(tune(spark), sf_dir)
     return spark.read.parquet(_built[key])
 

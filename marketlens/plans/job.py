@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.plans.etl import geo_centroids, staged_fact
 from marketlens.plans.quality import LATE_ITEMS, quality_checks
 from marketlens.plans.rollups import build_rollups, by_order
+from marketlens.session import size_for, tune
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
 from marketlens.sources.tables import balanced, stored_bytes, write_fact, write_table, write_tables
 
@@ -29,7 +30,9 @@ def prepare(
     step and the fact is joined once for all rollups.
     """
     folder = folder.rstrip("/")
+    tune(spark)
     write_tables(read_raw(spark, raw_paths), folder)
+    size_for(spark, stored_bytes(spark, folder))
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")

@@ -19,6 +19,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+SHUFFLE_BYTES = 512 * 1024**2
+MAX_SHUFFLE_PARTITIONS = 32_768  # beyond it, the number of blocks costs more than a spill
+SCAN_BYTES = 128 * 1024**2
+MAX_SCAN_BYTES = 1024**3
+SCAN_TASKS = 100_000
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -41,6 +47,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_for(spark: SparkSession, input_bytes: int) -> SparkSession:
+    """Size shuffles and scans for the tables to be read.
+
+    Shuffles start with enough partitions that one fits in memory, and adaptive
+    execution joins small ones. Scans of very large tables take larger splits.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, wanted)))
+    split = min(MAX_SCAN_BYTES, max(SCAN_BYTES, input_bytes // SCAN_TASKS))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 

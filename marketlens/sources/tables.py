@@ -71,6 +71,12 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop_path).getLength()
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has finished and is still there."""
+    fs, marker = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(marker)
+
+
 def register_views(spark: SparkSession, folder: str, names: Iterable[str] | None = None) -> list[str]:
     """Make every Parquet table in ``folder`` a view named by its stem."""
     found = sorted(names) if names is not None else table_names(spark, folder)

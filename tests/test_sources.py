@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from marketlens.session import shared_dir, stage
+import pytest
+
+from marketlens import session
+from marketlens.session import shared_dir, size_for, stage
 from marketlens.sources import states, tables
 
 
@@ -58,3 +61,35 @@ def test_a_large_fact_is_partitioned_by_month(spark, shop, tmp_path):
         "order_year_month=2017-01-01", "order_year_month=2017-03-01", "order_year_month=2018-09-01",
     ]
     assert sorted(map(str, back.select(shop.columns).collect())) == sorted(map(str, shop.collect()))
+
+
+def test_sizes_follow_the_input(spark):
+    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"]
+    sizes = []
+    try:
+        for gigabytes in (0, 100, 100 * 1024):
+            size_for(spark, gigabytes * 1024**3)
+            sizes.append(tuple(int(spark.conf.get(key)) for key in keys))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert sizes == [
+        (4, session.SCAN_BYTES), (200, session.SCAN_BYTES), (session.MAX_SHUFFLE_PARTITIONS, session.MAX_SCAN_BYTES),
+    ]
+
+
+def test_an_unfinished_table_is_not_complete(spark, tmp_path):
+    path = tables.write_table(spark.range(1), str(tmp_path), "t")
+    assert tables.is_complete(spark, path)
+    assert not tables.is_complete(spark, str(tmp_path / "other"))
+
+
+def test_the_command_line(spark, shop_csv, tmp_path, monkeypatch, capsys):
+    from marketlens.__main__ import main
+    from marketlens.plans.job import QualityError
+
+    monkeypatch.setattr("sys.argv", ["marketlens", shop_csv, str(tmp_path), "--late-items", "1", "3"])
+    with pytest.raises(QualityError, match="distance_share"):
+        main()
+    assert "late_items" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/agg_seller.parquet").count() == 2
