@@ -310,7 +310,7 @@ def cohorts(founding: str) -> str:
         FROM fact WHERE {founding} GROUP BY customer_unique_id),
     tagged AS (
         SELECT f.customer_unique_id, fo.cohort_month,
-               date_diff('month', fo.cohort_month, date_trunc('month', f.order_purchase_timestamp)::DATE)
+               date_diff('month', fo.cohort_month, date_trunc('month', f.order_purchase_timestamp)::DATE)::INT
                    AS months_since_first
         FROM fact f JOIN first_orders fo USING (customer_unique_id)),
     sizes AS (SELECT cohort_month, count(*) AS cohort_size FROM first_orders GROUP BY 1)"""
@@ -344,7 +344,7 @@ def rescaled(measure: str, floor: str = "1e-9") -> str:
 
 LEADERS = """leaders AS (
     SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY score_bucket, dimension ORDER BY items DESC, value) AS rank
+        SELECT *, row_number() OVER (PARTITION BY score_bucket, dimension ORDER BY items DESC, value)::INT AS rank
         FROM (
             SELECT score_bucket, 'category' AS dimension, product_category_name_english AS value, count(*) AS items
             FROM scored WHERE product_category_name_english IS NOT NULL GROUP BY ALL
