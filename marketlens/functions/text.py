@@ -30,8 +30,9 @@ def short_id(c: str | Column, length: int) -> Column:
 
 
 def title_case(c: str | Column) -> Column:
-    """Each word with a capital first letter."""
-    return F.initcap(c)
+    """A capital at the start and after every character that is no letter, else small letters."""
+    parts = F.split(c, r"(?<=[^\p{L}])")
+    return F.array_join(F.transform(parts, F.initcap), "")
 
 
 def label_of(c: str, labels: Mapping[str, str]) -> Column:

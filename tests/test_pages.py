@@ -156,7 +156,7 @@ def test_sellers(shop):
     assert sellers.worst5(shop, ALL_ROWS, 1, 1).first()["seller"] == "s2…"
     assert sellers.worst5(shop, ALL_ROWS, 1, 50).count() == 0
     shown = sellers.display(shop, ALL_ROWS, 1).collect()
-    assert [r["city"] for r in shown] == ["Recife", "Santa Barbara D'oeste"]
+    assert [r["city"] for r in shown] == ["Recife", "Santa Barbara D'Oeste"]
 
 
 def test_payments(shop):
