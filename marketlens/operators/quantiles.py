@@ -47,8 +47,14 @@ def _with_slice(tally: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set("cut")).alias("cuts"))  # at most SLICES
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cuts"))).alias("cuts"))  # a row per measure
     )
-    below = F.filter(F.col("_cuts")[F.col("measure")], lambda cut: cut < F.col("value"))
-    sliced = tally.withColumn("_cuts", cuts.scalar()).withColumn("slice", F.coalesce(F.size(below), F.lit(0)))
+    sliced = tally.withColumn("_cuts", cuts.scalar()).withColumn("_cuts", F.col("_cuts")[F.col("measure")])
+    # The slice is the number of cuts below the value, found by halving.
+    sliced = sliced.withColumn("slice", F.lit(0))
+    step = 1 << SLICES.bit_length() - 1
+    while step:
+        cut = F.get("_cuts", F.col("slice") + (step - 1))
+        sliced = sliced.withColumn("slice", F.col("slice") + F.when(cut < F.col("value"), step).otherwise(0))
+        step //= 2
     return sliced.withColumn("n", _values()).drop("_cuts")
 
 
