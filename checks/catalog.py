@@ -128,7 +128,12 @@ def clean_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared, raw = fact(spark, sf_dir), raw_tables(spark, sf_dir)
     return quality.quality_checks(
-        prepared, raw["order_items"], centroids(spark, sf_dir), min_distance_share=0.9, late_items=(1, 2**62)
+        prepared,
+        raw["order_items"],
+        centroids(spark, sf_dir),
+        order_rollup(spark, sf_dir),
+        min_distance_share=0.9,
+        late_items=(1, 2**62),
     )
 
 
@@ -176,7 +181,7 @@ QUERIES: dict[str, Query] = {
         3,
         "distance_km",
     ),
-    "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(fact(spark, sf_dir)),
+    "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(order_rollup(spark, sf_dir)),
     "rollup_category": lambda spark, sf_dir: rollups.by_category(fact(spark, sf_dir)),
     "rollup_order": lambda spark, sf_dir: order_rollup(spark, sf_dir),
     "rollup_seller": lambda spark, sf_dir: rollups.by_seller(fact(spark, sf_dir)),

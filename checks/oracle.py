@@ -429,6 +429,7 @@ ORACLE: dict[str, str] = {
         """SELECT 'fact_rows_minus_item_rows' AS "check", (fact_rows - item_rows)::DOUBLE AS observed,
                fact_rows = item_rows AS passed FROM seen
         UNION ALL SELECT 'duplicate_zips', (zip_rows - zips)::DOUBLE, zip_rows = zips FROM seen
+        UNION ALL SELECT 'duplicate_orders', (order_rows - orders)::DOUBLE, order_rows = orders FROM seen
         UNION ALL SELECT 'distance_share', located / fact_rows, located / fact_rows > 0.9 FROM seen
         UNION ALL SELECT 'late_items', late::DOUBLE, late BETWEEN 1 AND fact_rows FROM seen
         UNION ALL SELECT 'unknown_statuses', unknown::DOUBLE, unknown = 0 FROM seen
@@ -438,6 +439,10 @@ ORACLE: dict[str, str] = {
                count(*) FILTER (delay_days > 0) AS late, count(*) FILTER (carrier_wait_hours < 0) AS pickup_first,
                count(DISTINCT order_status) FILTER (order_status NOT IN ('delivered', 'shipped', 'canceled',
                    'unavailable', 'processing', 'invoiced', 'created', 'approved')) AS unknown,
+               count(DISTINCT order_id) AS orders,
+               (SELECT count(*) FROM (
+                   SELECT DISTINCT order_id, customer_id, customer_unique_id, order_status, order_purchase_timestamp,
+                          delay_days, avg_review_score, primary_payment_type FROM fact) o) AS order_rows,
                (SELECT count(*) FROM raw_items) AS item_rows, (SELECT count(*) FROM centroids) AS zip_rows,
                (SELECT count(DISTINCT zip) FROM centroids) AS zips
         FROM fact)""",

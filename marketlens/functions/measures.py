@@ -49,6 +49,9 @@ class ItemGrain:
         """Items for which ``hit`` holds per 100 items, or per 100 for which ``among`` holds."""
         return F.try_divide(self.items(hit) * F.lit(100.0), self.items(among))
 
+    def late_rate(self) -> Column:
+        return self.rate(F.col("is_late"))
+
     def late_pct(self) -> Column:
         return self.pct(F.col("is_late"))
 

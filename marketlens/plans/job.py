@@ -37,9 +37,9 @@ def prepare(
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")
     fact = write_fact(staged_fact(raw, centroids, item_bytes), f"{folder}/orders_enriched.parquet", item_bytes)
-    write_fact(balanced(by_order(fact), item_bytes), f"{folder}/agg_order.parquet", item_bytes)
-    write_tables(build_rollups(fact), folder)
-    return quality_checks(fact, raw["order_items"], centroids, late_items=late_items)
+    orders = write_fact(balanced(by_order(fact), item_bytes), f"{folder}/agg_order.parquet", item_bytes)
+    write_tables(build_rollups(fact, orders), folder)
+    return quality_checks(fact, raw["order_items"], centroids, orders, late_items=late_items)
 
 
 def require(checks: DataFrame) -> None:

@@ -17,14 +17,15 @@ def quality_checks(
     fact: DataFrame,
     order_items: DataFrame,
     centroids: DataFrame,
+    orders: DataFrame,
     statuses: list[str] = KNOWN_STATUSES,
     min_distance_share: float = MIN_DISTANCE_SHARE,
     late_items: tuple[int, int] = LATE_ITEMS,
 ) -> DataFrame:
     """One row per check: ``check``, ``observed``, ``passed``.
 
-    One pass over each table; the three one-row summaries meet in a final
-    aggregate of three rows.
+    One pass over each table; their one-row summaries meet in a final aggregate.
+    ``orders`` is the order rollup, which is right if an order fixes its attributes.
     """
     fact_facts = fact.agg(
         F.count(F.lit(1)).alias("fact_rows"),
@@ -35,13 +36,17 @@ def quality_checks(
     )
     item_facts = order_items.agg(F.count(F.lit(1)).alias("item_rows"))
     zip_facts = centroids.agg(F.count(F.lit(1)).alias("zip_rows"), F.count_distinct("zip").alias("zips"))
-    every = fact_facts.unionByName(item_facts, True).unionByName(zip_facts, True)
+    order_facts = orders.agg(F.count(F.lit(1)).alias("order_rows"), F.count_distinct("order_id").alias("orders"))
+    every = fact_facts
+    for summary in (item_facts, zip_facts, order_facts):
+        every = every.unionByName(summary, allowMissingColumns=True)
     seen = every.agg(*[F.max(c).alias(c) for c in every.columns])
 
     share = F.try_divide(F.col("located").cast("double"), F.col("fact_rows"))
     checks = [
         ("fact_rows_minus_item_rows", F.col("fact_rows") - F.col("item_rows"), F.col("fact_rows") == F.col("item_rows")),
         ("duplicate_zips", F.col("zip_rows") - F.col("zips"), F.col("zip_rows") == F.col("zips")),
+        ("duplicate_orders", F.col("order_rows") - F.col("orders"), F.col("order_rows") == F.col("orders")),
         ("distance_share", share, F.coalesce(share > min_distance_share, F.lit(False))),
         ("late_items", F.col("late"), F.col("late").between(*late_items)),
         ("unknown_statuses", F.col("unknown"), F.col("unknown") == 0),

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ITEMS, ORDER_VALUE, ItemGrain
-
-
-m = ItemGrain()
+from marketlens.functions.measures import ITEMS, ORDER_VALUE, ItemGrain, grain_of
 
 # What an order fixes for all its items.
 ORDER_ATTRIBUTES = [
@@ -39,10 +36,6 @@ ORDER_ATTRIBUTES = [
 ]
 
 
-def late_rate():
-    return m.rate(F.col("is_late")).alias("late_rate")
-
-
 def by_order(fact: DataFrame) -> DataFrame:
     """One row per order with its attributes, item count and value.
 
@@ -55,18 +48,21 @@ def by_order(fact: DataFrame) -> DataFrame:
 
 
 def state_monthly(fact: DataFrame) -> DataFrame:
+    """From the fact or its order rollup."""
+    m = grain_of(fact)
     return fact.groupBy("customer_state", "order_year_month").agg(
         m.orders().alias("order_count"),
         m.customers().alias("unique_customers"),
         m.gmv().alias("gmv"),
-        F.avg("delay_days").alias("avg_delay_days"),
-        late_rate(),
+        m.mean("delay_days").alias("avg_delay_days"),
+        m.late_rate().alias("late_rate"),
         m.review().alias("avg_review_score"),
     )
 
 
 def by_category(fact: DataFrame) -> DataFrame:
     """Items without an English category are left out."""
+    m = ItemGrain()
     named = fact.where(F.col("product_category_name_english").isNotNull())
     return named.groupBy(F.col("product_category_name_english").alias("category")).agg(
         m.orders().alias("order_count"),
@@ -74,27 +70,28 @@ def by_category(fact: DataFrame) -> DataFrame:
         F.avg("price").alias("avg_price"),
         F.avg("freight_ratio").alias("avg_freight_ratio"),
         m.review().alias("avg_review_score"),
-        late_rate(),
+        m.late_rate().alias("late_rate"),
         F.avg("transit_days").alias("avg_transit_days"),
     )
 
 
 def by_seller(fact: DataFrame) -> DataFrame:
     """Keyed by seller and position; a missing position is a key too."""
+    m = ItemGrain()
     return fact.groupBy("seller_id", "seller_city", "seller_state", "seller_lat", "seller_lng").agg(
         m.orders().alias("order_count"),
         m.gmv().alias("gmv"),
         m.review().alias("avg_review_score"),
-        late_rate(),
+        m.late_rate().alias("late_rate"),
         F.avg("approval_wait_hours").alias("avg_approval_wait_hours"),
         F.count_distinct("product_category_name_english").alias("category_count"),
     )
 
 
-def build_rollups(fact: DataFrame) -> dict[str, DataFrame]:
-    """The rollups by table name, but for the order rollup, which is laid out like the fact."""
+def build_rollups(fact: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
+    """The small rollups by table name; ``orders`` is the stored order rollup."""
     return {
-        "agg_state_monthly": state_monthly(fact),
+        "agg_state_monthly": state_monthly(orders),
         "agg_category": by_category(fact),
         "agg_seller": by_seller(fact),
     }

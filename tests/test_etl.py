@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.spherical import haversine_km
 from marketlens.functions.text import pad_zip
 from marketlens.functions.timing import days_between, hours_between, months_between_starts
-from marketlens.plans import etl, job, quality
+from marketlens.plans import etl, job, quality, rollups
 from marketlens.sources.raw import RAW_SCHEMAS, read_csv, read_raw
 from tests.shop import TABLES
 
@@ -169,11 +169,13 @@ def test_quality(prepared):
 
 def test_quality_failures(spark, shop, raw):
     doubled = shop.unionAll(shop).withColumn("order_status", F.lit("lost"))
+    changed = rollups.by_order(shop.unionAll(shop.withColumn("customer_city", F.lit("elsewhere"))))
     zips = spark.createDataFrame([("1",), ("1",), (None,)], "zip string")
-    rows = quality.quality_checks(doubled, raw["order_items"], zips, min_distance_share=0.1)
+    rows = quality.quality_checks(doubled, raw["order_items"], zips, changed, min_distance_share=0.1)
     checks = {r["check"]: (r["observed"], r["passed"]) for r in rows.collect()}
     assert checks["fact_rows_minus_item_rows"] == (5.0, False)
     assert checks["duplicate_zips"] == (2.0, False)
+    assert checks["duplicate_orders"] == (4.0, False)
     assert checks["late_items"] == (4.0, False)
     assert checks["unknown_statuses"] == (1.0, False)
     assert [r[0] for r in quality.unknown_statuses(doubled).collect()] == ["lost"]
@@ -183,7 +185,9 @@ def test_quality_failures(spark, shop, raw):
 
 def test_quality_of_an_empty_fact(shop, raw):
     none = raw["order_items"].limit(0)
-    rows = quality.quality_checks(shop.limit(0), none, etl.geo_centroids(raw["geolocation"]))
+    rows = quality.quality_checks(
+        shop.limit(0), none, etl.geo_centroids(raw["geolocation"]), rollups.by_order(shop.limit(0))
+    )
     checks = {r["check"]: (r["observed"], r["passed"]) for r in rows.collect()}
     assert checks["fact_rows_minus_item_rows"] == (0.0, True)
     assert checks["distance_share"] == (None, False)

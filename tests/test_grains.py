@@ -9,7 +9,7 @@ import pytest
 
 from checks.compare import normalized
 from checks.testdata import fact, order_rollup
-from marketlens.operators.filters import ALL_ROWS, FilterSpec, coarsest
+from marketlens.operators.filters import ALL_ROWS, FilterSpec, apply_filters, coarsest
 from marketlens.plans import cohorts, delivery, funnel, geo, overview, payments, rollups
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +41,7 @@ PAGES = {
     "funnel": funnel.order_funnel,
     "status": funnel.status_breakdown,
     "stage medians": funnel.stage_medians,
+    "rollup": lambda df, spec: rollups.state_monthly(apply_filters(df, spec)),
 }
 
 
