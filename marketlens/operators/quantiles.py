@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.measures import ITEMS, grain_of
 
-SLICES = 256
+BLOCK = 16
+SLICES = BLOCK * BLOCK  # at most
 
 
 def _tally(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -47,15 +48,15 @@ def _with_slice(tally: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set("cut")).alias("cuts"))  # at most SLICES
         .agg(F.map_from_entries(F.collect_list(F.struct("measure", "cuts"))).alias("cuts"))  # a row per measure
     )
-    sliced = tally.withColumn("_cuts", cuts.scalar()).withColumn("_cuts", F.col("_cuts")[F.col("measure")])
-    # The slice is the number of cuts below the value, found by halving.
-    sliced = sliced.withColumn("slice", F.lit(0))
-    step = 1 << SLICES.bit_length() - 1
-    while step:
-        cut = F.get("_cuts", F.col("slice") + (step - 1))
-        sliced = sliced.withColumn("slice", F.col("slice") + F.when(cut < F.col("value"), step).otherwise(0))
-        step //= 2
-    return sliced.withColumn("n", _values()).drop("_cuts")
+    # The slice is the number of cuts below the value: whole blocks first, then within a block.
+    blocks = [f"if(get(_cuts, {BLOCK * i - 1}) < value, {BLOCK}, 0)" for i in range(1, BLOCK)]
+    within = [f"if(get(_cuts, _block + {i}) < value, 1, 0)" for i in range(BLOCK)]
+    columns = [c for c in tally.columns if c != "n"]
+    return (
+        tally.select("*", cuts.scalar()[F.col("measure")].alias("_cuts"))
+        .selectExpr("*", " + ".join(blocks) + " AS _block")
+        .select(*columns, F.expr(" + ".join(["_block", *within])).alias("slice"), _values().alias("n"))
+    )
 
 
 def _wanted_ranks(probs: Sequence[float]) -> Column:
