@@ -69,7 +69,7 @@ def _counts(keys: DataFrame, intervals: list[Interval]) -> dict[int, list]:
         .where("at IS NOT NULL")
         .withColumns({"i": F.col("at.i"), "probe": F.col("at.probe")})
         .groupBy("i", "probe")
-        .agg(F.sum("size").alias("bytes"), F.min("k1").alias("low"), F.max("k1").alias("high"))
+        .agg(F.sum("size").alias("bytes"), *[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("k1", "k2")])
         .collect()
     )
     found: dict[int, list] = {i: [] for i in range(len(intervals))}
@@ -97,19 +97,16 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -
             else:  # nothing to cut
                 settled[j] = (interval.text, interval.high) if interval.text is not None else (interval.high, 0)
                 continue
-            low = interval.low + row["probe"] * interval.step
-            high = min(low + interval.step, interval.high)
-            edge = (lambda x, t=interval.text: (x, 0) if t is None else (t, x))
             above = below + row["bytes"]
-            narrow = interval.text is not None and interval.step == 1
-            if target - below <= slack and target - below <= above - target:
-                settled[j] = edge(low)
-            elif above - target <= slack or narrow:
-                settled[j] = edge(high) if above - target < target - below else edge(low)
-            elif interval.text is None and row["low"] == row["high"]:
-                after[j] = (Interval(row["low"], 0, TOP), below)
+            first = (row["min_k1"], row["min_k2"] if interval.text is not None else 0)
+            next_ = (row["max_k1"], row["max_k2"] + 1) if interval.text is not None else (row["max_k1"] + 1, 0)
+            one_text = row["min_k1"] == row["max_k1"]
+            if min(target - below, above - target) <= slack or one_text and row["min_k2"] == row["max_k2"]:
+                settled[j] = first if target - below <= above - target else next_
+            elif one_text:
+                after[j] = (Interval(row["min_k1"], row["min_k2"], row["max_k2"] + 1), below)
             else:
-                after[j] = (Interval(interval.text, low, high), below)
+                after[j] = (Interval(None, row["min_k1"], row["max_k1"] + 1), below)
         open_ = after
     return [settled[j] for j in range(1, shards)]
 
