@@ -6,10 +6,12 @@ from marketlens.llm.chat import op2_chat_format
 from marketlens.llm.decontaminate import op4_decontamination
 from marketlens.llm.mixing import op6_source_mix
 from marketlens.llm.sharding import op3_histogram_sharding
+from marketlens.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_suffix_dedup,
         op2_chat_format,
         op3_histogram_sharding,
         op4_decontamination,
