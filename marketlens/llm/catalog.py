@@ -6,6 +6,7 @@ from marketlens.llm.chat import op2_chat_format
 from marketlens.llm.decontaminate import op4_decontamination
 from marketlens.llm.mixing import op6_source_mix
 from marketlens.llm.sharding import op3_histogram_sharding
+from marketlens.llm.simhash import op8_simhash
 from marketlens.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
@@ -16,5 +17,6 @@ QUERIES = {
         op3_histogram_sharding,
         op4_decontamination,
         op6_source_mix,
+        op8_simhash,
     )
 }
