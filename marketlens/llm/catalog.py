@@ -5,6 +5,7 @@ from __future__ import annotations
 from marketlens.llm.chat import op2_chat_format
 from marketlens.llm.decontaminate import op4_decontamination
 from marketlens.llm.mixing import op6_source_mix
+from marketlens.llm.neighbours import op7_hilbert_neighbours
 from marketlens.llm.sharding import op3_histogram_sharding
 from marketlens.llm.simhash import op8_simhash
 from marketlens.llm.suffix_dedup import op1_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
         op3_histogram_sharding,
         op4_decontamination,
         op6_source_mix,
+        op7_hilbert_neighbours,
         op8_simhash,
     )
 }
