@@ -9,6 +9,7 @@ from marketlens.llm.neighbours import op7_hilbert_neighbours
 from marketlens.llm.sharding import op3_histogram_sharding
 from marketlens.llm.simhash import op8_simhash
 from marketlens.llm.suffix_dedup import op1_suffix_dedup
+from marketlens.llm.toxicity import op5_toxicity
 
 QUERIES = {
     query.__name__: query
@@ -17,6 +18,7 @@ QUERIES = {
         op2_chat_format,
         op3_histogram_sharding,
         op4_decontamination,
+        op5_toxicity,
         op6_source_mix,
         op7_hilbert_neighbours,
         op8_simhash,
