@@ -181,12 +181,13 @@ def _folded(first: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarr
         mask=pa.array(lengths == 0),
     )
     return pa.RecordBatch.from_arrays(
-        [pa.array(first[rows]), pa.array(second[rows]), pa.array(doc[rows]), pa.array(at[rows]), more],
-        names=["first", "second", "doc", "at", "more"],
+        [pa.array(first[rows]), pa.array(second[rows]), pa.array(at[rows]), pa.array(doc[rows]), more],
+        names=["first", "second", "at", "doc", "more"],
     )
 
 
-RANKED = "first long, second long, doc long, at long, more array<long>"
+# The columns that end in zero bytes stand together, which compresses best.
+RANKED = "first long, second long, at long, doc long, more array<long>"
 
 
 def _rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
