@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from marketlens.llm.chat import op2_chat_format
 from marketlens.llm.decontaminate import op4_decontamination
+from marketlens.llm.langid import op9_language_id
 from marketlens.llm.mixing import op6_source_mix
 from marketlens.llm.neighbours import op7_hilbert_neighbours
 from marketlens.llm.sharding import op3_histogram_sharding
 from marketlens.llm.simhash import op8_simhash
 from marketlens.llm.suffix_dedup import op1_suffix_dedup
 from marketlens.llm.toxicity import op5_toxicity
+from marketlens.llm.warc import op10_warc
 
 QUERIES = {
     query.__name__: query
@@ -22,5 +24,7 @@ QUERIES = {
         op6_source_mix,
         op7_hilbert_neighbours,
         op8_simhash,
+        op9_language_id,
+        op10_warc,
     )
 }
