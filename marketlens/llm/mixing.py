@@ -163,6 +163,23 @@ def mix(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     return plan, result
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents as often as the mix takes them, to the nearest whole number.
+
+    Documents without words fill no block and stay once. Rows that repeat doc_id and source share what
+    is taken of them.
+    """
+    _, mixed = mix(docs)
+    copies = mixed.groupBy("doc_id", "source").agg(
+        F.when(F.sum("size") == 0, F.lit(1)).otherwise(F.round(F.sum("taken") / F.sum("size"))).cast("int").alias("n")
+    )
+    taken = copies.where("n > 0").select(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), F.col("n").alias("n_copies"))
+    rows = docs.select("doc_id", "source", packed(docs).alias("row"))
+    same = rows["doc_id"].eqNullSafe(taken["of_doc"]) & rows["source"].eqNullSafe(taken["of_source"])
+    repeated = rows.join(taken, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("n_copies"))))
+    return unpacked(repeated, "row", docs.columns)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, mixed = mix(read(spark, sf_dir, "documents"))
     wanted = plan.select("sid", "target")
