@@ -30,7 +30,6 @@ CAP = 2
 BLOCK = 64
 CELLS = 4096  # of the grid that finds a point's source
 RUN = 65_536  # slots ranked together
-BUCKETS = 4096  # of a source's documents
 WORD = r"[^\x20\x09-\x0D]+"
 
 # frac(1 / phi) as a fraction good to 128 bits, and that of 2^20 steps.
@@ -126,12 +125,12 @@ def mix(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     plan = stage(with_stretches(targets(sized)), "mix-plan")
     slots = schedule(spark, plan.where("target > 0"))
 
-    shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     known = sized.join(
         F.broadcast(plan.select("source", "sid", "source_size")) if plan.count() <= CELLS else plan.select("source", "sid", "source_size"),
         sized["source"].eqNullSafe(plan["source"]),
     ).select("doc_id", sized["source"], "size", "sid", "source_size", shuffled.alias("h")).withColumn(
-        "bucket", F.shiftrightunsigned("h", 52)
+        "bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     )
     buckets = running(known.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "sid", "bucket", "n")
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")

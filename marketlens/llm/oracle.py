@@ -1,5 +1,132 @@
-"""The SQL that the corpus queries must agree with, where SQL can express them."""
+"""The SQL that the corpus queries must agree with, where SQL can express them.
+
+Not here: fingerprints and shards need hashes that the SQL engine lacks, neighbours differ in the last bit of a
+sum, and the classifiers are fitted by iteration. Those are tested against brute force or held-out rows.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        starts AS (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50),
+        strings AS (SELECT doc_id, p, h[p + 1 : p + 50] AS s FROM starts),
+        least AS (SELECT s, min(doc_id) AS m FROM strings GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT doc_id, p FROM strings JOIN least USING (s) WHERE doc_id > m),
+        marked AS (
+            SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM gone
+        ),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+        runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run),
+        before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM runs),
+        cut AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+                string_agg(CASE WHEN a > e THEN hex(h[e + 1 : a]) ELSE '' END, '' ORDER BY a) AS head
+            FROM before JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(CASE WHEN last IS NULL THEN h ELSE unhex(head || CASE WHEN last < n THEN hex(h[last + 1 : n]) ELSE '' END) END) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
+    "op2_chat_format": r"""
+        WITH rows_ AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        ordered AS (
+            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                length(regexp_replace(text, '([<\[])(\\*)(\||/s>|s>|INST\]|/INST\])', '\1\2\\\3', 'g')) AS text_chars,
+                length(role) AS role_chars
+            FROM rows_
+        ),
+        judged AS (
+            SELECT *, CASE role
+                WHEN 'system' THEN before IS NULL
+                WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                WHEN 'assistant' THEN coalesce(before = 'user', false)
+                ELSE false END AS fits
+            FROM ordered
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(12 + role_chars + 1 + text_chars + 11)::BIGINT AS formatted_chars,
+            bool_and(fits) AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
+        FROM judged GROUP BY conv_id""",
+    "op4_decontamination": r"""
+        WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+        d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+            FROM documents, upper_lower
+        ),
+        b AS (
+            SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+            FROM benchmark, upper_lower
+        ),
+        cut AS (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 10], ' ') AS k, len(w[s + 1 : s + 10]) AS n FROM cut),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        places AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, lengths WHERE len(w) >= n),
+        hits AS (
+            SELECT p.doc_id, p.s, p.n, x.item_id
+            FROM places p JOIN windows x ON x.n = p.n AND x.k = array_to_string(p.w[p.s + 1 : p.s + p.n], ' ')
+        ),
+        words AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM hits),
+        hit AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_source_mix": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ),
+        sums AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid
+            FROM sized GROUP BY source
+        ),
+        weighed AS (SELECT *, ([3.0, 1.0, 2.0])[((sid - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM sums),
+        levels AS (
+            SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+                - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighed
+        ),
+        common AS (SELECT min_by(level, most / weight) AS level FROM levels WHERE most > level * weight),
+        targets AS (SELECT l.* EXCLUDE (level), coalesce(least(most, c.level * weight), most) AS target FROM levels l, common c),
+        stretches AS (
+            SELECT *, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto, sum(target) OVER () AS total FROM targets
+        ),
+        plan AS (
+            SELECT *, (upto - target) / total AS low, CASE WHEN sid = max(sid) OVER () THEN 1.0 ELSE upto / total END AS high
+            FROM stretches
+        ),
+        slots AS (SELECT unnest(range(ceil((SELECT max(total) FROM plan) / 64)::BIGINT)) AS slot),
+        points AS (
+            SELECT slot, ((((slot + 1) // 1048576) * 0.607787409740351::DOUBLE) % 1 + (((slot + 1) % 1048576) * 0.6180339887498949::DOUBLE) % 1) % 1 AS u
+            FROM slots
+        ),
+        counts AS (SELECT sid, count(*) AS n FROM points JOIN plan ON low <= u AND u < high GROUP BY sid),
+        placed AS (
+            SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.sid,
+                sum(s.size) OVER (PARTITION BY p.sid ORDER BY md5('0:' || s.doc_id::VARCHAR), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS first
+            FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+        )
+        SELECT doc_id, size, source_size, target, source,
+            (greatest(0, least(first + size, n * 64) - first)
+                + greatest(0, least(first + source_size + size, n * 64) - first - source_size))::BIGINT AS taken
+        FROM placed JOIN counts USING (sid)""",
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+        ),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM q""",
+}

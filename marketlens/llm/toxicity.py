@@ -48,7 +48,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôö
 LETTER = {c: i + 2 for i, c in enumerate(ALPHABET)}  # 0: between words, 1: any other letter
 SIZE = 64
 EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’%&#*$@|~^`_=+/\\-"
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._\-*][^\W_]){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\w)[^\W_](?:[ ._\-*][^\W_]){2,}(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 TOKEN = re.compile(r"\S*")
 TAIL = re.compile(r"([*#%&$@!?.+])\1+$")

@@ -175,8 +175,8 @@ def salvage(data: bytes) -> Iterator[dict]:
                 continue
             if lost < 0:
                 lost, why = at, wrong
-            following = contents.find(b"\n" + VERSION, at)
-            at = following + 1 if following >= 0 else len(contents)
+            following = contents.find(VERSION, at + 1)
+            at = following if following >= 0 else len(contents)
         if lost >= 0:
             yield {"gap": why, "member": member, "offset": lost, "length": len(contents) - lost}
 
