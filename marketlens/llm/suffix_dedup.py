@@ -10,7 +10,7 @@ pairs and every round drops the positions whose rank is found in one document on
    string whose position has a unique rank can't repeat. Positions that agree on all bytes
    of all strings they stand for are settled here: the smallest document keeps them.
 2. 32 bytes, the 16 doubled to the left or to the right; what is left after it is few.
-3. 50 bytes: ranks of 32 bytes paired at an offset of 18, two independent 64-bit names.
+3. 50 bytes: ranks of 32 bytes paired at an offset of 18, names of 96 bits.
 
 Sorting every position in every round, as plain prefix doubling does, moves some ten times the
 corpus through each shuffle; this moves one row for about 18 bytes, once.
@@ -157,8 +157,11 @@ def _anchors(data: np.ndarray, docs: list[tuple[int, int, int, int]]) -> tuple[n
     return core[anchor].view(np.int64), context.view(np.int64), of[low], at
 
 
-def _folded(first: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row per pair of ranks: the least document, and the others as a list of document, place, document, place."""
+def _folded(first: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarray, with_second: bool) -> pa.RecordBatch:
+    """One row per pair of ranks: the least document, and the others as a list of document, place, document, place.
+
+    The columns that end in zero bytes stand together, which compresses best.
+    """
     key = _mix(first.view(np.uint64) * _M + second.view(np.uint64))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -181,13 +184,13 @@ def _folded(first: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarr
         mask=pa.array(lengths == 0),
     )
     return pa.RecordBatch.from_arrays(
-        [pa.array(first[rows]), pa.array(second[rows]), pa.array(at[rows]), pa.array(doc[rows]), more],
-        names=["first", "second", "at", "doc", "more"],
+        [pa.array(first[rows]), *([pa.array(second[rows])] if with_second else []), pa.array(at[rows]), pa.array(doc[rows]), more],
+        names=["first", *(["second"] if with_second else []), "at", "doc", "more"],
     )
 
 
-# The columns that end in zero bytes stand together, which compresses best.
 RANKED = "first long, second long, at long, doc long, more array<long>"
+NAMED = "first long, at long, doc long, more array<long>"
 
 
 def _rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +198,11 @@ def _rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids, data, offsets = _columns(batch)
         found = [_anchors(data[low:high], docs) for low, high, docs in _pieces(offsets, ids)]
         if found:
-            yield _folded(*map(np.concatenate, zip(*found)))
+            yield _folded(*map(np.concatenate, zip(*found)), True)
 
 
 def _rank_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of the 50-byte strings that start in each document's ranges."""
+    """Names of 96 bits of the 50-byte strings that start in each document's ranges; ``at`` packs place and half a name."""
     for batch in batches:
         ids, data, offsets = _columns(batch)
         ranges = batch.column("ranges")
@@ -221,7 +224,9 @@ def _rank_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 places = begin + starts
                 found.append((one[places].view(np.int64), two[places].view(np.int64), np.full(len(starts), doc), starts + inside))
         if found:
-            yield _folded(*map(np.concatenate, zip(*found)))
+            first, second, doc, place = map(np.concatenate, zip(*found))
+            half = second & 0xFFFFFFFF
+            yield _folded(first, half, doc, place << 32 | half, False)
 
 
 def _occurrences(ranked: DataFrame, *keys: str) -> DataFrame:
@@ -281,16 +286,19 @@ def find_repeats(docs: DataFrame) -> list[DataFrame]:
         .withColumns({"low_doc": F.min("doc").over(by_half), "high_doc": F.max("doc").over(by_half)})
         .where("low_doc < high_doc")
     )
-    ranges = halves.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = stage(
+        halves.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "repeats-32"
+    )
 
     # Round of 50 bytes.
-    strings = texts.join(ranges.withColumnRenamed("doc", "doc_id"), "doc_id").mapInArrow(_rank_strings, RANKED)
+    strings = texts.join(ranges, "doc_id").mapInArrow(_rank_strings, NAMED)
+    named = strings.withColumn("second", F.col("at").bitwiseAND(F.lit(2**32 - 1)))
+    low = F.shiftright("at", 32)
     edges = stage(
-        _occurrences(strings, "first", "second").where("doc > least").select(
-            "doc", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high")
-        ),
+        _occurrences(named, "first", "second").where("doc > least").select("doc", low.alias("low"), (low + LENGTH).alias("high")),
         "repeats-50",
     )
+    release(ranges)
     return [settled, edges]
 
 
