@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.testdata import centroids, fact, order_rollup, raw_tables
+from checks.testdata import STATE_CODES, centroids, fact, order_rollup, raw_tables
 from marketlens.functions.text import pad_zip
 from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest
 from marketlens.plans import (
@@ -27,9 +27,10 @@ from marketlens.plans import (
     rollups,
     sellers,
 )
-from marketlens.session import stage
-from marketlens.sources.states import with_state_name
-from marketlens.sources.tables import query, register_views
+from marketlens.session import new_table_path
+from marketlens.sources import raw as raw_sources
+from marketlens.sources.states import read_boundaries, with_boundary, with_state_name
+from marketlens.sources.tables import query, register_views, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +38,7 @@ WINDOW = FilterSpec(date_from=date(1996, 2, 10), date_to=date(1999, 8, 5))
 PICKED = FilterSpec(
     date_from=None,
     date_to=None,
-    states=("SP", "RJ", "MG", "BA", "NATION_23"),
+    states=("SP", "RJ", "MG", "BA", "AC"),
     categories=("economy_1_en", "large_2_en", "promo_3_en", "standard_0_en"),
     statuses=("delivered", "shipped"),
 )
@@ -50,7 +51,7 @@ ALL_KEYS = FilterSpec(
     min_value=100.5,
 )
 MANY = FilterSpec(date_from=WINDOW.date_from, date_to=WINDOW.date_to, min_value=100.5)
-SOUTH_SELLERS = FilterSpec(date_from=None, date_to=None, seller_states=("SP", "PR", "NATION_24"))
+SOUTH_SELLERS = FilterSpec(date_from=None, date_to=None, seller_states=("SP", "PR", "RS"))
 DELIVERED_FROM_SOUTH = FilterSpec(
     date_from=WINDOW.date_from,
     date_to=WINDOW.date_to,
@@ -121,8 +122,91 @@ def clean_zip_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    text = F.when(F.col("o_orderkey") % 97 == 0, "bad").otherwise(F.col("o_orderdate").cast("string"))
-    return orders.select("o_orderkey", text.try_cast("timestamp_ntz").alias("ts"))
+    return raw_sources.clean(_order_texts(orders), "orders").select(
+        F.col("order_id").cast("long").alias("o_orderkey"), F.col("order_approved_at").alias("ts")
+    )
+
+
+def _order_texts(orders: DataFrame) -> DataFrame:
+    """Orders as texts, some of them unreadable or words for no value."""
+    key, placed = F.col("o_orderkey"), F.col("o_orderdate").cast("string")
+    return orders.select(
+        key.cast("string").alias("order_id"),
+        F.when(key % 31 == 0, "NULL").otherwise(F.col("o_custkey").cast("string")).alias("customer_id"),
+        F.when(key % 13 == 0, "nan").otherwise(F.col("o_orderstatus")).alias("order_status"),
+        placed.alias("order_purchase_timestamp"),
+        F.when(key % 97 == 0, "bad").otherwise(placed).alias("order_approved_at"),
+        F.lit("NaN").alias("order_delivered_carrier_date"),
+        F.lit(None).cast("string").alias("order_delivered_customer_date"),
+        placed.alias("order_estimated_delivery_date"),
+    )
+
+
+def _customer_texts(customer: DataFrame) -> DataFrame:
+    """Customers as texts: codes without their leading zeros, quotes and commas in names."""
+    key = F.col("c_custkey")
+    return customer.select(
+        key.cast("string").alias("customer_id"),
+        F.floor(key / 2).cast("string").alias("customer_unique_id"),
+        F.when(key % 19 == 0, "N/A").otherwise((key * 7).cast("string")).alias("customer_zip_code_prefix"),
+        F.concat(F.col("c_mktsegment"), F.lit(', "'), key.cast("string"), F.lit('"')).alias("customer_city"),
+        F.when(key % 11 == 0, "null").otherwise("SP").alias("customer_state"),
+    )
+
+
+def _review_texts(orders: DataFrame) -> DataFrame:
+    """Reviews as texts: whole numbers with a decimal point, comments over two lines."""
+    key, placed = F.col("o_orderkey"), F.col("o_orderdate").cast("string")
+    return orders.select(
+        key.cast("string").alias("order_id"),
+        F.concat((key % 5 + 1).cast("string"), F.lit(".0")).alias("review_score"),
+        placed.alias("review_creation_date"),
+        F.when(key % 3 == 0, "soon").otherwise(placed).alias("review_answer_timestamp"),
+        F.concat(F.lit("line "), key.cast("string"), F.lit('\nsaid "so", twice')).alias("review_comment_message"),
+    )
+
+
+def _ingested(source: str, texts: Callable[[DataFrame], DataFrame], table: str, sink: bool = False) -> Query:
+    """A table written as CSV files, then read and cleaned; with ``sink`` also stored as Parquet and read again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_table_path(spark, table)
+        rows = texts(spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+        rows.write.option("header", True).option("escape", '"').csv(path)
+        read = raw_sources.read_csv(spark, table, path)
+        return spark.read.parquet(write_table(read, new_table_path(spark, "tables"), table)) if sink else read
+
+    return run
+
+
+def state_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State metrics with polygons from a collection of features, one for each nation."""
+    k = F.col("n_nationkey")
+    corners = [F.array(x, F.lit(y)) for x, y in ((k, 0), (k, 1), (k + 1, 1), (k, 0))]
+    codes = F.array(*map(F.lit, STATE_CODES))
+    nations = with_state_name(spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("uf", F.get(codes, k.cast("int"))), "uf")
+    feature = F.struct(
+        F.struct("uf", "state_name").alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*corners)).alias("coordinates")).alias("geometry"),
+    )
+    path = new_table_path(spark, "boundaries")
+    nations.agg(F.collect_list(feature).alias("features")).write.json(path)
+    metrics = geo.state_metrics(order_rollup(spark, sf_dir), ALL_ROWS).select("customer_state", "order_count")
+    return with_boundary(metrics, read_boundaries(spark, path))
+
+
+def quality_checks_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, raw = fact(spark, sf_dir), raw_tables(spark, sf_dir)
+    found = quality.quality_checks(
+        prepared, raw["order_items"], raw["geolocation"], centroids(spark, sf_dir), order_rollup(spark, sf_dir),
+        statuses=["delivered"], min_distance_share=0.999, late_share=(0.0, 0.0001),
+    )
+    return found.where(F.col("check").isin("distance_share", "late_share", "unknown_statuses"))
+
+
+def _positioned(first: Query) -> Query:
+    """With the place of each row in the order the plan returns."""
+    return _then(first, lambda df: df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1))
 
 
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +214,10 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_checks(
         prepared,
         raw["order_items"],
+        raw["geolocation"],
         centroids(spark, sf_dir),
         order_rollup(spark, sf_dir),
         min_distance_share=0.9,
-        late_items=(1, 2**62),
     )
 
 
@@ -142,10 +226,6 @@ def dim_state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_state_name(by_state.select("customer_state", F.col("order_count").alias("orders")))
 
 
-def _staged(first: Query, name: str) -> Query:
-    return _then(first, lambda df: stage(df, name))
-
-
 STATE_METRICS = _on_orders(geo.state_metrics)
 ROUTES = _on_fact(flow.routes)
 LEADERBOARD = _on_fact(sellers.leaderboard)
@@ -156,6 +236,10 @@ QUERIES: dict[str, Query] = {
     "scan_views": scan_views,
     "clean_zip_pad": clean_zip_pad,
     "clean_timestamps": clean_timestamps,
+    "ingest_orders": _ingested("orders", _order_texts, "orders"),
+    "ingest_customers": _ingested("customer", _customer_texts, "customers"),
+    "ingest_reviews": _ingested("orders", _review_texts, "order_reviews"),
+    "ingest_parquet": _ingested("customer", _customer_texts, "customers", sink=True),
     "geo_centroids": centroids,
     "order_review_agg": lambda spark, sf_dir: etl.review_summary(raw_tables(spark, sf_dir)["order_reviews"]),
     "order_payment_agg": lambda spark, sf_dir: etl.payment_summary(raw_tables(spark, sf_dir)["order_payments"]),
@@ -186,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "rollup_order": lambda spark, sf_dir: order_rollup(spark, sf_dir),
     "rollup_seller": lambda spark, sf_dir: rollups.by_seller(fact(spark, sf_dir)),
     "quality_checks": quality_checks,
+    "quality_checks_failing": quality_checks_failing,
     # Filters
     "filter_all": _filtered(ALL_KEYS, "total_item_value"),
     "filter_date_range": _filtered(WINDOW, "order_purchase_timestamp"),
@@ -197,6 +282,8 @@ QUERIES: dict[str, Query] = {
     "overview_kpis": _on_orders(overview.kpis),
     "monthly_orders": _on_orders(overview.monthly_orders),
     "top_states_gmv": _on_orders(overview.top_states),
+    "overview_kpis_default": _on_orders(overview.kpis, FilterSpec()),
+    "state_boundaries": state_boundaries,
     "overview_kpis_filtered": _on_orders(overview.kpis, ALL_KEYS),
     "geo_state_metrics": STATE_METRICS,
     "geo_state_metrics_filtered": _on_orders(geo.state_metrics, MANY),
@@ -210,19 +297,20 @@ QUERIES: dict[str, Query] = {
     "flow_routes_filtered": _round(_on_fact(flow.routes, DELIVERED_FROM_SOUTH, 5), 3, "avg_distance_km"),
     "flow_kpis": _on_fact(flow.kpis),
     "flow_matrix": _on_fact(flow.matrix),
+    "flow_matrix_wide": _then(_on_fact(flow.matrix), lambda long: flow.matrix_wide(long, ["SP", "RJ", "AC"])),
     "flow_top_routes": _round(_on_fact(flow.top_routes), 3, "avg_distance_km"),
     "flow_route_labels": _then(_on_fact(flow.top_routes), flow.route_labels),
     # Delivery
     "delivery_kpis": _on_orders(delivery.kpis),
     "delay_by_state": DELAYS,
     "delay_medians_filtered": _on_orders(delivery.delay_medians, MANY),
-    "delay_summary": _on_orders(delivery.delay_summary),
+    "delay_summary": _positioned(_on_orders(delivery.delay_summary)),
     "stage_breakdown": _on_orders(delivery.stage_breakdown),
     "stage_breakdown_long": _on_orders(delivery.stage_breakdown_long),
     "delay_histogram": _on_orders(delivery.delay_histogram),
     "delay_medians": _on_orders(delivery.delay_medians),
     # Categories
-    "category_scorecard": _on_fact(category.scorecard),
+    "category_scorecard": _positioned(_on_fact(category.scorecard)),
     "category_kpis": _round(_on_fact(category.kpis), 9, "avg_review_score", "avg_late_pct"),
     "category_flags": _on_fact(category.flags),
     "category_quadrants": _round(_on_fact(category.quadrants), 6, "bubble_size"),
@@ -238,15 +326,16 @@ QUERIES: dict[str, Query] = {
     "seller_worst5": _on_fact(sellers.worst5),
     # Payments
     "payment_kpis": _on_orders(payments.kpis),
-    "payment_mix": _on_fact(payments.mix),
+    "payment_mix": _positioned(_on_fact(payments.mix)),
     "installments_monthly": _on_orders(payments.installments_monthly),
     "installment_order_level": _on_orders(payments.installment_orders),
     "installment_box": _on_orders(payments.installment_box),
     "payment_summary": _on_orders(payments.type_summary),
-    "installment_summary": _on_orders(payments.bucket_summary),
+    "installment_summary": _positioned(_on_orders(payments.bucket_summary)),
     "installment_box_filtered": _on_orders(payments.installment_box, MANY),
     # Cohorts, reviews, funnel
     "cohort_retention": _on_orders(cohorts.retention),
+    "cohort_retention_wide": _then(_on_orders(cohorts.retention), lambda long: cohorts.retention_wide(long, [0, 1, 6])),
     "cohort_retention_window": _on_orders(cohorts.retention, WINDOW),
     "repeat_purchase_kpis": _on_orders(cohorts.repeat_kpis),
     "repeat_purchase_kpis_window": _on_orders(cohorts.repeat_kpis, SPRING),
@@ -260,10 +349,8 @@ QUERIES: dict[str, Query] = {
     "status_breakdown": _on_orders(funnel.status_breakdown),
     "stage_median_by_status": _on_orders(funnel.stage_medians),
     # Map marks
-    "scaled_marks": _then(_staged(STATE_METRICS, "state_metrics"), marks.state_bubbles),
-    "scaled_marks_flow": _then(
-        _staged(ROUTES, "routes"), lambda routes: marks.flow_arcs(routes, "avg_delay_days")
-    ),
-    "scaled_marks_seller": _round(_then(_staged(LEADERBOARD, "sellers"), marks.seller_points), 3, "radius"),
-    "delay_divergence": _then(_staged(DELAYS, "delays"), marks.delay_points),
+    "scaled_marks": _then(STATE_METRICS, marks.state_bubbles),
+    "scaled_marks_flow": _then(ROUTES, lambda routes: marks.flow_arcs(routes, "avg_delay_days")),
+    "scaled_marks_seller": _round(_then(LEADERBOARD, marks.seller_points), 3, "radius"),
+    "delay_divergence": _then(DELAYS, marks.delay_points),
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 RAW = """
 state_codes AS (
     SELECT ['RO','AC','AM','RR','PA','AP','TO','MA','PI','CE','RN','PB','PE','AL','SE','BA','MG','ES','RJ','SP',
-            'PR','SC','RS'] AS codes
+            'PR','SC','RS','MS','MT','GO','DF','XX'] AS codes
 ),
 raw_customers AS (
     SELECT c_custkey AS customer_id,
@@ -14,7 +14,7 @@ raw_customers AS (
            CASE WHEN length((c_custkey * 2)::VARCHAR) < 5 THEN lpad((c_custkey * 2)::VARCHAR, 5, '0')
                 ELSE (c_custkey * 2)::VARCHAR END AS zip,
            lower(c_mktsegment) || ' ' || (c_custkey % 12)::VARCHAR AS customer_city,
-           coalesce(codes[c_nationkey + 1], 'NATION_' || c_nationkey::VARCHAR) AS customer_state
+           codes[c_custkey % 28 + 1] AS customer_state
     FROM customer, state_codes
 ),
 raw_sellers AS (
@@ -22,7 +22,7 @@ raw_sellers AS (
            CASE WHEN length((s_suppkey * 2 + 1)::VARCHAR) < 5 THEN lpad((s_suppkey * 2 + 1)::VARCHAR, 5, '0')
                 ELSE (s_suppkey * 2 + 1)::VARCHAR END AS zip,
            'porto ' || (s_suppkey % 9)::VARCHAR AS seller_city,
-           coalesce(codes[s_nationkey + 1], 'NATION_' || s_nationkey::VARCHAR) AS seller_state
+           codes[s_suppkey % 28 + 1] AS seller_state
     FROM supplier, state_codes
 ),
 raw_geolocation AS (
@@ -152,7 +152,7 @@ customer_side AS (
 ),
 order_side AS (
     SELECT * REPLACE (avg_review_score::FLOAT AS avg_review_score, review_count::INT AS review_count,
-                      total_payment::FLOAT AS total_payment, max_installments::TINYINT AS max_installments)
+                      total_payment::FLOAT AS total_payment, max_installments::INTEGER AS max_installments)
     FROM raw_orders
     JOIN customer_side USING (customer_id)
     LEFT JOIN order_reviews USING (order_id)
@@ -214,7 +214,7 @@ def over_fact(select: str, *ctes: str) -> str:
 # Conditions used by the queries.
 WINDOW = "order_purchase_timestamp >= DATE '1996-02-10' AND order_purchase_timestamp <= DATE '1999-08-05'"
 PICKED = """
-    customer_state IN ('SP', 'RJ', 'MG', 'BA', 'NATION_23')
+    customer_state IN ('SP', 'RJ', 'MG', 'BA', 'AC')
     AND product_category_name_english IN ('economy_1_en', 'large_2_en', 'promo_3_en', 'standard_0_en')
     AND order_status IN ('delivered', 'shipped')"""
 MANY = f"{WINDOW} AND total_item_value >= 100.5"
@@ -378,6 +378,26 @@ ORACLE: dict[str, str] = {
     "clean_timestamps": """SELECT o_orderkey,
         TRY_CAST(CASE WHEN o_orderkey % 97 = 0 THEN 'bad' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP)
             AS ts FROM orders""",
+    "ingest_orders": """SELECT o_orderkey::VARCHAR AS order_id,
+        CASE WHEN o_orderkey % 31 <> 0 THEN o_custkey::VARCHAR END AS customer_id,
+        CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS order_status,
+        o_orderdate AS order_purchase_timestamp,
+        CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate END AS order_approved_at,
+        NULL::TIMESTAMP AS order_delivered_carrier_date, NULL::TIMESTAMP AS order_delivered_customer_date,
+        o_orderdate AS order_estimated_delivery_date FROM orders""",
+    "ingest_customers": """SELECT c_custkey::VARCHAR AS customer_id, (c_custkey // 2)::VARCHAR AS customer_unique_id,
+        CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN length((c_custkey * 7)::VARCHAR) < 5
+            THEN lpad((c_custkey * 7)::VARCHAR, 5, '0') ELSE (c_custkey * 7)::VARCHAR END AS customer_zip_code_prefix,
+        c_mktsegment || ', "' || c_custkey::VARCHAR || '"' AS customer_city,
+        CASE WHEN c_custkey % 11 <> 0 THEN 'SP' END AS customer_state FROM customer""",
+    "ingest_reviews": """SELECT o_orderkey::VARCHAR AS order_id, (o_orderkey % 5 + 1)::TINYINT AS review_score,
+        o_orderdate AS review_creation_date, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS review_answer_timestamp,
+        'line ' || o_orderkey::VARCHAR || chr(10) || 'said "so", twice' AS review_comment_message FROM orders""",
+    "ingest_parquet": """SELECT c_custkey::VARCHAR AS customer_id, (c_custkey // 2)::VARCHAR AS customer_unique_id,
+        CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN length((c_custkey * 7)::VARCHAR) < 5
+            THEN lpad((c_custkey * 7)::VARCHAR, 5, '0') ELSE (c_custkey * 7)::VARCHAR END AS customer_zip_code_prefix,
+        c_mktsegment || ', "' || c_custkey::VARCHAR || '"' AS customer_city,
+        CASE WHEN c_custkey % 11 <> 0 THEN 'SP' END AS customer_state FROM customer""",
     "geo_centroids": over_centroids("SELECT * FROM centroids"),
     "order_review_agg": over_summaries("SELECT * FROM order_reviews"),
     "order_payment_agg": over_summaries("SELECT * FROM order_payments"),
@@ -428,10 +448,10 @@ ORACLE: dict[str, str] = {
     "quality_checks": over_fact(
         """SELECT 'fact_rows_minus_item_rows' AS "check", (fact_rows - item_rows)::DOUBLE AS observed,
                fact_rows = item_rows AS passed FROM seen
-        UNION ALL SELECT 'duplicate_zips', (zip_rows - zips)::DOUBLE, zip_rows = zips FROM seen
+        UNION ALL SELECT 'lost_zips', (zips - zip_rows)::DOUBLE, zip_rows = zips FROM seen
         UNION ALL SELECT 'duplicate_orders', (order_rows - orders)::DOUBLE, order_rows = orders FROM seen
         UNION ALL SELECT 'distance_share', located / fact_rows, located / fact_rows > 0.9 FROM seen
-        UNION ALL SELECT 'late_items', late::DOUBLE, late BETWEEN 1 AND fact_rows FROM seen
+        UNION ALL SELECT 'late_share', late::DOUBLE / fact_rows, true FROM seen
         UNION ALL SELECT 'unknown_statuses', unknown::DOUBLE, unknown = 0 FROM seen
         UNION ALL SELECT 'pickup_before_approval', pickup_first::DOUBLE, true FROM seen""",
         """seen AS (
@@ -444,9 +464,17 @@ ORACLE: dict[str, str] = {
                    SELECT DISTINCT order_id, customer_id, customer_unique_id, order_status, order_purchase_timestamp,
                           delay_days, avg_review_score, primary_payment_type FROM fact) o) AS order_rows,
                (SELECT count(*) FROM raw_items) AS item_rows, (SELECT count(*) FROM centroids) AS zip_rows,
-               (SELECT count(DISTINCT zip) FROM centroids) AS zips
+               (SELECT count(DISTINCT zip) FROM raw_geolocation) AS zips
         FROM fact)""",
     ),
+    "quality_checks_failing": over_fact(
+        """SELECT 'distance_share' AS "check", count(seller_customer_distance_km)::DOUBLE / count(*) AS observed,
+            count(seller_customer_distance_km)::DOUBLE / count(*) > 0.999 AS passed FROM fact
+        UNION ALL SELECT 'late_share', count(*) FILTER (delay_days > 0)::DOUBLE / count(*),
+            count(*) FILTER (delay_days > 0)::DOUBLE / count(*) BETWEEN 0.0 AND 0.0001 FROM fact
+        UNION ALL SELECT 'unknown_statuses', count(DISTINCT order_status) FILTER (order_status <> 'delivered')::DOUBLE,
+            count(DISTINCT order_status) FILTER (order_status <> 'delivered') = 0 FROM fact"""
+    ),
     # Filters
     "filter_all": over_fact(
         f"SELECT {FACT_KEYS}, total_item_value FROM fact WHERE {WINDOW} AND {PICKED} AND total_item_value >= 100.5"
@@ -455,7 +483,7 @@ ORACLE: dict[str, str] = {
     "filter_in_lists": over_fact(f"SELECT {FACT_KEYS}, customer_state, order_status FROM fact WHERE {PICKED}"),
     "filter_min_value": over_fact(f"SELECT {FACT_KEYS}, total_item_value FROM fact WHERE total_item_value >= 512.25"),
     "filter_seller_state": over_fact(
-        f"SELECT {FACT_KEYS}, seller_state FROM fact WHERE seller_state IN ('SP', 'PR', 'NATION_24')"
+        f"SELECT {FACT_KEYS}, seller_state FROM fact WHERE seller_state IN ('SP', 'PR', 'RS')"
     ),
     "filter_options": over_fact(
         """SELECT DISTINCT 'customer_state' AS "filter", customer_state AS "option" FROM fact
@@ -508,11 +536,25 @@ ORACLE: dict[str, str] = {
         LEFT JOIN names n ON n.uf = f.customer_state""",
         STATE_NAMES,
     ),
+    "overview_kpis_default": over_fact(
+        f"""SELECT count(DISTINCT order_id) AS total_orders, sum(total_item_value) AS total_gmv,
+        avg(avg_review_score) AS avg_review_score, CASE WHEN count(*) > 0 THEN {LATE_PCT} END AS late_delivery_pct FROM fact
+        WHERE order_purchase_timestamp >= DATE '2016-09-04' AND order_purchase_timestamp <= DATE '2018-09-03'"""
+    ),
+    "state_boundaries": over_fact(
+        f"""SELECT customer_state, order_count, state_name,
+            CASE WHEN k IS NOT NULL THEN '{{"type":"Polygon","coordinates":[[['||k||',0],['||k||',1],['||(k + 1)||',1],['||k||',0]]]}}' END
+                AS geometry
+        FROM (SELECT customer_state, count(DISTINCT order_id) AS order_count FROM fact GROUP BY 1) m
+        LEFT JOIN (SELECT n_nationkey AS k, codes[n_nationkey + 1] AS uf FROM nation, state_codes) b ON uf = customer_state
+        LEFT JOIN names n ON n.uf = b.uf""",
+        STATE_NAMES,
+    ),
     # Flows
     "flow_routes": over_fact("SELECT * REPLACE (round(avg_distance_km, 3) AS avg_distance_km) FROM routes", routes(50)),
     "flow_routes_filtered": over_fact(
         "SELECT * REPLACE (round(avg_distance_km, 3) AS avg_distance_km) FROM routes",
-        routes(5, f"{WINDOW} AND order_status IN ('delivered') AND seller_state IN ('SP', 'PR', 'NATION_24')"),
+        routes(5, f"{WINDOW} AND order_status IN ('delivered') AND seller_state IN ('SP', 'PR', 'RS')"),
     ),
     "flow_kpis": over_fact(
         f"""SELECT count(*) FILTER ({CROSSES}) AS cross_state_routes, sum(gmv) AS total_gmv,
@@ -526,6 +568,12 @@ ORACLE: dict[str, str] = {
         """SELECT seller_state, customer_state, count(DISTINCT order_id) AS order_count FROM fact
         WHERE seller_state IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1, 2"""
     ),
+    "flow_matrix_wide": over_fact(
+        """SELECT seller_state, count(DISTINCT order_id) FILTER (customer_state = 'SP') AS "SP",
+        count(DISTINCT order_id) FILTER (customer_state = 'RJ') AS "RJ",
+        count(DISTINCT order_id) FILTER (customer_state = 'AC') AS "AC" FROM fact
+        WHERE seller_state IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1"""
+    ),
     "flow_top_routes": over_fact(
         f"""SELECT seller_state, customer_state, order_count, gmv, avg_delay_days,
         round(avg_distance_km, 3) AS avg_distance_km FROM routes WHERE {CROSSES}
@@ -547,7 +595,9 @@ ORACLE: dict[str, str] = {
     ),
     "delay_by_state": over_fact("SELECT * FROM delays", DELAYS),
     "delay_summary": over_fact(
-        "SELECT customer_state, avg_delay_days, late_pct, avg_transit_days FROM delays WHERE avg_delay_days IS NOT NULL", DELAYS
+        """SELECT customer_state, avg_delay_days, late_pct, avg_transit_days,
+        row_number() OVER (ORDER BY avg_delay_days DESC NULLS LAST, customer_state NULLS LAST) AS position
+        FROM delays WHERE avg_delay_days IS NOT NULL""", DELAYS
     ),
     "stage_breakdown": over_fact("SELECT * FROM stages", STAGES),
     "stage_breakdown_long": over_fact(
@@ -572,7 +622,9 @@ ORACLE: dict[str, str] = {
         quantile_cont(delay_days::DOUBLE, 0.5) FILTER (delay_days <= 0) AS median_early FROM fact WHERE {MANY}"""
     ),
     # Categories
-    "category_scorecard": over_fact("SELECT * FROM categories", CATEGORIES),
+    "category_scorecard": over_fact(
+        "SELECT *, row_number() OVER (ORDER BY gmv DESC NULLS LAST, category NULLS LAST) AS position FROM categories", CATEGORIES
+    ),
     "category_kpis": over_fact(
         """SELECT count(*) AS n_categories, sum(gmv) AS total_gmv, round(avg(avg_review_score), 9) AS avg_review_score,
         round(avg(late_pct), 9) AS avg_late_pct FROM categories""",
@@ -643,7 +695,9 @@ ORACLE: dict[str, str] = {
     ),
     "payment_mix": over_fact(
         f"""SELECT value_tier, primary_payment_type, {PAY_LABEL} AS payment_label, order_count,
-        order_count / sum(order_count) OVER (PARTITION BY value_tier)::DOUBLE * 100 AS pct
+        order_count / sum(order_count) OVER (PARTITION BY value_tier)::DOUBLE * 100 AS pct,
+        row_number() OVER (ORDER BY list_position(['<50', '50–200', '200–500', '500–1000', '1000+'], value_tier),
+            primary_payment_type) AS position
         FROM (SELECT {TIER} AS value_tier, primary_payment_type, count(DISTINCT order_id) AS order_count
               FROM fact WHERE primary_payment_type IS NOT NULL GROUP BY 1, 2) t"""
     ),
@@ -663,8 +717,10 @@ ORACLE: dict[str, str] = {
         FROM fact WHERE primary_payment_type IS NOT NULL GROUP BY primary_payment_type"""
     ),
     "installment_summary": over_fact(
-        f"""SELECT {bucket('max_installments')} AS installment_bucket, count(DISTINCT order_id) AS orders,
-        avg(avg_review_score) AS avg_review, {LATE_PCT} AS late_pct FROM fact WHERE max_installments > 0 GROUP BY 1"""
+        f"""SELECT *, row_number() OVER (ORDER BY list_position(['1', '2–3', '4–6', '7–12', '12+'], installment_bucket))
+            AS position
+        FROM (SELECT {bucket('max_installments')} AS installment_bucket, count(DISTINCT order_id) AS orders,
+            avg(avg_review_score) AS avg_review, {LATE_PCT} AS late_pct FROM fact WHERE max_installments > 0 GROUP BY 1) b"""
     ),
     "installment_box_filtered": over_fact(
         f"SELECT * EXCLUDE (measure) FROM ({box('installment_bucket', 'order_level', 'avg_review_score')}) b",
@@ -672,6 +728,12 @@ ORACLE: dict[str, str] = {
     ),
     # Cohorts, reviews, funnel
     "cohort_retention": over_fact(RETENTION, cohorts("true")),
+    "cohort_retention_wide": over_fact(
+        f"""SELECT cohort_month, max(retention_pct) FILTER (months_since_first = 0) AS "0",
+        max(retention_pct) FILTER (months_since_first = 1) AS "1", max(retention_pct) FILTER (months_since_first = 6) AS "6"
+        FROM ({RETENTION}) r GROUP BY cohort_month""",
+        cohorts("true"),
+    ),
     "cohort_retention_window": over_fact(RETENTION, cohorts(WINDOW)),
     "repeat_purchase_kpis": over_fact(repeat("true")),
     "repeat_purchase_kpis_window": over_fact(

@@ -14,15 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import pad_zip
-from marketlens.plans.etl import geo_centroids, staged_fact
+from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
 from marketlens.plans.rollups import by_order
-from marketlens.session import new_table_path, size_for, stage, tune
+from marketlens.session import discard, new_table_path, size_for, stage, stored_bytes, tune
 from marketlens.sources.states import STATES
-from marketlens.sources.tables import balanced, is_complete, stored_bytes, write_fact
+from marketlens.sources.tables import balanced, is_complete, write_fact
 
 SOURCE_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "nation"]
-# The last two nations have no state code; their name stands for it.
-STATE_CODES = [uf for _, uf, _ in STATES][:23]
+STATE_CODES = [uf for _, uf, _ in STATES]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +32,10 @@ def _hours(c: Column) -> Column:
     return F.make_dt_interval(hours=c.cast("int"))
 
 
-def _state(nation_key: str) -> Column:
-    codes = F.array(*map(F.lit, STATE_CODES))
-    return F.coalesce(F.get(codes, F.col(nation_key)), F.concat(F.lit("NATION_"), F.col(nation_key)))
+def _state(key: str) -> Column:
+    """All states in turn, and one code that none has."""
+    codes = F.array(*map(F.lit, [*STATE_CODES, "XX"]))
+    return F.get(codes, (F.col(key) % (len(STATE_CODES) + 1)).cast("int"))
 
 
 def _zip(code: Column) -> Column:
@@ -53,7 +53,7 @@ def _customers(customer: DataFrame) -> DataFrame:
         (key - key % 2).alias("customer_unique_id"),
         _zip(key * 2).alias("customer_zip_code_prefix"),
         F.concat(F.lower("c_mktsegment"), F.lit(" "), key % 12).alias("customer_city"),
-        _state("c_nationkey").alias("customer_state"),
+        _state("c_custkey").alias("customer_state"),
     )
 
 
@@ -63,7 +63,7 @@ def _sellers(supplier: DataFrame) -> DataFrame:
         F.col("s_name").alias("seller_id"),
         _zip(key * 2 + 1).alias("seller_zip_code_prefix"),
         F.concat(F.lit("porto "), key % 9).alias("seller_city"),
-        _state("s_nationkey").alias("seller_state"),
+        _state("s_suppkey").alias("seller_state"),
     )
 
 
@@ -223,21 +223,30 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo_centroids(raw_tables(spark, sf_dir)["geolocation"])
 
 
+def build_order_side(spark: SparkSession, sf_dir: str) -> str:
+    raw = raw_tables(spark, sf_dir)
+    size_for(spark, stored_bytes(spark, f"{sf_dir}/lineitem.parquet") + stored_bytes(spark, f"{sf_dir}/orders.parquet"))
+    located = stage(geo_centroids(raw["geolocation"]), "geo_centroids")
+    path = new_table_path(spark, "order_side")
+    order_side(raw, located).write.parquet(path)
+    discard(located)
+    return path
+
+
 def build(spark: SparkSession, sf_dir: str) -> str:
     """Build the fact from the supplied tables, store it in the shared folder, return its path."""
     path = new_table_path(spark, "orders_enriched")
     raw = raw_tables(spark, sf_dir)
-    item_bytes = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
-    size_for(spark, item_bytes + stored_bytes(spark, f"{sf_dir}/orders.parquet"))
     located = stage(geo_centroids(raw["geolocation"]), "geo_centroids")
-    write_fact(staged_fact(raw, located, item_bytes), path, item_bytes)
+    write_fact(balanced_fact(raw, located, _stored(build_order_side, spark, sf_dir)), path, "seller_id")
+    discard(located)
     return path
 
 
 def build_order_rollup(spark: SparkSession, sf_dir: str) -> str:
     path = new_table_path(spark, "agg_order")
-    item_bytes = stored_bytes(spark, f"{sf_dir}/lineitem.parquet")
-    write_fact(balanced(by_order(fact(spark, sf_dir)), item_bytes), path, item_bytes)
+    orders = order_measures(_stored(build_order_side, spark, sf_dir))
+    write_fact(balanced(by_order(fact(spark, sf_dir), orders)), path)
     return path
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from marketlens.plans.job import prepare, require
-from marketlens.plans.quality import LATE_ITEMS
 from marketlens.session import build_session
 
 
@@ -13,11 +12,10 @@ def main() -> None:
     parser = argparse.ArgumentParser(prog="marketlens", description="Prepare the marketplace tables.")
     parser.add_argument("raw", help="folder with <table>.csv for each raw table")
     parser.add_argument("output", help="folder for the Parquet tables")
-    parser.add_argument(
-        "--late-items", nargs=2, type=int, default=LATE_ITEMS, metavar=("FROM", "TO"), help="expected late items"
-    )
+    parser.add_argument("--late-share", nargs=2, type=float, metavar=("FROM", "TO"), help="expected share of late items")
     options = parser.parse_args()
-    checks = prepare(build_session(), options.raw, options.output, tuple(options.late_items))
+    late_share = tuple(options.late_share) if options.late_share else None
+    checks = prepare(build_session(), options.raw, options.output, late_share)
     checks.show(truncate=False)
     require(checks)
 

@@ -1,7 +1,7 @@
 """Rescaling a measure over a whole result.
 
 The extremes come from a one-row subquery, not from a window, which would move
-all rows to one task. Frames that are costly to compute should be staged first.
+all rows to one task. Rows and extremes share the shuffle of an aggregated frame.
 """
 
 from __future__ import annotations

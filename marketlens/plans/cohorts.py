@@ -47,7 +47,7 @@ def retention(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     )
 
 
-def retention_wide(long: DataFrame, months: list[int] | None = None) -> DataFrame:
+def retention_wide(long: DataFrame, months: list[int]) -> DataFrame:
     """Cohorts in rows, months since the first purchase in columns."""
     return long.groupBy("cohort_month").pivot("months_since_first", months).agg(F.first("retention_pct"))
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.spherical import haversine_km
 from marketlens.functions.timing import days_between, hours_between, month_start
-from marketlens.session import stage
 from marketlens.sources.tables import MONTH_KEY, balanced
 
+NULL_SALTS = 10_000
 ITEM_COLUMNS = ["order_id", "order_item_id", "product_id", "seller_id"]
 ORDER_COLUMNS = [
     "customer_id",
@@ -40,7 +40,7 @@ STORED_TYPES = {
     "min_review_score": "tinyint",
     "review_count": "int",
     "total_payment": "float",
-    "max_installments": "tinyint",
+    "max_installments": "int",
 }
 FACT_COLUMNS = [
     *ITEM_COLUMNS,
@@ -74,8 +74,8 @@ DERIVED_COLUMNS = [
     "transit_days",
     "delay_days",
     "is_late",
-    "order_year_month",
     "seller_customer_distance_km",
+    "order_year_month",  # last, as the folders of the stored table are named by it
 ]
 
 
@@ -119,11 +119,16 @@ def payment_summary(order_payments: DataFrame) -> DataFrame:
     )
 
 
-def _located(df: DataFrame, zip_column: str, centroids: DataFrame, prefix: str) -> DataFrame:
+def _located(df: DataFrame, zip_column: str, centroids: DataFrame, prefix: str, row_id: str) -> DataFrame:
+    """Add the position of a zip code.
+
+    Missing codes match nothing, so they are spread by ``row_id``: all in one partition they would be a hot key.
+    """
     positions = centroids.select(
-        F.col("zip").alias(zip_column), F.col("lat").alias(f"{prefix}_lat"), F.col("lng").alias(f"{prefix}_lng")
+        F.col("zip").alias("_zip"), F.col("lat").alias(f"{prefix}_lat"), F.col("lng").alias(f"{prefix}_lng")
     )
-    return df.join(positions, zip_column, "left")
+    spread = F.concat(F.lit("no zip "), F.pmod(F.xxhash64(row_id), F.lit(NULL_SALTS)))
+    return df.join(positions, F.coalesce(F.col(zip_column), spread) == F.col("_zip"), "left").drop("_zip")
 
 
 def product_side(raw: Mapping[str, DataFrame]) -> DataFrame:
@@ -136,7 +141,7 @@ def product_side(raw: Mapping[str, DataFrame]) -> DataFrame:
 def seller_side(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
     """Sellers with their position."""
     sellers = raw["sellers"].select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-    return _located(sellers, "seller_zip_code_prefix", centroids, "seller").drop("seller_zip_code_prefix")
+    return _located(sellers, "seller_zip_code_prefix", centroids, "seller", "seller_id").drop("seller_zip_code_prefix")
 
 
 def customer_side(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def customer_side(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFra
     customers = raw["customers"].select(
         "customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"
     )
-    return _located(customers, "customer_zip_code_prefix", centroids, "customer").drop("customer_zip_code_prefix")
+    return _located(customers, "customer_zip_code_prefix", centroids, "customer", "customer_id").drop("customer_zip_code_prefix")
 
 
 def order_side(raw: Mapping[str, DataFrame], centroids: DataFrame) -> DataFrame:
@@ -176,7 +181,16 @@ def star_join(raw: Mapping[str, DataFrame], centroids: DataFrame, orders: DataFr
         .join(seller_side(raw, centroids), "seller_id")
         .join(orders, "order_id")
     )
-    return joined.select(*[F.col(c).cast(STORED_TYPES[c]).alias(c) if c in STORED_TYPES else c for c in FACT_COLUMNS])
+    return _typed(joined, FACT_COLUMNS)
+
+
+def _typed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast(STORED_TYPES[c]).alias(c) if c in STORED_TYPES else c for c in columns])
+
+
+def order_measures(orders: DataFrame) -> DataFrame:
+    """An order side with the derived columns that an order fixes, in stored types."""
+    return with_lifecycle(_typed(orders, [c for c in orders.columns if "zip" not in c]))
 
 
 def with_item_value(df: DataFrame) -> DataFrame:
@@ -228,12 +242,11 @@ def build_fact(raw: Mapping[str, DataFrame], centroids: DataFrame | None = None)
     return with_measures(star_join(raw, centroids))
 
 
-def staged_fact(raw: Mapping[str, DataFrame], centroids: DataFrame, input_bytes: int) -> DataFrame:
-    """The fact, ready to be written, over a stored order side; ``centroids`` should be stored too.
+def balanced_fact(raw: Mapping[str, DataFrame], centroids: DataFrame, orders: DataFrame) -> DataFrame:
+    """The fact, ready to be written; ``centroids`` and ``orders`` (an ``order_side``) should be stored.
 
     The shuffle that evens out the files comes before the derived columns, which
     need not travel.
     """
-    joined = star_join(raw, centroids, stage(order_side(raw, centroids), "order_side"))
-    keyed = joined.withColumn(MONTH_KEY, month_start("order_purchase_timestamp"))
-    return with_measures(balanced(keyed, input_bytes))
+    keyed = star_join(raw, centroids, orders).withColumn(MONTH_KEY, month_start("order_purchase_timestamp"))
+    return with_measures(balanced(keyed))

@@ -75,7 +75,7 @@ def matrix(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     return counted.agg(m.orders().alias("order_count"))
 
 
-def matrix_wide(long: DataFrame, customer_states: list[str] | None = None) -> DataFrame:
+def matrix_wide(long: DataFrame, customer_states: list[str]) -> DataFrame:
     """The matrix with one column per customer state, 0 where there is no route."""
     return long.groupBy("seller_state").pivot("customer_state", customer_states).agg(F.first("order_count")).fillna(0)
 

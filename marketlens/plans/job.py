@@ -6,12 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.plans.etl import geo_centroids, staged_fact
-from marketlens.plans.quality import LATE_ITEMS, quality_checks
+from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
+from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order
-from marketlens.session import size_for, tune
+from marketlens.session import discard, size_for, stage, stored_bytes, tune
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
-from marketlens.sources.tables import balanced, stored_bytes, write_fact, write_table, write_tables
+from marketlens.sources.tables import balanced, write_fact, write_table, write_tables
 
 
 class QualityError(ValueError):
@@ -22,12 +22,13 @@ def prepare(
     spark: SparkSession,
     raw_paths: Mapping[str, str] | str,
     folder: str,
-    late_items: tuple[int, int] = LATE_ITEMS,
+    late_share: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Read, clean, enrich and roll up; returns the checks.
 
     Every step reads what the step before has written, so a failure repeats one
-    step and the fact is joined once for all rollups.
+    step and the fact is joined once for all rollups. Late items fail a check only if
+    ``late_share`` says what share of all items is expected.
     """
     folder = folder.rstrip("/")
     tune(spark)
@@ -35,11 +36,14 @@ def prepare(
     size_for(spark, stored_bytes(spark, folder))
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
-    item_bytes = stored_bytes(spark, f"{folder}/order_items.parquet")
-    fact = write_fact(staged_fact(raw, centroids, item_bytes), f"{folder}/orders_enriched.parquet", item_bytes)
-    orders = write_fact(balanced(by_order(fact), item_bytes), f"{folder}/agg_order.parquet", item_bytes)
+    side = stage(order_side(raw, centroids), "order_side")
+    try:
+        fact = write_fact(balanced_fact(raw, centroids, side), f"{folder}/orders_enriched.parquet", "seller_id")
+        orders = write_fact(balanced(by_order(fact, order_measures(side))), f"{folder}/agg_order.parquet")
+    finally:
+        discard(side)
     write_tables(build_rollups(fact, orders), folder)
-    return quality_checks(fact, raw["order_items"], centroids, orders, late_items=late_items)
+    return quality_checks(fact, raw["order_items"], raw["geolocation"], centroids, orders, late_share=late_share)
 
 
 def require(checks: DataFrame) -> None:

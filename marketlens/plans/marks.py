@@ -1,7 +1,7 @@
 """Marks of the maps: radius, width, colour position and labels per row.
 
-Each takes an aggregated frame, such as the result of another plan. One that is
-costly to compute should be staged before it is passed here.
+Each takes an aggregated frame, such as the result of another plan; rows and extremes
+share its shuffle.
 """
 
 from __future__ import annotations

@@ -17,19 +17,23 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # What a file of a stored table is made from, compressed as in a shuffle.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512m",
 }
 
+# Starting size of a shuffle partition, in bytes of the tables read.
 SHUFFLE_BYTES = 512 * 1024**2
-MAX_SHUFFLE_PARTITIONS = 32_768  # beyond it, the number of blocks costs more than a spill
-SCAN_BYTES = 128 * 1024**2
-MAX_SCAN_BYTES = 1024**3
-SCAN_TASKS = 100_000
 
 _local_dirs: dict[str, str] = {}
 
 
-def build_session(app_name: str = "marketlens", master: str | None = None, **conf: str) -> SparkSession:
-    """Get or create a session with the settings above and any others given."""
+def build_session(
+    app_name: str = "marketlens", master: str | None = None, tables: str | None = None, **conf: str
+) -> SparkSession:
+    """Get or create a session with the settings above and any others given.
+
+    ``tables`` is a folder of tables the session will read; its shuffles are sized for them.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -37,7 +41,14 @@ def build_session(app_name: str = "marketlens", master: str | None = None, **con
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    return size_for(spark, stored_bytes(spark, tables)) if tables else spark
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder, on any file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -48,16 +59,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def size_for(spark: SparkSession, input_bytes: int) -> SparkSession:
-    """Size shuffles and scans for the tables to be read.
+    """Start shuffles with enough partitions for tables of this size; adaptive execution joins small ones.
 
-    Shuffles start with enough partitions that one fits in memory, and adaptive
-    execution joins small ones. Scans of very large tables take larger splits.
+    To be called once, at the start of a session or job.
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, wanted)))
-    split = min(MAX_SCAN_BYTES, max(SCAN_BYTES, input_bytes // SCAN_TASKS))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    partitions = max(least, -(-input_bytes // SHUFFLE_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
     return spark
 
 
@@ -91,3 +99,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

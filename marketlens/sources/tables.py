@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTH_KEY = "order_year_month"
-# Below this a folder per month would only make small files.
-PARTITION_BY_MONTH_FROM_BYTES = 64 * 1024**3
-ADVISORY_SIZE = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-FILE_SHUFFLE_BYTES = "512m"  # in the shuffle before the write; the file is a fraction of it
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> str:
@@ -25,33 +21,20 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]
     return {name: write_table(df, folder, name) for name, df in tables.items()}
 
 
-def _monthly(input_bytes: int) -> bool:
-    return input_bytes >= PARTITION_BY_MONTH_FROM_BYTES
+def balanced(df: DataFrame) -> DataFrame:
+    """Even out what each task will write: rows of a month meet in few files, a large month is split."""
+    return df.hint("rebalance", F.col(MONTH_KEY))
 
 
-def balanced(df: DataFrame, input_bytes: int) -> DataFrame:
-    """Even out what each task will write.
-
-    Rows of a month meet in few files, a month too big for one task is split, and
-    a small table spreads over all cores.
-    """
-    return df.hint("rebalance", F.col(MONTH_KEY)) if _monthly(input_bytes) else df.hint("rebalance")
-
-
-def write_fact(df: DataFrame, path: str, input_bytes: int) -> DataFrame:
+def write_fact(df: DataFrame, path: str, *order: str) -> DataFrame:
     """Write a ``balanced`` table once for all queries and read it back.
 
-    A large one gets a folder per purchase month, which date filters prune.
+    It has a folder per purchase month, which date filters prune. Rows are sorted by ``order`` in each
+    file, so that a filter on it skips row groups.
     """
-    spark = df.sparkSession
-    usual = spark.conf.get(ADVISORY_SIZE)
-    spark.conf.set(ADVISORY_SIZE, FILE_SHUFFLE_BYTES)
-    try:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(MONTH_KEY) if _monthly(input_bytes) else writer).parquet(path)
-    finally:
-        spark.conf.set(ADVISORY_SIZE, usual)
-    return spark.read.schema(df.schema).parquet(path)
+    sorted_ = df.sortWithinPartitions(MONTH_KEY, *order) if order else df
+    sorted_.write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):
@@ -65,12 +48,6 @@ def table_names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(status.getPath().getName().removesuffix(".parquet") for status in fs.globStatus(pattern) or [])
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file or folder."""
-    fs, hadoop_path = _files(spark, path)
-    return fs.getContentSummary(hadoop_path).getLength()
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to this folder has finished and is still there."""
     fs, marker = _files(spark, f"{path.rstrip('/')}/_SUCCESS")

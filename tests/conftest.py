@@ -36,7 +36,7 @@ def shop_csv(tmp_path_factory):
 def prepared(spark, shop_csv, tmp_path_factory):
     """Folder of prepared tables and the checks of the preparation."""
     folder = str(tmp_path_factory.mktemp("prepared"))
-    checks = job.prepare(spark, shop_csv, folder, late_items=(1, 3))
+    checks = job.prepare(spark, shop_csv, folder, late_share=(0.2, 0.6))
     return folder, {row["check"]: row for row in checks.collect()}
 
 
@@ -44,3 +44,9 @@ def prepared(spark, shop_csv, tmp_path_factory):
 def shop(spark, prepared):
     """The fact of the hand-made shop."""
     return spark.read.parquet(f"{prepared[0]}/orders_enriched.parquet")
+
+
+@pytest.fixture(scope="session")
+def shop_orders(spark, prepared):
+    """The order rollup of the hand-made shop."""
+    return spark.read.parquet(f"{prepared[0]}/agg_order.parquet")

@@ -99,7 +99,7 @@ def test_the_fact_has_the_documented_columns(shop):
     types = dict(shop.dtypes)
     assert types["price"] == types["delay_days"] == types["seller_customer_distance_km"] == "float"
     assert types["is_late"] == "boolean" and types["order_year_month"] == "date"
-    assert types["order_purchase_timestamp"] == "timestamp_ntz" and types["max_installments"] == "tinyint"
+    assert types["order_purchase_timestamp"] == "timestamp_ntz" and types["max_installments"] == "int"
 
 
 def test_attributes_come_from_every_side(items):
@@ -160,34 +160,34 @@ def test_months_between(spark):
 
 def test_quality(prepared):
     checks = prepared[1]
-    assert checks["fact_rows_minus_item_rows"]["passed"] and checks["duplicate_zips"]["passed"]
+    assert checks["fact_rows_minus_item_rows"]["passed"] and checks["lost_zips"]["passed"]
     assert (checks["distance_share"]["observed"], checks["distance_share"]["passed"]) == (0.6, False)
-    assert (checks["late_items"]["observed"], checks["late_items"]["passed"]) == (2.0, True)
+    assert (checks["late_share"]["observed"], checks["late_share"]["passed"]) == (0.4, True)
     assert checks["unknown_statuses"]["passed"]
     assert checks["pickup_before_approval"]["observed"] == 1.0
 
 
-def test_quality_failures(spark, shop, raw):
+def test_quality_failures(spark, shop, shop_orders, raw):
     doubled = shop.unionAll(shop).withColumn("order_status", F.lit("lost"))
-    changed = rollups.by_order(shop.unionAll(shop.withColumn("customer_city", F.lit("elsewhere"))))
-    zips = spark.createDataFrame([("1",), ("1",), (None,)], "zip string")
-    rows = quality.quality_checks(doubled, raw["order_items"], zips, changed, min_distance_share=0.1)
+    changed = shop_orders.unionAll(shop_orders.withColumn("customer_city", F.lit("elsewhere")))
+    zips = etl.geo_centroids(raw["geolocation"]).limit(1)
+    rows = quality.quality_checks(
+        doubled, raw["order_items"], raw["geolocation"], zips, changed, min_distance_share=0.1, late_share=(0.5, 1.0)
+    )
     checks = {r["check"]: (r["observed"], r["passed"]) for r in rows.collect()}
     assert checks["fact_rows_minus_item_rows"] == (5.0, False)
-    assert checks["duplicate_zips"] == (2.0, False)
+    assert checks["lost_zips"][0] > 0 and not checks["lost_zips"][1]
     assert checks["duplicate_orders"] == (4.0, False)
-    assert checks["late_items"] == (4.0, False)
+    assert checks["late_share"] == (0.4, False)
     assert checks["unknown_statuses"] == (1.0, False)
     assert [r[0] for r in quality.unknown_statuses(doubled).collect()] == ["lost"]
-    with pytest.raises(job.QualityError, match="late_items"):
+    with pytest.raises(job.QualityError, match="late_share"):
         job.require(rows)
 
 
-def test_quality_of_an_empty_fact(shop, raw):
-    none = raw["order_items"].limit(0)
-    rows = quality.quality_checks(
-        shop.limit(0), none, etl.geo_centroids(raw["geolocation"]), rollups.by_order(shop.limit(0))
-    )
+def test_quality_of_an_empty_fact(shop, shop_orders, raw):
+    none, places = raw["order_items"].limit(0), raw["geolocation"]
+    rows = quality.quality_checks(shop.limit(0), none, places, etl.geo_centroids(places), shop_orders.limit(0))
     checks = {r["check"]: (r["observed"], r["passed"]) for r in rows.collect()}
     assert checks["fact_rows_minus_item_rows"] == (0.0, True)
     assert checks["distance_share"] == (None, False)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 from datetime import date
+from pathlib import Path
 
 import pytest
 
 from checks.catalog import QUERIES
 from marketlens.operators.filters import ALL_ROWS, FilterSpec, apply_filters
-from marketlens.plans import etl, geo, overview, sellers
+from marketlens.plans import etl, geo, job, overview, sellers
+from marketlens.session import shared_dir
 from marketlens.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -43,7 +45,7 @@ def test_filters_and_columns_reach_the_scan(spark, shop):
 
 
 def test_months_outside_the_dates_are_not_read(spark, shop, tmp_path):
-    stored = tables.write_fact(shop, str(tmp_path / "fact"), tables.PARTITION_BY_MONTH_FROM_BYTES)
+    stored = tables.write_fact(shop, str(tmp_path / "fact"))
     spec = FilterSpec.of({"date_from": date(2017, 2, 10), "date_to": date(2018, 1, 5)})
     plan = plan_of(apply_filters(stored, spec))
     assert "PartitionFilters: [isnotnull(order_year_month" in plan
@@ -126,8 +128,70 @@ def test_a_hot_key_is_split_and_no_row_is_lost(spark, shop_csv, tmp_path, small_
     )
     path = str(tmp_path / "centroids")
     etl.geo_centroids(raw["geolocation"]).write.parquet(path)
-    fact = etl.staged_fact(raw, spark.read.parquet(path), 0).select("order_id", "price", "seller_city", "product_category_name")
+    centroids, side = spark.read.parquet(path), str(tmp_path / "side")
+    etl.order_side(raw, centroids).write.parquet(side)
+    joined = etl.balanced_fact(raw, centroids, spark.read.parquet(side))
+    fact = joined.select("order_id", "price", "seller_city", "product_category_name")
     plan = final_plan_of(fact)
     assert re.search(rf"SortMergeJoin\(skew=true\) \[{hot}_id#", plan)
     totals = fact.selectExpr("count(*) AS n", "sum(price) AS total").first()
     assert (totals["n"], totals["total"]) == (n, n * (n - 1) / 2)
+
+
+def test_the_prepared_fact_is_pruned_by_month(spark, prepared):
+    fact = spark.read.parquet(f"{prepared[0]}/orders_enriched.parquet")
+    spec = FilterSpec.of({"date_from": date(2017, 2, 10), "date_to": date(2018, 1, 5)})
+    kept = apply_filters(fact, spec)
+    assert "PartitionFilters: [isnotnull(order_year_month" in plan_of(kept)
+    files = {row["f"] for row in kept.selectExpr("input_file_name() AS f").collect()}
+    assert all("order_year_month=2017-03-01" in file for file in files)
+
+
+def test_one_seller_skips_row_groups(spark, tmp_path):
+    from marketlens.sources.tables import write_fact
+
+    rows = spark.range(0, 400_000, 1, 4).selectExpr(
+        "concat('s', lpad(id * 7919 % 1000, 4, '0')) AS seller_id", "id", "DATE '2018-01-01' AS order_year_month"
+    )
+    path = str(tmp_path / "sorted")
+    write_fact(tables.balanced(rows), path, "seller_id")
+    for file in (tmp_path / "sorted").rglob("part-*.parquet"):
+        import pyarrow.parquet as pq
+
+        ids = pq.read_table(file).column("seller_id").to_pylist()
+        assert ids == sorted(ids)
+
+
+def test_missing_zips_are_spread(spark):
+    rows = spark.range(5000).selectExpr("concat('s', id) AS seller_id", "IF(id % 5 = 0, '01046', CAST(NULL AS string)) AS zip")
+    places = spark.createDataFrame([("01046", 1.0, 2.0), (None, 3.0, 4.0)], "zip string, lat double, lng double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = etl._located(rows, "zip", places, "seller", "seller_id")
+        sizes = [n for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()]
+        assert found.where("seller_lat = 1.0").count() == 1000 and sum(sizes) == 5000
+        assert sum(n > 500 for n in sizes) > 1  # without zip: not all in one partition
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+WRITES_FIRST = {"ingest_orders", "ingest_customers", "ingest_reviews", "ingest_parquet", "state_boundaries"}
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES_FIRST))
+def test_building_a_plan_writes_nothing(spark, name):
+    QUERIES[name](spark, SF)  # builds the stored tables on their first use
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = sorted(folder.rglob("_SUCCESS"))
+    QUERIES[name](spark, SF)
+    assert sorted(folder.rglob("_SUCCESS")) == before
+
+
+def test_the_job_leaves_nothing_staged(spark, shop_csv, tmp_path):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = sorted(folder.rglob("_SUCCESS"))
+    job.prepare(spark, shop_csv, str(tmp_path))
+    assert sorted(folder.rglob("_SUCCESS")) == before

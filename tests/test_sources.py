@@ -54,9 +54,9 @@ def test_staged_frames_lie_in_the_shared_folder(spark):
     assert staged.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_dir(spark).lstrip("/"))
 
 
-def test_a_large_fact_is_partitioned_by_month(spark, shop, tmp_path):
+def test_a_fact_is_partitioned_by_month(spark, shop, tmp_path):
     path = str(tmp_path / "fact")
-    back = tables.write_fact(shop, path, tables.PARTITION_BY_MONTH_FROM_BYTES)
+    back = tables.write_fact(shop, path, "seller_id")
     assert sorted(p.name for p in (tmp_path / "fact").glob("order_year_month=*")) == [
         "order_year_month=2017-01-01", "order_year_month=2017-03-01", "order_year_month=2018-09-01",
     ]
@@ -64,18 +64,32 @@ def test_a_large_fact_is_partitioned_by_month(spark, shop, tmp_path):
 
 
 def test_sizes_follow_the_input(spark):
-    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"]
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     sizes = []
     try:
         for gigabytes in (0, 100, 100 * 1024):
             size_for(spark, gigabytes * 1024**3)
-            sizes.append(tuple(int(spark.conf.get(key)) for key in keys))
+            sizes.append(int(spark.conf.get(key)))
     finally:
-        for key in keys:
-            spark.conf.unset(key)
-    assert sizes == [
-        (4, session.SCAN_BYTES), (200, session.SCAN_BYTES), (session.MAX_SHUFFLE_PARTITIONS, session.MAX_SCAN_BYTES),
-    ]
+        spark.conf.unset(key)
+    assert sizes == [4, 200, 204_800]
+
+
+def test_a_session_is_sized_for_its_tables(spark, prepared, monkeypatch):
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1024)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        session.build_session(tables=prepared[0])
+        assert int(spark.conf.get(key)) == -(-session.stored_bytes(spark, prepared[0]) // 1024)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_staged_tables_are_discarded(spark):
+    staged = stage(spark.range(3), "gone")
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    session.discard(staged)
+    assert not tables.is_complete(spark, folder)
 
 
 def test_an_unfinished_table_is_not_complete(spark, tmp_path):
@@ -88,8 +102,8 @@ def test_the_command_line(spark, shop_csv, tmp_path, monkeypatch, capsys):
     from marketlens.__main__ import main
     from marketlens.plans.job import QualityError
 
-    monkeypatch.setattr("sys.argv", ["marketlens", shop_csv, str(tmp_path), "--late-items", "1", "3"])
+    monkeypatch.setattr("sys.argv", ["marketlens", shop_csv, str(tmp_path), "--late-share", "0.2", "0.6"])
     with pytest.raises(QualityError, match="distance_share"):
         main()
-    assert "late_items" in capsys.readouterr().out
+    assert "late_share" in capsys.readouterr().out
     assert spark.read.parquet(f"{tmp_path}/agg_seller.parquet").count() == 2
