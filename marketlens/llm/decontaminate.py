@@ -7,8 +7,8 @@ contained whole, that one token is the prefix any match has to share. Document s
 probe the index; positional and length bounds discard candidates whose window would begin
 before or end after the document, and the words are then compared one by one.
 
-Neither pass moves document words between tasks: they probe a broadcast index while
-its size is below ``BROADCAST_ROWS``, and are shuffled to it otherwise.
+Document words don't move between tasks: shingles probe a broadcast index while it has at most
+``BROADCAST_ROWS`` rows; to a larger one only their hashes and places are shuffled.
 
 Cases. A null text has no words, nor has one of separators only; such an item has no
 windows and such a document no hits. Rows that share a doc_id count as one document: its
@@ -54,10 +54,6 @@ def _windows(items: DataFrame) -> DataFrame:
     )
 
 
-def _sized_join(many: DataFrame, few: DataFrame, rows: int, on: str) -> DataFrame:
-    return many.join(F.broadcast(few) if rows <= BROADCAST_ROWS else few, on, "left")
-
-
 def _probes(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """One row per document and token, and one without token (``at`` -1) per document."""
     at = F.col("at")
@@ -71,6 +67,24 @@ def _probes(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return rows.select("*", F.explode(F.when(at >= 0, tokens).otherwise(F.array(F.lit(None).cast("long")))).alias("token"))
 
 
+def _probed(cut: DataFrame, lengths: list[int], index: DataFrame) -> DataFrame:
+    """Candidates: doc_id, words, at, and the index entry of the token there; one row per document has none.
+
+    A small index is broadcast and the words stay where they are. To a larger one only tokens and
+    places travel, and the candidates are joined back to their document.
+    """
+    entry = F.struct("offset", "length", "window").alias("entry")
+    if index.count() <= BROADCAST_ROWS:
+        entries = index.groupBy("token").agg(F.collect_list(entry).alias("entries"))
+        probed = _probes(cut, lengths).join(F.broadcast(entries), "token", "left").where("at < 0 OR entries IS NOT NULL")
+        return probed.select("doc_id", "words", "at", F.explode_outer("entries").alias("entry"))
+    pairs = _probes(cut, lengths).where("at >= 0").select("doc_id", "at", "token").join(index, "token")
+    found = pairs.select(F.col("doc_id").alias("of"), "at", entry).distinct()
+    candidates = cut.join(found, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "words", "at", "entry")
+    kind = dict(candidates.dtypes)["entry"]
+    return candidates.unionByName(cut.select("doc_id", "words", F.lit(-1).alias("at"), F.lit(None).cast(kind).alias("entry")))
+
+
 def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, starts of matched windows with their lengths, item ids."""
     windows = stage(_windows(items), "windows")
@@ -92,8 +106,8 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     # A null word never equals one of a window, so tokens of shorter lengths hash as many words as they have.
     counted = (
-        _sized_join(_probes(cut, lengths).select("token"), wanted.withColumn("wanted", F.lit(True)), parts.count(), "token")
-        .where("wanted")
+        _probes(cut, lengths).select("token")
+        .join(F.broadcast(wanted) if parts.count() <= BROADCAST_ROWS else wanted, "token")
         .groupBy("token")
         .agg(F.count("*").alias("frequency"))
     )
@@ -106,14 +120,12 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("token", "offset", F.size("window").alias("length"), "window"),
         "prefix-index",
     )
-    grouped_index = index.groupBy("token").agg(F.collect_list(F.struct("offset", "length", "window")).alias("entries"))
-    probed = _sized_join(_probes(cut, lengths), grouped_index, index.count(), "token").where("at < 0 OR entries IS NOT NULL")
+    probed = _probed(cut, lengths, index)
     start = F.col("at") - F.col("entry.offset")
     inside = (start >= 0) & (start + F.col("entry.length") <= F.size("words"))
     same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("entry.length")) == F.col("entry.window")
     found = (
-        probed.select("doc_id", "words", "at", F.explode_outer("entries").alias("entry"))
-        .where((F.col("at") < 0) | (inside & same))
+        probed.where((F.col("at") < 0) | (inside & same))
         .select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("at") >= 0, start).alias("start"), "entry.window")
     )
     hits = found.groupBy("doc_id").agg(

@@ -55,7 +55,9 @@ def test_shards(hard_docs):
     assert len({row["shard"] for row in rows if row["doc_id"] == 2}) == 1  # equal keys stay together
 
 
-def test_decontamination(hard_docs, hard_items):
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_decontamination(hard_docs, hard_items, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     found = by_id(decontaminate.find_hits(hard_docs, hard_items))
     assert found[1]["items"] == ["1"] and found[2]["items"] == ["1", "4"]  # a null id is not listed
     assert found[None]["items"] == ["1"] and found[3]["n_words"] == 0 and not found[6]["hits"]
