@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import hex_sha256, read
+from marketlens.llm.common import hex_sha256, read, stage
 from marketlens.session import new_table_path
 
 LEAST = 100
@@ -220,9 +220,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def page(urn: str) -> Column:
         return F.nullif(F.regexp_extract(urn, "^<urn:x-page:(.*)>$", 1), F.lit("")).cast("long")
 
-    rows = back.select(
-        page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), "digest",
-        F.octet_length("payload").cast("long").alias("own_bytes"),
+    rows = stage(
+        back.select(
+            page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), "digest",
+            F.octet_length("payload").cast("long").alias("own_bytes"),
+        ),
+        "warc-rows",
     )
     # A revisit's payload is that of the response it refers to.
     full = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("own_bytes").alias("bytes"))
