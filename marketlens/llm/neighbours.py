@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by shifted space-filling curves.
+"""Exact nearest neighbours: shifted space-filling curves bound them, one pass over all vectors finds them.
 
 Each of ``CURVES`` Hilbert curves runs through a grid of its own: vectors are projected on ``DIMS``
 random orthogonal directions and every coordinate is cut at quantiles that are shifted from curve to
@@ -6,17 +6,21 @@ curve. Sorted along a curve, the vectors within ``REACH`` places of a query are
 candidates of all curves are merged and ranked by their exact distance. Directions and quantiles
 are fitted on a sample of at most ``SAMPLE`` vectors; every vector is indexed.
 
+The distance of a query's last candidate is a bound: nothing farther can be among its nearest. Then every
+block of at most ``PACK`` points meets every block of at most ``PACK`` queries once, and each query takes
+from it its nearest within the bound. So the result is exact, whatever the number of vectors and
+however they lie; ``CURVES`` and ``REACH`` only decide how tight the bound is. The work of that pass is the number of
+queries times that of points, as it must be where distances tell nothing in advance.
+
 Equal vectors are one point of the index, which keeps the least ``k + 1`` ids: as ties go to smaller
 ids, no other can be among the ``k`` nearest of any query. So a vector that many rows share costs
 one place. Places along a curve are running totals in two levels; a block of ``BLOCK`` places and the
 queries whose window reaches into it make a task's work, whatever the input.
 
-Recall depends on the data: see README for the measured figures; ``REACH`` and ``CURVES`` trade it for work.
-
 Cases. Vectors that are null, all zero or hold null or non-finite components take no part, nor do rows
 with a null id, nor vectors of another length than the commonest of the sample. Rows that repeat id and
 vector count once; a query id with several vectors is searched for each. Where there are fewer than
-``k`` candidates within reach all are returned; an empty table gives no rows. Other columns are not looked at.
+``k`` others all are returned; an empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +45,9 @@ SAMPLE = 10_000
 SEED = 7
 SALTS = 64
 RUNS = 4096
+PACK = 1024
+#: Rounding of squared distances from products, relative to the squares that they are made of.
+ROUNDING = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -144,6 +151,48 @@ def _search(table: pa.Table, reach: int, k: int) -> pa.Table:
     return pa.table({"point": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most PACK points: their other columns as lists, the vectors one after another."""
+    for batch in batches:
+        for start in range(0, len(batch), PACK):
+            part = batch.slice(start, PACK)
+            columns = {
+                name: pa.array([b"".join(part.column(name).to_pylist())], pa.binary()) if name == "vector"
+                else pa.array([part.column(name).to_pylist()], pa.list_(part.schema.field(name).type))
+                for name in part.schema.names
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _within(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of packs the nearest points of each query, none beyond its bound."""
+    for batch in batches:
+        for row in range(len(batch)):
+            at = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+            base = np.frombuffer(at["vector"], np.float64).reshape(-1, width)
+            asked = np.frombuffer(at["asked_vector"], np.float64).reshape(-1, width)
+            bounds = np.array(at["bound"], np.float64)
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares, own = (base**2).sum(axis=1), (asked**2).sum(axis=1)
+                sums = own[:, None] + squares
+                # Negated, so that what overflows is looked at, too.
+                close = ~(sums - 2 * (asked @ base.T) > bounds[:, None] ** 2 + ROUNDING * sums)
+            out: list[tuple[int, int, float]] = []
+            for q in np.flatnonzero(close.any(axis=1)):
+                inside = np.flatnonzero(close[q])
+                scores = np.sqrt(((base[inside] - asked[q]) ** 2).sum(axis=1))
+                if len(inside) > k + 1:
+                    near = scores <= np.partition(scores, k)[k]
+                    inside, scores = inside[near], scores[near]
+                found = sorted((score, i) for score, point in zip(scores.tolist(), inside.tolist()) for i in at["members"][point])
+                out += [(at["asked_point"][q], i, score) for score, i in found[: k + 1]]
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                names=["point", "vec_id", "score"],
+            )
+
+
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     """``id`` and ``vector`` of the rows that take part."""
     vector = F.col(column).cast("array<double>")
@@ -226,6 +275,18 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", column: str
     found = work.groupBy("curve", "block").applyInArrow(search, "point long, vec_id long, score double").distinct()
     ranked = Window.partitionBy("point").orderBy("score", "vec_id")
     best = found.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).select("point", "vec_id", "score")
+    # Fewer than k + 1 candidates bound nothing.
+    bounds = best.groupBy("point").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+    asking = stage(
+        points.where("asked").join(bounds, "point", "left")
+        .select("point", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "vector")
+        .mapInArrow(_packs, "point array<long>, bound array<double>, vector binary")
+        .withColumnsRenamed({"point": "asked_point", "vector": "asked_vector"}),
+        "query-packs",
+    )
+    base = stage(points.select("members", "vector").mapInArrow(_packs, "members array<array<long>>, vector binary"), "point-packs")
+    exact = base.crossJoin(asking).mapInArrow(partial(_within, width=width, k=k), "point long, vec_id long, score double").distinct()
+    best = exact.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).select("point", "vec_id", "score")
 
     queries = packed.where(is_query(F.col("id"))).join(points.where("asked").select("point", "vector"), "vector").select(
         F.col("id").alias("query_id"), "point"

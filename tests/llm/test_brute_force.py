@@ -107,6 +107,21 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("reach", [1, 320])
+def test_neighbours_are_exact_at_any_reach(spark, monkeypatch, reach):
+    """Few curves and short windows leave most neighbours out, as a large table does."""
+    monkeypatch.setattr(neighbours, "PACK", 64)
+    vectors = np.random.default_rng(5).normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, lambda i: i % 100 == 0, curves=2, reach=reach).toPandas()
+    for q in range(0, 1500, 100):
+        scores = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        scores[q] = np.inf
+        mine = found[found["query_id"] == q].sort_values("rank")
+        assert mine["vec_id"].tolist() == np.argsort(scores)[:10].tolist()
+
+
 def test_hilbert_curve_visits_neighbours():
     side = np.arange(16)
     cells = np.stack(np.meshgrid(side, side, indexing="ij"), axis=-1).reshape(-1, 2)
