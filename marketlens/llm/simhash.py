@@ -338,7 +338,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
             least = np.full(HASHES, ~np.uint64(0))
             for part in range(0, len(hashes), 1024):
                 np.minimum(least, (hashes[part : part + 1024, None] * factors).min(axis=0), out=least)
-            signatures.append((least >> np.uint64(48)).astype(np.uint8).tobytes())
+            # The minima of long texts are small numbers; a product's top byte isn't.
+            signatures.append((least * factors[0] >> np.uint64(56)).astype(np.uint8).tobytes())
             pairs = least[: BANDS * BAND].reshape(BANDS, BAND)
             bands.append((pairs[:, 0] * factors[0] + pairs[:, 1]).view(np.int64))
         yield pa.RecordBatch.from_arrays(

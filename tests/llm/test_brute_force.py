@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -91,6 +92,19 @@ def test_near_copies_in_chunks(spark, monkeypatch, bucket):
     assert {found[i] for i in range(30)} == {0} and all(found[100 + i] == 100 + i for i in range(30))
 
 
+def sketched(texts):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    return next(simhash._sketches(iter([batch]), 1)).to_pydict()
+
+
+def test_signatures_of_long_texts():
+    """A third of the shingles of two texts are the same: a similarity of a fifth at any length."""
+    for n in (3_000, 60_000):
+        own = [" ".join([f"shared{i}" for i in range(n // 2)] + [f"{name}{i}" for i in range(n)]) for name in ("a", "b")]
+        one, two = (np.frombuffer(x, np.uint8) for x in sketched(own)["signature"])
+        assert abs((one == two).mean() - 0.2) < 0.12
+
+
 def test_neighbours_recall(spark):
     found = QUERIES["op7_hilbert_neighbours"](spark, SF).toPandas()
     table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
