@@ -16,7 +16,8 @@ spanning forest of their links; components are found by alternating star steps o
 have a Jaccard similarity of about 0.8 or more differ in up to a quarter of the bits, which no
 choice of agreeing bits finds. There the buckets are bands of min-hashes, a bucket too large is
 cut into chunks whose pairs are compared as blocks, and what the fingerprints let through is
-judged by the share of equal min-hashes.
+judged by the share of equal min-hashes. Its nodes are distinct sequences of words, and its
+fingerprints are those of the distinct shingles.
 
 Cases. A null text has no words; no words give fingerprint zero, which links like any other. Rows
 with equal texts have equal fingerprints. A null doc_id is never the smallest; where a component
@@ -306,15 +307,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return _with_components(marked, links(marked.select("fp").distinct(), radius))
 
 
-def _with_components(marked: DataFrame, edges: DataFrame) -> DataFrame:
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    roots = components(edges)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "doc", F.coalesce("root", "fp").alias("root")
-    )
+def _with_components(marked: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
+    nodes = marked.groupBy(key).agg(F.min("doc_id").alias("doc"))
+    roots = components(edges).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, nodes[key] == roots["of"], "left").select(key, "doc", F.coalesce("root", key).alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp")
+    named = rooted.join(least, "root").select(key, "component_id")
+    return marked.join(named, key)
 
 
 HASHES = 128
@@ -328,12 +327,14 @@ def _multipliers() -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Fingerprint, one byte of each min-hash, and the bands of the first of them."""
+    """Name of the word sequence; of the set of shingles the fingerprint, one byte of each min-hash, and bands of the first."""
     factors = _multipliers()
     for batch in batches:
-        found, signatures, bands = [], [], []
+        names, found, signatures, bands = [], [], [], []
         for text in batch.column("text"):
-            hashes = shingle_hashes(text.as_py().encode() if text.is_valid else b"", shingle)
+            text = text.as_py().encode() if text.is_valid else b""
+            names.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
+            hashes = np.unique(shingle_hashes(text, shingle))
             found.append(fingerprint_of(hashes))
             least = np.full(HASHES, ~np.uint64(0))
             for part in range(0, len(hashes), 1024):
@@ -343,9 +344,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
             pairs = least[: BANDS * BAND].reshape(BANDS, BAND)
             bands.append((pairs[:, 0] * factors[0] + pairs[:, 1]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found, pa.int64()), pa.array(signatures, pa.binary()),
+            [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(found, pa.int64()), pa.array(signatures, pa.binary()),
              pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64()), BANDS).cast(pa.list_(pa.int64()))],
-            names=["doc_id", "fp", "signature", "bands"],
+            names=["doc_id", "node", "fp", "signature", "bands"],
         )
 
 
@@ -378,9 +379,9 @@ def _block_links(batches: Iterator[pa.RecordBatch], radius: int, least: float) -
                         x, y = _top(parent, q), _top(parent, j)
                         if x != y:  # a link inside a tree adds nothing
                             parent[x] = y
-                            low.append(own[q])
-                            high.append(other[j - first])
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+                            low.append(left[q]["node"])
+                            high.append((left if right is None else right)[j - first]["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -391,36 +392,36 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     marked = stage(
         docs.select("doc_id", "text").mapInArrow(
-            partial(_sketches, shingle=shingle), "doc_id long, fp long, signature binary, bands array<long>"
+            partial(_sketches, shingle=shingle), "doc_id long, node binary, fp long, signature binary, bands array<long>"
         ),
         "sketches",
     )
-    # Texts of one fingerprint are one node; its signature is that of any of them, each has its bands.
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
-    members = marked.select("fp", F.posexplode("bands").alias("table", "key")).distinct()
+    # Texts of one word sequence are one node.
+    nodes = marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("signature").alias("signature"))
+    members = marked.select("node", F.posexplode("bands").alias("table", "key")).distinct()
     sizes = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = members.join(sizes, ["table", "key"]).join(nodes.select("fp", "signature"), "fp")
+    sized = members.join(sizes, ["table", "key"]).join(nodes, "node")
     chunks = stage(
         sized.withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .groupBy("table", "key", "chunks", "chunk")
-        .agg(F.collect_list(F.struct("fp", "signature")).alias("members")),
+        .agg(F.sort_array(F.collect_list(F.struct("node", "fp", "signature"))).alias("members")),
         "chunks",
     )
-    alone = chunks.where("chunks = 1").select(F.col("members").alias("left"), F.lit(None).cast("array<struct<fp:long,signature:binary>>").alias("right"))
+    alone = chunks.where("chunks = 1").select(F.col("members").alias("left"), F.lit(None).cast("array<struct<node:binary,fp:long,signature:binary>>").alias("right"))
     # Of a bucket in chunks: every chunk with itself and with each chunk after it, as rows of two chunks.
     cut = chunks.where("chunks > 1")
-    own = cut.select(F.col("members").alias("left"), F.lit(None).cast("array<struct<fp:long,signature:binary>>").alias("right"))
+    own = cut.select(F.col("members").alias("left"), F.lit(None).cast("array<struct<node:binary,fp:long,signature:binary>>").alias("right"))
     later = cut.select(
         "table", "key", F.col("members").alias("left"),
         F.explode(F.expr("IF(chunk + 1 < chunks, sequence(chunk + 1, chunks - 1), array())")).alias("chunk"),
     )
     across = later.join(cut.select("table", "key", "chunk", F.col("members").alias("right")), ["table", "key", "chunk"]).select("left", "right")
     edges = stage(
-        alone.unionByName(own).unionByName(across).mapInArrow(partial(_block_links, radius=radius, least=least), "a long, b long"),
+        alone.unionByName(own).unionByName(across).mapInArrow(partial(_block_links, radius=radius, least=least), "a binary, b binary"),
         "copy-links",
     )
-    return _with_components(marked.select("doc_id", "fp"), edges)
+    return _with_components(marked.select("doc_id", "fp", "node"), edges, "node").drop("node")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

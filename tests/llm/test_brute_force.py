@@ -105,6 +105,16 @@ def test_signatures_of_long_texts():
         assert abs((one == two).mean() - 0.2) < 0.12
 
 
+def test_repeated_phrases(spark):
+    """A phrase that fills two texts doesn't make them copies; how often it stands there doesn't part copies."""
+    phrase = " ".join(f"p{i}" for i in range(5))
+    body = [" ".join(f"{name}{i}" for i in range(300)) for name in "abc"]
+    texts = [f"{body[0]} " + f"{phrase} " * 400, f"{body[1]} " + f"{phrase} " * 400,
+             f"{body[2]} " + f"{phrase} " * 2, f"{body[2]} " + f"{phrase} " * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_neighbours_recall(spark):
     found = QUERIES["op7_hilbert_neighbours"](spark, SF).toPandas()
     table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
