@@ -13,10 +13,10 @@ fingerprint to all are counted plane by plane with carry-save counters, one word
 spanning forest of their links; components are found by alternating star steps over staged tables.
 
 ``near_copies`` is for a similarity instead of a few bits: texts whose sets of five-word shingles
-have a Jaccard similarity of about 0.8 or more differ in up to a quarter of the bits, which no
+have a Jaccard similarity of 0.8 or more differ in up to a quarter of the bits, which no
 choice of agreeing bits finds. There the buckets are bands of min-hashes, a bucket too large is
 cut into chunks whose pairs are compared as blocks, and what the fingerprints let through is
-judged by the share of equal min-hashes. Its nodes are distinct sequences of words, and its
+a candidate if enough min-hashes are equal. The shingles of a candidate's texts decide. Its nodes are distinct sequences of words, and its
 fingerprints are those of the distinct shingles.
 
 Cases. A null text has no words; no words give fingerprint zero, which links like any other. Rows
@@ -28,7 +28,7 @@ table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -318,8 +318,8 @@ def _with_components(marked: DataFrame, edges: DataFrame, key: str = "fp") -> Da
 
 HASHES = 128
 BANDS, BAND = 8, 2
-#: Share of equal min-hashes: two standard errors under the similarity.
-MARGIN = 2.0
+#: Candidates lie so many standard errors beyond the similarity, by bits and by min-hashes; their shingles decide.
+MARGIN = 3.5
 
 
 def _multipliers() -> np.ndarray:
@@ -361,14 +361,18 @@ def _top(parent: list[int], node: int) -> int:
     return node
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Edges between the two chunks of a row, or inside a chunk that is paired with itself."""
+def _block_links(batches: Iterator[pa.RecordBatch], radius: int, least: float, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates between the two chunks of a row, or inside a chunk that is paired with itself.
+
+    ``spanning``: a forest of them; else all whose roots differ.
+    """
     for batch in batches:
-        low, high = [], []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+        tables, keys, low, high = [], [], [], []
+        for table, key, left, right in zip(*(batch.column(name).to_pylist() for name in ("table", "key", "left", "right"))):
+            every = left if right is None else left + right
             own = np.array([x["fp"] for x in left], np.int64)
             other = own if right is None else np.array([x["fp"] for x in right], np.int64)
-            marks = np.frombuffer(b"".join(x["signature"] for x in (left if right is None else left + right)), np.uint8).reshape(-1, HASHES)
+            marks = np.frombuffer(b"".join(x["signature"] for x in every), np.uint8).reshape(-1, HASHES)
             first = 0 if right is None else len(own)  # of the other chunk among the marks
             planes, parent = _planes(other.view(np.uint64)), list(range(len(marks)))
             for i in range(0, len(own), QUERIES_AT_ONCE):
@@ -376,52 +380,119 @@ def _block_links(batches: Iterator[pa.RecordBatch], radius: int, least: float) -
                 for q, row in enumerate(close, i):
                     wanted = np.flatnonzero(row)
                     for j in _alike(marks, q, wanted[wanted > q] if right is None else wanted + first, least).tolist():
-                        x, y = _top(parent, q), _top(parent, j)
-                        if x != y:  # a link inside a tree adds nothing
+                        if spanning:
+                            x, y = _top(parent, q), _top(parent, j)
+                            if x == y:  # a link inside a tree adds nothing
+                                continue
                             parent[x] = y
-                            low.append(left[q]["node"])
-                            high.append((left if right is None else right)[j - first]["node"])
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
+                        elif every[q]["root"] == every[j]["root"]:
+                            continue
+                        tables.append(table)
+                        keys.append(key)
+                        low.append(min(every[q]["node"], every[j]["node"]))
+                        high.append(max(every[q]["node"], every[j]["node"]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(tables, pa.int32()), pa.array(keys, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())],
+            names=["table", "key", "a", "b"],
+        )
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, fp and component_id, for texts of about that similarity or more."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ
-    radius = int(np.ceil(64 * angle + 2.5 * np.sqrt(64 * angle * (1 - angle))))
-    least = float(similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / HASHES))
+CANDIDATES = "table int, key long, a binary, b binary"
 
-    marked = stage(
-        docs.select("doc_id", "text").mapInArrow(
-            partial(_sketches, shingle=shingle), "doc_id long, node binary, fp long, signature binary, bands array<long>"
-        ),
-        "sketches",
-    )
-    # Texts of one word sequence are one node.
-    nodes = marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("signature").alias("signature"))
-    members = marked.select("node", F.posexplode("bands").alias("table", "key")).distinct()
-    sizes = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = members.join(sizes, ["table", "key"]).join(nodes, "node")
+
+def _candidates(sized: DataFrame, radius: int, least: float, spanning: bool) -> DataFrame:
+    """Candidates among the members of every bucket: table, key, node, n, fp, signature, root."""
     chunks = stage(
         sized.withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .groupBy("table", "key", "chunks", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "fp", "signature"))).alias("members")),
+        .agg(F.sort_array(F.collect_list(F.struct("node", "fp", "signature", "root"))).alias("members")),
         "chunks",
     )
-    alone = chunks.where("chunks = 1").select(F.col("members").alias("left"), F.lit(None).cast("array<struct<node:binary,fp:long,signature:binary>>").alias("right"))
-    # Of a bucket in chunks: every chunk with itself and with each chunk after it, as rows of two chunks.
+    nothing = F.lit(None).cast(chunks.schema["members"].dataType)
+    # Every chunk with itself and, of a bucket in chunks, with each chunk after it, as rows of two chunks.
+    own = chunks.select("table", "key", F.col("members").alias("left"), nothing.alias("right"))
     cut = chunks.where("chunks > 1")
-    own = cut.select(F.col("members").alias("left"), F.lit(None).cast("array<struct<node:binary,fp:long,signature:binary>>").alias("right"))
     later = cut.select(
         "table", "key", F.col("members").alias("left"),
         F.explode(F.expr("IF(chunk + 1 < chunks, sequence(chunk + 1, chunks - 1), array())")).alias("chunk"),
     )
-    across = later.join(cut.select("table", "key", "chunk", F.col("members").alias("right")), ["table", "key", "chunk"]).select("left", "right")
-    edges = stage(
-        alone.unionByName(own).unionByName(across).mapInArrow(partial(_block_links, radius=radius, least=least), "a binary, b binary"),
-        "copy-links",
+    across = later.join(cut.select("table", "key", "chunk", F.col("members").alias("right")), ["table", "key", "chunk"])
+    pairs = own.unionByName(across.select("table", "key", "left", "right"))
+    found = stage(pairs.mapInArrow(partial(_block_links, radius=radius, least=least, spanning=spanning), CANDIDATES), "candidates")
+    release(chunks)
+    return found
+
+
+def _similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets of shingles have that Jaccard similarity or more."""
+
+    @lru_cache(maxsize=64)
+    def shingles(text: str) -> np.ndarray:
+        return np.unique(shingle_hashes(text.encode(), shingle))
+
+    for batch in batches:
+        kept = []
+        for one, two in zip(batch.column("text_a"), batch.column("text_b")):
+            one, two = shingles(one.as_py() or ""), shingles(two.as_py() or "")
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            kept.append(both >= similarity * (len(one) + len(two) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _copies(rows: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of a staged table of at, doc_id and text: at, doc_id, node and fp by row, and links of nodes.
+
+    The links connect the nodes as all candidates of at least that similarity do. First a spanning forest
+    of the candidates in each bucket is verified. A bucket where all of it holds is connected as it should be;
+    in the others every candidate between two nodes that are not connected yet is verified, too.
+    """
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ
+    radius = int(np.ceil(64 * angle + MARGIN * np.sqrt(64 * angle * (1 - angle))))
+    least = float(similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / HASHES))
+
+    marked = stage(
+        rows.select(F.col("at").alias("doc_id"), "text")
+        .mapInArrow(partial(_sketches, shingle=shingle), "doc_id long, node binary, fp long, signature binary, bands array<long>")
+        .withColumnRenamed("doc_id", "at"),
+        "sketches",
+    )
+    # Texts of one word sequence are one node.
+    nodes = stage(
+        marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("signature").alias("signature"), F.min("at").alias("at")), "nodes"
     )
-    return _with_components(marked.select("doc_id", "fp", "node"), edges, "node").drop("node")
+    members = marked.select("node", F.posexplode("bands").alias("table", "key")).distinct()
+    sizes = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = stage(members.join(sizes, ["table", "key"]), "copy-buckets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = stage(
+            rows.select("at", "text").join(nodes.select("node", "at").join(ends, "node"), "at").select("node", "text"), "copy-texts"
+        )
+        sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b")]
+        met = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+        return stage(met.mapInArrow(partial(_similar, shingle=shingle, similarity=similarity), "a binary, b binary"), "copy-links")
+
+    described = nodes.select("node", "fp", "signature")
+    first = _candidates(buckets.join(described.withColumn("root", F.col("node")), "node"), radius, least, True)
+    tried = first.select("a", "b").distinct()
+    links = verified(tried)
+    open_ = stage(first.join(links, ["a", "b"], "left_anti").select("table", "key").distinct(), "open-buckets")
+    if not open_.isEmpty():
+        roots = components(links).withColumnRenamed("node", "of")
+        rooted = described.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+        more = _candidates(buckets.join(open_, ["table", "key"]).join(rooted, "node"), radius, least, False)
+        links = links.unionByName(verified(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
+    ids = rows.select("at", "doc_id")
+    return marked.select("at", "node", "fp").join(ids, "at"), links
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per document: doc_id, fp and component_id, for texts of that similarity or more."""
+    rows = stage(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at")), "copy-rows")
+    marked, links = _copies(rows, shingle, similarity)
+    return _with_components(marked, links, "node").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,31 @@ def test_signatures_of_long_texts():
         assert abs((one == two).mean() - 0.2) < 0.12
 
 
+@pytest.mark.parametrize("bucket", [3, 1024])
+def test_copies_are_verified(spark, monkeypatch, bucket):
+    """Near the threshold the groups are those of the exact similarities."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(400)]
+        for i in range(8):
+            copy = list(base)
+            for at in rng.choice(400, int(rng.integers(2, 14)), replace=False):
+                copy[at] = f"new{i}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    want = list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if len(one & sets[j]) >= 0.8 * len(one | sets[j]):
+                x, y = sorted((want[i], want[j]))
+                want = [x if w == y else w for w in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == want and 6 < len(set(want)) < len(texts)
+
+
 def test_repeated_phrases(spark):
     """A phrase that fills two texts doesn't make them copies; how often it stands there doesn't part copies."""
     phrase = " ".join(f"p{i}" for i in range(5))
