@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketlens.llm.common import hex_sha256, read, release, stage, text_or_empty
+from marketlens.llm.common import hex_sha256, packed, read, release, stage, text_or_empty
 
 WINDOW = 10
 SHINGLE = 5
@@ -150,8 +150,10 @@ def _positions() -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no window of any item."""
-    hit = find_hits(docs, items).where(F.size("hits") > 0).select(F.col("doc_id").alias("hit_id"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")), "left_anti")
+    # By row, as rows may share an id or have none.
+    rows = stage(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("at")), "decontamination-rows")
+    hit = find_hits(rows.select(F.col("at").alias("doc_id"), "doc.text"), items).where(F.size("hits") > 0).select(F.col("doc_id").alias("at"))
+    return rows.join(hit, "at", "left_anti").select("doc.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,18 @@ def test_fingerprints(hard_docs):
     assert simhash.near_duplicates(hard_docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows are dropped each on its own, whether they have no id or one that others have, too."""
+    text = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "abcd"}
+    copies = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (None, text["a"]), (None, text["c"]), (None, text["c"] + " "), (None, text["d"])]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"].strip()) for r in simhash.drop_near_copies(docs).collect())
+    assert kept == [(0, text["c"]), (0, text["d"]), (1, text["a"]), (2, text["b"])]
+    items = spark.createDataFrame([(1, text["a"])], "item_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"].strip()) for r in decontaminate.decontaminate(docs, items).collect())
+    assert kept == [(0, text["c"]), (0, text["c"]), (0, text["d"]), (2, text["b"])]
+
+
 def test_languages(spark, hard_docs):
     models = langid.train(hard_docs)
     pages = spark.createDataFrame(
