@@ -1,11 +1,12 @@
 """WARC archives: writing, and a reader that salvages what it can.
 
 Pages are written as records by Spark's text writer, whose line separator is the end of a record;
-with ``gzip`` every file is one member of at most ``RECORDS`` records. The reader takes whole files,
+with ``gzip`` every record is a member of its own, at most ``RECORDS`` to a file. The reader takes whole files,
 plain or of any number of gzip members. A record must have a version line, headers with a length, a
 block of that length, the closing empty lines and the payload digest it names. Where a check fails, the
 reader searches for the next member that unpacks or the next version line, goes on there and
-reports the bytes it left out as a gap with the reason.
+reports the bytes it left out as a gap with the reason. Of a member that is damaged or cut off it keeps the
+records that came out whole.
 
 Of records with equal payloads of at least ``LEAST`` bytes the one with the least page_id is a response,
 the others revisit it and carry no payload.
@@ -18,6 +19,7 @@ make archives without records. Other columns are not looked at.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ RECORDS = 500
 END = "\r\n\r\n"
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
+STEP = 1 << 16
+EMPTY = "\x1f\x8b\x08" + "\0" * 6 + "\x03\x03" + "\0" * 9  # a member of nothing
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -88,11 +92,20 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(headers, block).alias("value"))
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [gzip.compress(value.as_py().encode() + END.encode(), 6, mtime=0) for value in batch.column("value")]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write the pages as WARC files into a folder."""
-    record_text(records(pages)).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option(
-        "compression", compression
-    ).text(path)
+    rows, options = record_text(records(pages)), {"lineSep": END, "compression": compression}
+    if compression == "gzip":
+        # A member for each record. The writer's separator can't be nothing, so it is a member of nothing.
+        rows = rows.mapInArrow(_zipped, "value binary").select(F.col("value").cast("string").alias("value"))
+        options = {"lineSep": EMPTY, "encoding": "ISO-8859-1", "compression": "none"}
+    rows.write.options(**options).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -127,8 +140,29 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return found, end + 4, ""
 
 
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` unpacks to, where it or its good part ends, and what is wrong with it."""
+    unpack, parts = zlib.decompressobj(31), []
+    while at < len(data) and not unpack.eof:
+        step, saved = data[at : at + STEP], unpack.copy()
+        try:
+            parts.append(unpack.decompress(step))
+        except zlib.error:
+            unpack = saved
+            for i in range(len(step)):  # up to the very byte
+                try:
+                    parts.append(unpack.decompress(step[i : i + 1]))
+                except zlib.error:
+                    return b"".join(parts), at + i, "damaged member"
+        at += len(step)
+    return b"".join(parts), at - len(unpack.unused_data), "" if unpack.eof else "member cut off"
+
+
 def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """Offset, length and contents of every gzip member; without contents it is a gap."""
+    """Offset, length and contents of every gzip member; without contents it is a gap.
+
+    What a damaged member unpacks to before the damage comes with the reason, and what follows it is a gap.
+    """
     at, lost, reason = 0, -1, ""
     while at < len(data):
         found = data.find(MEMBER, at)
@@ -136,49 +170,58 @@ def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
             lost, reason = at, "no member"
         if found < 0:
             break
-        unpack = zlib.decompressobj(31)
-        try:
-            contents = unpack.decompress(data[found:])
-        except zlib.error:
-            contents = None
-        if contents is not None and unpack.eof:
+        contents, end, wrong = _unpacked(data, found)
+        if not wrong:
             if lost >= 0:
-                yield lost, found - lost, None, reason
+                start = min(lost, found - 1)
+                yield start, found - start, None, reason
                 lost = -1
-            end = len(data) - len(unpack.unused_data)
             yield found, end - found, contents, ""
             at = end
-        else:
-            if lost < 0:
-                lost, reason = found, "damaged member"
-            at = found + 1
+            continue
+        whole = any(row["gap"] is None for row in _parsed(found, contents, wrong))
+        if whole and lost >= 0:
+            yield min(lost, found - 1), found - min(lost, found - 1), None, reason
+            lost = -1
+        if whole:
+            yield found, end - found, contents, wrong
+        if lost < 0:
+            lost, reason = min(end, len(data) - 1) if whole else found, "damaged member"
+        at = found + 1
     if lost >= 0:
         yield lost, len(data) - lost, None, reason
 
 
+def _parsed(member: int, contents: bytes, damage: str) -> Iterator[dict]:
+    """Records and gaps of unpacked contents. Ahead of damage only what has a digest is known to be right."""
+    at, lost, why = 0, -1, ""
+    while at < len(contents):
+        record, end, wrong = parse_record(contents, at)
+        if record and damage == "damaged member" and (record["record_type"] == "revisit" or not record["digest"]):
+            record, wrong = None, "no digest in a damaged member"
+        if record:
+            if lost >= 0:
+                yield {"gap": why, "member": member, "offset": lost, "length": at - lost}
+                lost = -1
+            yield record | {"gap": None, "member": member, "offset": at, "length": end - at}
+            at = end
+            continue
+        if lost < 0:
+            lost, why = at, wrong
+        following = contents.find(VERSION, at + 1)
+        at = following if following >= 0 else len(contents)
+    if lost >= 0:
+        yield {"gap": why, "member": member, "offset": lost, "length": len(contents) - lost}
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of a file; offsets are in the file, or in the unpacked member they name."""
     parts = _members(data) if data.startswith(MEMBER[:2]) else [(-1, len(data), data, "")]
     for member, size, contents, reason in parts:
         if contents is None:
             yield {"gap": reason, "member": None, "offset": member, "length": size}
-            continue
-        at, lost, why = 0, -1, ""
-        while at < len(contents):
-            record, end, wrong = parse_record(contents, at)
-            if record:
-                if lost >= 0:
-                    yield {"gap": why, "member": member, "offset": lost, "length": at - lost}
-                    lost = -1
-                yield record | {"gap": None, "member": member, "offset": at, "length": end - at}
-                at = end
-                continue
-            if lost < 0:
-                lost, why = at, wrong
-            following = contents.find(VERSION, at + 1)
-            at = following if following >= 0 else len(contents)
-        if lost >= 0:
-            yield {"gap": why, "member": member, "offset": lost, "length": len(contents) - lost}
+        else:
+            yield from _parsed(member, contents, reason)
 
 
 FIELDS = pa.schema(

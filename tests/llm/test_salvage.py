@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 
-from marketlens.llm.warc import salvage
+from marketlens.llm.warc import salvage, write_archives
 
 
 def record(n: int, payload: bytes = b"", length: int | None = None) -> bytes:
@@ -68,3 +68,24 @@ def test_members():
 def test_damage_inside_a_member():
     ids, gaps = read(gzip.compress(record(0) + b"lost bytes" + record(1)))
     assert ids == ["0", "1"] and gaps == [("no version line", 0, len(record(0)), 10)]
+
+
+def test_records_ahead_of_damage():
+    data = gzip.compress(b"".join(record(i, hashlib.sha512(b"%d" % i).hexdigest().encode() * 9) for i in range(200)))
+    cut, _ = read(data[: len(data) // 2])
+    damaged, gaps = read(data[: len(data) // 2] + b"\xff" * 40 + data[len(data) // 2 + 40 :] + gzip.compress(record(900)))
+    assert len(cut) > 80 and cut == [str(i) for i in range(len(cut))]
+    assert damaged[:80] == cut[:80] and damaged[-1] == "900" and any(member is None for _, member, _, _ in gaps)
+
+
+def test_written_archives_lose_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    write_archives(pages, f"{tmp_path}/a")
+    kept = 0
+    for file in (tmp_path / "a").glob("part-*"):
+        data = file.read_bytes()
+        kept += len(read(data)[0])
+        second = data.index(b"\x1f\x8b\x08", len(data) // 2)
+        ids, gaps = read(data[: second + 30] + b"\xff\xff\xff" + data[second + 33 :])
+        assert len(ids) >= len(read(data)[0]) - 1 and gaps
+    assert kept == 40
