@@ -7,10 +7,13 @@ from marketlens.llm.decontaminate import op4_decontamination
 from marketlens.llm.langid import op9_language_id
 from marketlens.llm.mixing import op6_source_mix
 from marketlens.llm.neighbours import op7_hilbert_neighbours
+from marketlens.llm.periodic import op11_periodic_runs
+from marketlens.llm.personal import op12_personal_data
 from marketlens.llm.sharding import op3_histogram_sharding
 from marketlens.llm.simhash import op8_simhash
 from marketlens.llm.suffix_dedup import op1_suffix_dedup
 from marketlens.llm.toxicity import op5_toxicity
+from marketlens.llm.variants import op13_spelling_variants
 from marketlens.llm.warc import op10_warc
 
 QUERIES = {
@@ -26,5 +29,8 @@ QUERIES = {
         op8_simhash,
         op9_language_id,
         op10_warc,
+        op11_periodic_runs,
+        op12_personal_data,
+        op13_spelling_variants,
     )
 }

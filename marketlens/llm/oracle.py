@@ -1,11 +1,20 @@
 """The SQL that the corpus queries must agree with, where SQL can express them.
 
 Not here: fingerprints and shards need hashes that the SQL engine lacks, neighbours differ in the last bit of a
-sum, and the classifiers are fitted by iteration. Those are tested against brute force or held-out rows.
+sum, and the classifiers and the reliabilities of labelers are fitted by iteration. Those are tested against brute force or held-out rows.
 """
 
 from __future__ import annotations
 
+# The remainders of the bytes, from the polynomial; SQL here has no crc32.
+CRC_TABLE = """
+        crc_table AS (
+            SELECT list(v ORDER BY i) AS t FROM (
+                SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                FROM range(256) AS r(i)
+            )
+        ),"""
+
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
@@ -129,4 +138,86 @@ ORACLE: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM q""",
+    "op11_periodic_runs": """
+        WITH"""
+    + CRC_TABLE
+    + r"""
+        d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS o,
+                xor(4294967295, list_reduce(
+                    [4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM documents, crc_table
+        ),
+        e AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) ELSE 0 END AS a FROM d),
+        f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+        w AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w
+            FROM f
+        ),
+        places AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM w),
+        matches AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x
+            JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+        ),
+        islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches),
+        stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM islands GROUP BY doc_id, q, island),
+        runs AS (SELECT doc_id, s, n, min(q) AS q FROM stretches WHERE n >= greatest(24, 3 * q) GROUP BY doc_id, s, n),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                list({'s': s, 'n': n, 'q': q} ORDER BY s, q) AS r
+            FROM runs GROUP BY doc_id
+        ),
+        chosen AS (
+            SELECT *, list_reduce(r, lambda x, y: CASE WHEN y.n * x.q > x.n * y.q THEN y ELSE x END) AS best FROM listed
+        ),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM runs),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period,
+            1000 * best.n // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+            sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM w LEFT JOIN chosen USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_spelling_variants": """
+        WITH RECURSIVE"""
+    + CRC_TABLE
+    + r"""
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+            FROM documents
+        ),
+        hashed AS (
+            SELECT run, k, xor(4294967295, list_reduce(
+                [4294967295] || flatten(list_transform(string_split(doc_id || ':' || run, ''),
+                    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY doc_id, run), crc_table
+        ),
+        spelt AS (
+            SELECT k, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed
+        ),
+        words AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (
+            SELECT DISTINCT x.word AS a, y.word AS b, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+            UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+            UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word
+        ),
+        best AS (
+            SELECT a AS word, count(*) AS n_near, max(n) AS most, min(b) FILTER (n = top) AS b
+            FROM (SELECT *, max(n) OVER (PARTITION BY a) AS top FROM pairs) GROUP BY a
+        ),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ),
+        walk AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NOT NULL
+        ),
+        ends AS (SELECT walk.word, walk.root FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
 }
