@@ -9,9 +9,10 @@ For every word the largest number of grams that one edit can spoil is counted, p
 gram just before it that the dictionary could prolong, and those just behind it that a gram from before could swallow. A near
 word shares all others, at the same place or one further. So of the word's grams, rarest first, one more than that number
 must hold a shared one: only these lists are merged, the long lists of common grams stay untouched where a word has rarer ones.
-A list is a gram at a place among words of one length (or of lengths that differ by one); what meets in a
-list is verified by its edit distance inside the join, so only near words become rows. Nothing is capped:
-a long list is a skewed join key that adaptive execution splits.
+A list is a gram at a place among words of one length (or of lengths that differ by one). An edit lies before the shared gram
+or behind it, so what meets in a list must agree on all that is behind or all that is before; hashes of both parts travel along.
+Then the edit distance decides. All that is tested inside the join, so only near words become rows. Nothing is capped: a
+long list is a skewed join key that adaptive execution splits.
 
 Nearness is followed to each word's form, its commonest near word if that is ten times as common, and to the root where
 forms end. A form is ten times as common as its word, so chains are short; pointers are doubled until none moves.
@@ -27,11 +28,12 @@ are their own root with n_near 0. An empty table gives no rows. Other columns ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import read, release, stage
@@ -43,7 +45,11 @@ SHORTEST = 2
 EXTENDED = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-TOKENS = "word string, n long, kind int, length int, gram string, place int"
+TYPES = {
+    "word": pa.string(), "n": pa.int64(), "kind": pa.int32(), "length": pa.int32(),
+    "gram": pa.string(), "place": pa.int32(), "before": pa.int32(), "behind": pa.int32(),
+}
+TOKENS = "word string, n long, kind int, length int, gram string, place int, before int, behind int"
 
 
 def longest_gram(length: int) -> int:
@@ -75,17 +81,22 @@ class Grams:
 
     def spoiled(self, word: str, grams: list[tuple[int, str]], most: int, inserted: bool) -> int:
         """The most grams that one edit spoils: a character inserted, or else deleted or replaced."""
-        worst, endings = 0, self.endings[most]
+        worst, first, endings = 0, 0, self.endings[most]
         for i in range(len(word) + inserted):
             after = i if inserted else i + 1  # first place behind the edit
+            while first < len(grams) and grams[first][0] + len(grams[first][1]) < i:
+                first += 1
             hit = 0
-            for at, gram in grams:
+            for k in range(first, len(grams)):
+                at, gram = grams[k]
                 end = at + len(gram)
+                if end >= after + most and at >= after:
+                    break  # out of reach, as are all behind
                 if end <= i:
                     hit += end == i and len(gram) < most and gram in self.prolonged
                 elif at < after:
                     hit += 1
-                elif end - after < most:
+                else:
                     hit += word[after:end] in endings
             worst = max(worst, hit)
         return worst
@@ -129,32 +140,32 @@ def gram_dictionary(words: DataFrame, extended: int = EXTENDED) -> dict[str, int
     return {row["gram"]: row["n"] for row in rows}
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode()) - 2**31
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Lists that a word stands in. Kind 0: words of one length; 1: the shorter, 2: the longer of two lengths."""
     grams = Grams(counts)
     for batch in batches:
-        rows: dict[str, list] = {name: [] for name in ("word", "n", "kind", "length", "gram", "place")}
-
-        def put(word: str, n: int, kind: int, length: int, gram: str, place: int) -> None:
-            for column, value in zip(rows.values(), (word, n, kind, length, gram, place)):
-                column.append(value)
-
+        rows = []
         for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
             size = len(word)
+
+            def put(kind: int, length: int, gram: str, at: int, place: int) -> None:
+                rows.append((word, n, kind, length, gram, place, _hash(word[:at]), _hash(word[at + len(gram) :])))
+
             for at, gram in grams.rarest(word, longest_gram(size), False):
-                put(word, n, 0, size, gram, at)
+                put(0, size, gram, at, at)
             for at, gram in grams.rarest(word, longest_gram(size), True):
-                put(word, n, 1, size, gram, at)
+                put(1, size, gram, at, at)
             if size > LEAST_LENGTH:  # else no word is shorter
                 for at, gram in grams.rarest(word, longest_gram(size - 1), False):
-                    put(word, n, 2, size - 1, gram, at)
+                    put(2, size - 1, gram, at, at)
                     if at:
-                        put(word, n, 2, size - 1, gram, at - 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["word"], pa.string()), pa.array(rows["n"], pa.int64()), pa.array(rows["kind"], pa.int32()),
-             pa.array(rows["length"], pa.int32()), pa.array(rows["gram"], pa.string()), pa.array(rows["place"], pa.int32())],
-            names=list(rows),
-        )
+                        put(2, size - 1, gram, at, at - 1)
+        columns = list(zip(*rows)) if rows else [()] * len(TYPES)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES.values())], names=list(TYPES))
 
 
 def near_pairs(words: DataFrame, extended: int = EXTENDED) -> DataFrame:
@@ -164,11 +175,14 @@ def near_pairs(words: DataFrame, extended: int = EXTENDED) -> DataFrame:
     key = ["same", "length", "gram", "place"]
 
     def side(kind: int, name: str) -> DataFrame:
+        described = [F.col(column).alias(f"{column}_{name}") for column in ("n", "before", "behind")]
         return tokens.where(F.col("kind").isin(0, kind)).select(
-            F.col("word").alias(name), F.col("n").alias(f"n_{name}"), (F.col("kind") == 0).alias("same"), "length", "gram", "place"
+            F.col("word").alias(name), *described, (F.col("kind") == 0).alias("same"), "length", "gram", "place"
         )
 
-    near = (F.levenshtein(F.col("a"), F.col("b"), 1) == 1) & (~F.col("same") | (F.col("a") < F.col("b")))
+    agree = (F.col("before_a") == F.col("before_b")) | (F.col("behind_a") == F.col("behind_b"))
+    once = ~F.col("same") | (F.col("a") < F.col("b"))
+    near = agree & once & (F.levenshtein(F.col("a"), F.col("b"), 1) == 1)
     return side(1, "a").join(side(2, "b"), key).where(near).select("a", "n_a", "b", "n_b").distinct()
 
 
