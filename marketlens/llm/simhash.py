@@ -12,12 +12,7 @@ fingerprint to all are counted plane by plane with carry-save counters, one word
 64 counts, and a block of 64 fingerprints is abandoned once all are beyond the radius. Buckets give a
 spanning forest of their links; components are found by alternating star steps over staged tables.
 
-``near_copies`` is for a similarity instead of a few bits: texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more differ in up to a quarter of the bits, which no
-choice of agreeing bits finds. There the buckets are bands of min-hashes, a bucket too large is
-cut into chunks whose pairs are compared as blocks, and what the fingerprints let through is
-a candidate if enough min-hashes are equal. The shingles of a candidate's texts decide. Its nodes are distinct sequences of words, and its
-fingerprints are those of the distinct shingles.
+``drop_near_copies`` keeps one row of each component: that with the least doc_id, or one of those without an id.
 
 Cases. A null text has no words; no words give fingerprint zero, which links like any other. Rows
 with equal texts have equal fingerprints. A null doc_id is never the smallest; where a component
@@ -28,7 +23,7 @@ table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -81,11 +76,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
     for batch in batches:
         texts = batch.column("text")
         found = [fingerprint(text.as_py().encode() if text.is_valid else b"", shingle) for text in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        others = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(found, pa.int64())], names=[*others, "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+    """``fp`` in place of ``text``; the other columns are numbers."""
+    others = ", ".join(f"{name} long" for name in docs.columns if name != "text")
+    return docs.mapInArrow(partial(_fingerprints, shingle=shingle), f"{others}, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -303,216 +301,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fp and component_id, the least doc_id of all it is linked to."""
-    marked = stage(fingerprints(docs, shingle), "fingerprints")
+    marked = stage(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     return _with_components(marked, links(marked.select("fp").distinct(), radius))
 
 
-def _with_components(marked: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
-    nodes = marked.groupBy(key).agg(F.min("doc_id").alias("doc"))
+def _with_components(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     roots = components(edges).withColumnRenamed("node", "of")
-    rooted = nodes.join(roots, nodes[key] == roots["of"], "left").select(key, "doc", F.coalesce("root", key).alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["of"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.join(least, "root").select(key, "component_id")
-    return marked.join(named, key)
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return marked.join(named, "fp")
 
 
-HASHES = 128
-BANDS, BAND = 8, 2
-#: Candidates lie so many standard errors beyond the similarity, by bits and by min-hashes; their shingles decide.
-MARGIN = 3.5
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of near-duplicates: that with the least doc_id, or one of those without an id.
 
-
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Name of the word sequence; of the set of shingles the fingerprint, one byte of each min-hash, and bands of the first."""
-    factors = _multipliers()
-    for batch in batches:
-        names, found, signatures, bands = [], [], [], []
-        for text in batch.column("text"):
-            text = text.as_py().encode() if text.is_valid else b""
-            names.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
-            hashes = np.unique(shingle_hashes(text, shingle))
-            found.append(fingerprint_of(hashes))
-            least = np.full(HASHES, ~np.uint64(0))
-            for part in range(0, len(hashes), 1024):
-                np.minimum(least, (hashes[part : part + 1024, None] * factors).min(axis=0), out=least)
-            # The minima of long texts are small numbers; a product's top byte isn't.
-            signatures.append((least * factors[0] >> np.uint64(56)).astype(np.uint8).tobytes())
-            pairs = least[: BANDS * BAND].reshape(BANDS, BAND)
-            bands.append((pairs[:, 0] * factors[0] + pairs[:, 1]).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(found, pa.int64()), pa.array(signatures, pa.binary()),
-             pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bands)) if bands else pa.array([], pa.int64()), BANDS).cast(pa.list_(pa.int64()))],
-            names=["doc_id", "node", "fp", "signature", "bands"],
-        )
-
-
-def _alike(signatures: np.ndarray, at: int, others: np.ndarray, least: float) -> np.ndarray:
-    return others[(signatures[others] == signatures[at]).mean(axis=1) >= least]
-
-
-def _top(parent: list[int], node: int) -> int:
-    while parent[node] != node:
-        parent[node] = parent[parent[node]]
-        node = parent[node]
-    return node
-
-
-def _block_links(batches: Iterator[pa.RecordBatch], radius: int, least: float, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates between the two chunks of a row, or inside a chunk that is paired with itself.
-
-    ``spanning``: a forest of them; else all whose roots differ.
-    """
-    for batch in batches:
-        tables, keys, low, high = [], [], [], []
-        for table, key, left, right in zip(*(batch.column(name).to_pylist() for name in ("table", "key", "left", "right"))):
-            every = left if right is None else left + right
-            own = np.array([x["fp"] for x in left], np.int64)
-            other = own if right is None else np.array([x["fp"] for x in right], np.int64)
-            marks = np.frombuffer(b"".join(x["signature"] for x in every), np.uint8).reshape(-1, HASHES)
-            first = 0 if right is None else len(own)  # of the other chunk among the marks
-            planes, parent = _planes(other.view(np.uint64)), list(range(len(marks)))
-            for i in range(0, len(own), QUERIES_AT_ONCE):
-                close = near(other, own[i : i + QUERIES_AT_ONCE].view(np.uint64), planes, radius)
-                for q, row in enumerate(close, i):
-                    wanted = np.flatnonzero(row)
-                    for j in _alike(marks, q, wanted[wanted > q] if right is None else wanted + first, least).tolist():
-                        if spanning:
-                            x, y = _top(parent, q), _top(parent, j)
-                            if x == y:  # a link inside a tree adds nothing
-                                continue
-                            parent[x] = y
-                        elif every[q]["root"] == every[j]["root"]:
-                            continue
-                        tables.append(table)
-                        keys.append(key)
-                        low.append(min(every[q]["node"], every[j]["node"]))
-                        high.append(max(every[q]["node"], every[j]["node"]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tables, pa.int32()), pa.array(keys, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())],
-            names=["table", "key", "a", "b"],
-        )
-
-
-CANDIDATES = "table int, key long, a binary, b binary"
-
-
-def _candidates(sized: DataFrame, radius: int, least: float, spanning: bool) -> DataFrame:
-    """Candidates among the members of every bucket: table, key, node, n, fp, signature, root."""
-    chunks = stage(
-        sized.withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .groupBy("table", "key", "chunks", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "fp", "signature", "root"))).alias("members")),
-        "chunks",
-    )
-    nothing = F.lit(None).cast(chunks.schema["members"].dataType)
-    # Every chunk with itself and, of a bucket in chunks, with each chunk after it, as rows of two chunks.
-    own = chunks.select("table", "key", F.col("members").alias("left"), nothing.alias("right"))
-    cut = chunks.where("chunks > 1")
-    later = cut.select(
-        "table", "key", F.col("members").alias("left"),
-        F.explode(F.expr("IF(chunk + 1 < chunks, sequence(chunk + 1, chunks - 1), array())")).alias("chunk"),
-    )
-    across = later.join(cut.select("table", "key", "chunk", F.col("members").alias("right")), ["table", "key", "chunk"])
-    pairs = own.unionByName(across.select("table", "key", "left", "right"))
-    found = stage(pairs.mapInArrow(partial(_block_links, radius=radius, least=least, spanning=spanning), CANDIDATES), "candidates")
-    release(chunks)
-    return found
-
-
-def _similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets of shingles have that Jaccard similarity or more."""
-
-    @lru_cache(maxsize=64)
-    def shingles(text: str) -> np.ndarray:
-        return np.unique(shingle_hashes(text.encode(), shingle))
-
-    for batch in batches:
-        kept = []
-        for one, two in zip(batch.column("text_a"), batch.column("text_b")):
-            one, two = shingles(one.as_py() or ""), shingles(two.as_py() or "")
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            kept.append(both >= similarity * (len(one) + len(two) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def _copies(rows: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Of a staged table of at, doc_id and text: at, doc_id, node and fp by row, and links of nodes.
-
-    The links connect the nodes as all candidates of at least that similarity do. First a spanning forest
-    of the candidates in each bucket is verified. A bucket where all of it holds is connected as it should be;
-    in the others every candidate between two nodes that are not connected yet is verified, too.
-    """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ
-    radius = int(np.ceil(64 * angle + MARGIN * np.sqrt(64 * angle * (1 - angle))))
-    least = float(similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / HASHES))
-
-    marked = stage(
-        rows.select(F.col("at").alias("doc_id"), "text")
-        .mapInArrow(partial(_sketches, shingle=shingle), "doc_id long, node binary, fp long, signature binary, bands array<long>")
-        .withColumnRenamed("doc_id", "at"),
-        "sketches",
-    )
-    # Texts of one word sequence are one node.
-    nodes = stage(
-        marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("signature").alias("signature"), F.min("at").alias("at")), "nodes"
-    )
-    members = marked.select("node", F.posexplode("bands").alias("table", "key")).distinct()
-    sizes = members.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stage(members.join(sizes, ["table", "key"]), "copy-buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = stage(
-            rows.select("at", "text").join(nodes.select("node", "at").join(ends, "node"), "at").select("node", "text"), "copy-texts"
-        )
-        sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b")]
-        met = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-        return stage(met.mapInArrow(partial(_similar, shingle=shingle, similarity=similarity), "a binary, b binary"), "copy-links")
-
-    described = nodes.select("node", "fp", "signature")
-    first = _candidates(buckets.join(described.withColumn("root", F.col("node")), "node"), radius, least, True)
-    tried = first.select("a", "b").distinct()
-    links = verified(tried)
-    open_ = stage(first.join(links, ["a", "b"], "left_anti").select("table", "key").distinct(), "open-buckets")
-    if not open_.isEmpty():
-        roots = components(links).withColumnRenamed("node", "of")
-        rooted = described.join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
-        more = _candidates(buckets.join(open_, ["table", "key"]).join(rooted, "node"), radius, least, False)
-        links = links.unionByName(verified(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")))
-    release(nodes, buckets, first)
-    ids = rows.select("at", "doc_id")
-    return marked.select("at", "node", "fp").join(ids, "at"), links
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per document: doc_id, fp and component_id, for texts of that similarity or more."""
-    rows = stage(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at")), "copy-rows")
-    marked, links = _copies(rows, shingle, similarity)
-    return _with_components(marked, links, "node").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: that with the least doc_id, or one of those without an id.
-
-    Rows are told apart by a number, not by doc_id. Rows that repeat both the id and the words of the one
-    that is kept are the same document, and stay.
+    Rows are told apart by a number, not by doc_id, so of rows that repeat an id and its text one stays, too.
     """
     rows = stage(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("at")), "copy-rows")
-    marked, links = _copies(rows.select("at", "doc.doc_id", "doc.text"), 5, 0.8)
-    roots = components(links).withColumnRenamed("node", "of")
-    named = marked.join(roots, F.col("node") == F.col("of"), "left").select("at", "doc_id", "node", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "at")
-    first = named.groupBy("root").agg(F.min(order).alias("first"))
-    same = (F.col("at") == F.col("first.at")) | F.coalesce(
-        (F.col("doc_id") == F.col("first.doc_id")) & (F.col("node") == F.col("first.node")), F.lit(False)
-    )
-    gone = named.join(first, "root").where(~same).select("at")
-    return rows.join(gone, "at", "left_anti").select("doc.*")
+    marked = stage(fingerprints(rows.select("at", "doc.doc_id", "doc.text"), shingle), "fingerprints")
+    # Exact copies fold to one node before anything is joined.
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "at")
+    nodes = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "of")
+    rooted = nodes.join(roots, F.col("fp") == F.col("of"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 
@@ -37,6 +36,11 @@ def test_fingerprints_and_components(spark, monkeypatch):
         fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     found = {row["doc_id"]: row for row in QUERIES["op8_simhash"](spark, SF).collect()}
     assert [found[i]["fingerprint"] for i in docs["doc_id"]] == [f"{fp:016x}" for fp in fps]
+    labels, ids = components_by_loop(fps, 2), docs["doc_id"].tolist()
+    least = {label: min(i for i, other in zip(ids, labels) if other == label) for label in labels}
+    assert [found[i]["component_id"] for i in ids] == [least[label] for label in labels]
+    kept = simhash.drop_near_copies(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
 
 
 def components_by_loop(fps, radius):
@@ -75,71 +79,6 @@ def test_counters():
         assert (got == (np.bitwise_count(fps[None, :] ^ fps[90:130, None]) <= radius)).all()
 
 
-@pytest.mark.parametrize("bucket", [3, 1024])
-def test_near_copies_in_chunks(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
-    rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(5000)]
-    base = list(rng.choice(words, 300))
-    rows = [(0, " ".join(base))]
-    for i in range(1, 30):  # two words replaced: a similarity of about 0.93
-        copy = list(base)
-        for at in rng.choice(300, 2, replace=False):
-            copy[at] = f"new{i}"
-        rows.append((i, " ".join(copy)))
-    rows += [(100 + i, " ".join(rng.choice(words, 300))) for i in range(30)]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {found[i] for i in range(30)} == {0} and all(found[100 + i] == 100 + i for i in range(30))
-
-
-def sketched(texts):
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
-    return next(simhash._sketches(iter([batch]), 1)).to_pydict()
-
-
-def test_signatures_of_long_texts():
-    """A third of the shingles of two texts are the same: a similarity of a fifth at any length."""
-    for n in (3_000, 60_000):
-        own = [" ".join([f"shared{i}" for i in range(n // 2)] + [f"{name}{i}" for i in range(n)]) for name in ("a", "b")]
-        one, two = (np.frombuffer(x, np.uint8) for x in sketched(own)["signature"])
-        assert abs((one == two).mean() - 0.2) < 0.12
-
-
-@pytest.mark.parametrize("bucket", [3, 1024])
-def test_copies_are_verified(spark, monkeypatch, bucket):
-    """Near the threshold the groups are those of the exact similarities."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
-    rng = np.random.default_rng(11)
-    texts = []
-    for family in range(6):
-        base = [f"f{family}w{i}" for i in range(400)]
-        for i in range(8):
-            copy = list(base)
-            for at in rng.choice(400, int(rng.integers(2, 14)), replace=False):
-                copy[at] = f"new{i}"
-            texts.append(" ".join(copy))
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
-    want = list(range(len(texts)))
-    for i, one in enumerate(sets):
-        for j in range(i):
-            if len(one & sets[j]) >= 0.8 * len(one | sets[j]):
-                x, y = sorted((want[i], want[j]))
-                want = [x if w == y else w for w in want]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    assert [found[i] for i in range(len(texts))] == want and 6 < len(set(want)) < len(texts)
-
-
-def test_repeated_phrases(spark):
-    """A phrase that fills two texts doesn't make them copies; how often it stands there doesn't part copies."""
-    phrase = " ".join(f"p{i}" for i in range(5))
-    body = [" ".join(f"{name}{i}" for i in range(300)) for name in "abc"]
-    texts = [f"{body[0]} " + f"{phrase} " * 400, f"{body[1]} " + f"{phrase} " * 400,
-             f"{body[2]} " + f"{phrase} " * 2, f"{body[2]} " + f"{phrase} " * 90]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
-
-
 def test_neighbours_recall(spark):
     found = QUERIES["op7_hilbert_neighbours"](spark, SF).toPandas()
     table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()

@@ -116,7 +116,7 @@ def test_fingerprints(hard_docs):
     kept = simhash.drop_near_copies(hard_docs)
     ids = [row["doc_id"] for row in kept.collect()]
     assert kept.columns == hard_docs.columns
-    assert ids.count(9) == 2 and {1, 3, 6, 11} <= set(ids) and not {4, 5, 7, 12} & set(ids)
+    assert ids.count(9) == 1 and ids.count(2) == 1 and {1, 3, 6, 11} <= set(ids) and not {4, 5, 7, 12} & set(ids)
     assert simhash.near_duplicates(hard_docs.limit(0)).count() == 0
 
 
