@@ -10,7 +10,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm.common import read, stage
+from marketlens.llm.common import read, release, stage
 from marketlens.llm.decontaminate import decontaminate
 from marketlens.llm.mixing import mixed_documents
 from marketlens.llm.sharding import assign
@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each component of fingerprints that differ in at most two bits."""
     return drop_near_copies(docs)
 
 
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, staged = read(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if staged is not None:
+            release(staged)  # nothing reads it any more
+        staged = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
