@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.testdata import STATE_CODES, centroids, fact, order_rollup, raw_tables
+from checks.testdata import STATE_CODES, centroids, fact, order_rollup, raw_tables, table
 from marketlens.functions.text import pad_zip
-from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest
+from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest, pick
 from marketlens.plans import (
     category,
     cohorts,
@@ -83,6 +84,16 @@ def _on_orders(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *arg
     return run
 
 
+def _on_slice(groups: tuple[str, ...], plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *args) -> Query:
+    """A plan over the coarsest stored table that its groups and conditions allow."""
+    return lambda spark, sf_dir: plan(table(spark, sf_dir, pick(spec, *groups)), spec, *args)
+
+
+_on_sellers = partial(_on_slice, ("seller_id", "seller_city", "seller_state"))
+_on_categories = partial(_on_slice, ("product_category_name_english",))
+_on_routes = partial(_on_slice, ("seller_state",))
+
+
 def _then(first: Query, step: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(first(spark, sf_dir))
 
@@ -227,8 +238,8 @@ def dim_state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATE_METRICS = _on_orders(geo.state_metrics)
-ROUTES = _on_fact(flow.routes)
-LEADERBOARD = _on_fact(sellers.leaderboard)
+ROUTES = _on_routes(flow.routes)
+LEADERBOARD = _on_sellers(sellers.leaderboard)
 DELAYS = _on_orders(delivery.delay_by_state)
 
 QUERIES: dict[str, Query] = {
@@ -266,9 +277,9 @@ QUERIES: dict[str, Query] = {
         "distance_km",
     ),
     "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(order_rollup(spark, sf_dir)),
-    "rollup_category": lambda spark, sf_dir: rollups.by_category(fact(spark, sf_dir)),
+    "rollup_category": _on_categories(lambda df, spec: rollups.by_category(df)),
     "rollup_order": lambda spark, sf_dir: order_rollup(spark, sf_dir),
-    "rollup_seller": lambda spark, sf_dir: rollups.by_seller(fact(spark, sf_dir)),
+    "rollup_seller": _on_sellers(lambda df, spec: rollups.by_seller(df)),
     "quality_checks": quality_checks,
     "quality_checks_failing": quality_checks_failing,
     # Filters
@@ -294,12 +305,12 @@ QUERIES: dict[str, Query] = {
     "dim_state_lookup": dim_state_lookup,
     # Flows
     "flow_routes": _round(ROUTES, 3, "avg_distance_km"),
-    "flow_routes_filtered": _round(_on_fact(flow.routes, DELIVERED_FROM_SOUTH, 5), 3, "avg_distance_km"),
-    "flow_kpis": _on_fact(flow.kpis),
-    "flow_matrix": _on_fact(flow.matrix),
-    "flow_matrix_wide": _then(_on_fact(flow.matrix), lambda long: flow.matrix_wide(long, ["SP", "RJ", "AC"])),
-    "flow_top_routes": _round(_on_fact(flow.top_routes), 3, "avg_distance_km"),
-    "flow_route_labels": _then(_on_fact(flow.top_routes), flow.route_labels),
+    "flow_routes_filtered": _round(_on_routes(flow.routes, DELIVERED_FROM_SOUTH, 5), 3, "avg_distance_km"),
+    "flow_kpis": _on_routes(flow.kpis),
+    "flow_matrix": _on_routes(flow.matrix),
+    "flow_matrix_wide": _then(_on_routes(flow.matrix), lambda long: flow.matrix_wide(long, ["SP", "RJ", "AC"])),
+    "flow_top_routes": _round(_on_routes(flow.top_routes), 3, "avg_distance_km"),
+    "flow_route_labels": _then(_on_routes(flow.top_routes), flow.route_labels),
     # Delivery
     "delivery_kpis": _on_orders(delivery.kpis),
     "delay_by_state": DELAYS,
@@ -310,20 +321,20 @@ QUERIES: dict[str, Query] = {
     "delay_histogram": _on_orders(delivery.delay_histogram),
     "delay_medians": _on_orders(delivery.delay_medians),
     # Categories
-    "category_scorecard": _positioned(_on_fact(category.scorecard)),
-    "category_kpis": _round(_on_fact(category.kpis), 9, "avg_review_score", "avg_late_pct"),
-    "category_flags": _on_fact(category.flags),
-    "category_quadrants": _round(_on_fact(category.quadrants), 6, "bubble_size"),
-    "category_top5": _on_fact(category.top5),
-    "category_worst5": _on_fact(category.worst5),
+    "category_scorecard": _positioned(_on_categories(category.scorecard)),
+    "category_kpis": _round(_on_categories(category.kpis), 9, "avg_review_score", "avg_late_pct"),
+    "category_flags": _on_categories(category.flags),
+    "category_quadrants": _round(_on_categories(category.quadrants), 6, "bubble_size"),
+    "category_top5": _on_categories(category.top5),
+    "category_worst5": _on_categories(category.worst5),
     # Sellers
     "seller_leaderboard": LEADERBOARD,
-    "seller_kpis": _round(_on_fact(sellers.kpis), 9, "avg_review_score", "avg_late_pct"),
-    "seller_quadrants": _round(_on_fact(sellers.quadrants), 6, "bubble_size"),
-    "seller_display": _on_fact(sellers.display),
-    "seller_spotlight": _on_fact(sellers.spotlight, SELLER, ALL_ROWS),
-    "seller_top5": _on_fact(sellers.top5),
-    "seller_worst5": _on_fact(sellers.worst5),
+    "seller_kpis": _round(_on_sellers(sellers.kpis), 9, "avg_review_score", "avg_late_pct"),
+    "seller_quadrants": _round(_on_sellers(sellers.quadrants), 6, "bubble_size"),
+    "seller_display": _on_sellers(sellers.display),
+    "seller_spotlight": _on_sellers(lambda df, spec: sellers.spotlight(df, SELLER, spec)),
+    "seller_top5": _on_sellers(sellers.top5),
+    "seller_worst5": _on_sellers(sellers.worst5),
     # Payments
     "payment_kpis": _on_orders(payments.kpis),
     "payment_mix": _positioned(_on_fact(payments.mix)),

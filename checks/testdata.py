@@ -9,13 +9,17 @@ keys. All amounts and offsets lie on a binary grid, so sums are exact in any ord
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import pad_zip
+from marketlens.operators.filters import FACT
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
+from marketlens.plans.job import SORTED
 from marketlens.plans.rollups import by_order
+from marketlens.plans.slices import SLICES
 from marketlens.session import discard, new_table_path, size_for, stage, stored_bytes, tune
 from marketlens.sources.states import STATES
 from marketlens.sources.tables import balanced, is_complete, write_fact
@@ -250,20 +254,40 @@ def build_order_rollup(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def build_slice(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A stored rollup of orders by seller, category or route."""
+    path = new_table_path(spark, name)
+    write_fact(balanced(SLICES[name](fact(spark, sf_dir))), path, *SORTED.get(name, ()))
+    return path
+
+
 _built: dict[tuple, str] = {}
+_opened: dict[str, DataFrame] = {}
 
 
 def _stored(build_table: Callable[[SparkSession, str], str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table that is built on its first use in a session."""
+    """A table that is built on its first use in a session, and opened once: opening lists its folders and infers its schema."""
     key = (build_table, spark.sparkContext.applicationId, sf_dir)
     if key not in _built or not is_complete(spark, _built[key]):
         _built[key] = build_table(tune(spark), sf_dir)
-    return spark.read.parquet(_built[key])
+    path = _built[key]
+    if path not in _opened:
+        _opened[path] = spark.read.parquet(path)
+    return _opened[path]
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(build, spark, sf_dir)
 
 
+_slice_builders = {name: partial(build_slice, name=name) for name in SLICES}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table of the lattice by its name."""
+    builders = {FACT: build, "agg_order": build_order_rollup, **_slice_builders}
+    return _stored(builders[name], spark, sf_dir)
+
+
 def order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(build_order_rollup, spark, sf_dir)

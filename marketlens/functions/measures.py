@@ -1,18 +1,22 @@
 """Aggregates of the report pages.
 
 Counts of orders are distinct; averages and rates weigh each item once. A page
-works on the item-grain fact, or on its order rollup where each row stands for
-all items of one order. ``grain_of`` gives the aggregates for either.
+works on the item-grain fact, or on a rollup where each row stands for all items of one
+order, or for those of them that share a seller, category or state. ``grain_of`` gives the aggregates for either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Columns of the order rollup: how many items a row stands for, and their value.
 ITEMS = "items"
 ORDER_VALUE = "order_value"
+# 1 on the row that counts its order, where a rollup has several rows of an order in a group.
+COUNTS = "counts_order"
 
 
 def _column(c: str | Column) -> Column:
@@ -61,10 +65,13 @@ class ItemGrain:
 
 
 class OrderGrain(ItemGrain):
-    """Rows are orders, so that counting them needs no shuffle of their ids."""
+    """Rows are orders, or an order's items of one group, so that counting them needs no shuffle of their ids."""
+
+    def __init__(self, columns: Iterable[str] = ()) -> None:
+        self.columns = frozenset(columns)
 
     def orders(self) -> Column:
-        return F.count(F.lit(1))
+        return F.sum(COUNTS) if COUNTS in self.columns else F.count(F.lit(1))
 
     def items(self, hit: Column | None = None) -> Column:
         counted = F.col(ITEMS) if hit is None else F.when(hit, F.col(ITEMS)).otherwise(0)
@@ -74,9 +81,12 @@ class OrderGrain(ItemGrain):
         return F.sum(ORDER_VALUE)
 
     def mean(self, c: str | Column) -> Column:
+        """Of what an order fixes, or of what the rollup keeps the totals of."""
+        if isinstance(c, str) and f"{c}_sum" in self.columns:
+            return F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n"))
         value = _column(c).cast("double")
         return F.try_divide(F.sum(value * F.col(ITEMS)), F.sum(F.when(value.isNotNull(), F.col(ITEMS))))
 
 
 def grain_of(df: DataFrame) -> ItemGrain:
-    return OrderGrain() if ITEMS in df.columns else ItemGrain()
+    return OrderGrain(df.columns) if ITEMS in df.columns else ItemGrain()

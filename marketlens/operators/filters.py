@@ -52,7 +52,16 @@ class FilterSpec:
     @property
     def looks_at_items(self) -> bool:
         """Whether items of one order may differ in meeting the conditions."""
-        return bool(self.categories or self.seller_states or (self.min_value and self.min_value > 0))
+        return bool(self.item_columns()) or self.least_value is not None
+
+    @property
+    def least_value(self) -> float | None:
+        return float(self.min_value) if self.min_value and self.min_value > 0 else None
+
+    def item_columns(self) -> set[str]:
+        """Columns with a list of values in which items of one order may differ."""
+        listed = {"product_category_name_english": self.categories, "seller_state": self.seller_states}
+        return {name for name, values in listed.items() if values}
 
     def without_dates(self) -> FilterSpec:
         return replace(self, date_from=None, date_to=None)
@@ -85,7 +94,7 @@ def apply_filters(fact: DataFrame, spec: FilterSpec) -> DataFrame:
 
     Values are literals of the expression tree, so quotes in them are harmless.
     """
-    if spec.looks_at_items and ITEMS in fact.columns:
+    if ITEMS in fact.columns and not (spec.item_columns() <= set(fact.columns) and spec.least_value is None):
         raise ValueError("conditions on items need the fact, not its order rollup")
     conditions = in_date_range(spec)
     if MONTH_KEY in fact.columns:
@@ -97,10 +106,10 @@ def apply_filters(fact: DataFrame, spec: FilterSpec) -> DataFrame:
         "seller_state": spec.seller_states,
     }
     conditions += [F.col(name).isin(*values) for name, values in memberships.items() if values]
-    if spec.min_value and spec.min_value > 0:
+    if spec.least_value is not None:
         # Compared in the column's own type, so the scan can use it.
         value_type = fact.schema["total_item_value"].dataType
-        conditions.append(F.col("total_item_value") >= F.lit(float(spec.min_value)).cast(value_type))
+        conditions.append(F.col("total_item_value") >= F.lit(spec.least_value).cast(value_type))
     for condition in conditions:
         fact = fact.where(condition)
     return fact
@@ -111,6 +120,29 @@ def coarsest(fact: DataFrame, orders: DataFrame, spec: FilterSpec) -> DataFrame:
     return fact if spec.looks_at_items else orders
 
 
+FACT = "orders_enriched"
+# Stored rollups from the coarsest to the finest, with the columns whose values they keep apart within an order.
+KEPT_APART = {
+    "agg_order": set(),
+    "agg_order_route": {"seller_state"},
+    "agg_order_category": {"product_category_name_english"},
+    "agg_order_seller": {"seller_id", "seller_city", "seller_state"},
+}
+
+
+def pick(spec: FilterSpec, *groups: str) -> str:
+    """Name of the coarsest stored table for a page that groups by ``groups``, columns items of an order may differ in.
+
+    A condition on such a column must be on one the page groups by: otherwise an order may meet it in several rows
+    and would count in each. Then, and for a least item value, only the fact will do.
+    """
+    if spec.least_value is None and spec.item_columns() <= set(groups):
+        for name, kept in KEPT_APART.items():
+            if set(groups) <= kept:
+                return name
+    return FACT
+
+
 def options(fact: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column to choose from, in order."""
     return fact.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

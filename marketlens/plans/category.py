@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ItemGrain
+from marketlens.functions.measures import grain_of
 from marketlens.functions.classes import bubble_size, freight_flag, late_flag, quadrant, review_flag
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import ascending, descending, largest, smallest
+from marketlens.plans.slices import order_category, sliced
 
 UNKNOWN = "Unknown"
-m = ItemGrain()
 
 
 def _categories(fact: DataFrame, spec: FilterSpec) -> DataFrame:
+    """From the fact or ``agg_order_category``."""
     category = F.coalesce("product_category_name_english", F.lit(UNKNOWN)).alias("category")
-    return apply_filters(fact, spec).groupBy(category).agg(
+    rows = sliced(apply_filters(fact, spec), order_category)
+    m = grain_of(rows)
+    return rows.groupBy(category).agg(
         m.orders().alias("order_count"),
         m.gmv().alias("gmv"),
-        F.avg("price").alias("avg_price"),
-        F.avg("freight_ratio").alias("avg_freight_ratio"),
+        m.mean("price").alias("avg_price"),
+        m.mean("freight_ratio").alias("avg_freight_ratio"),
         m.review().alias("avg_review_score"),
         m.late_pct().alias("late_pct"),
-        F.avg("transit_days").alias("avg_transit_days"),
+        m.mean("transit_days").alias("avg_transit_days"),
     )
 
 

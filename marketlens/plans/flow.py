@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ItemGrain
+from marketlens.functions.measures import grain_of
 from marketlens.functions.text import grouped_number, or_not_available, plain_number, reais
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import largest
+from marketlens.plans.slices import order_route, sliced
 
-m = ItemGrain()
 ROUTE = ["seller_state", "customer_state"]
 
 
@@ -20,18 +20,20 @@ def crosses_states() -> Column:
 
 
 def routes(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 50) -> DataFrame:
+    """From the fact or ``agg_order_route``."""
+    rows = sliced(apply_filters(fact, spec), order_route)
+    m = grain_of(rows)
     return (
-        apply_filters(fact, spec)
-        .groupBy(*ROUTE)
+        rows.groupBy(*ROUTE)
         .agg(
-            F.avg("seller_lat").alias("seller_lat"),
-            F.avg("seller_lng").alias("seller_lng"),
-            F.avg("customer_lat").alias("customer_lat"),
-            F.avg("customer_lng").alias("customer_lng"),
+            m.mean("seller_lat").alias("seller_lat"),
+            m.mean("seller_lng").alias("seller_lng"),
+            m.mean("customer_lat").alias("customer_lat"),
+            m.mean("customer_lng").alias("customer_lng"),
             m.orders().alias("order_count"),
             m.gmv().alias("gmv"),
-            F.avg("delay_days").alias("avg_delay_days"),
-            F.avg("seller_customer_distance_km").alias("avg_distance_km"),
+            m.mean("delay_days").alias("avg_delay_days"),
+            m.mean("seller_customer_distance_km").alias("avg_distance_km"),
         )
         .where(F.col("order_count") >= min_orders)
     )
@@ -71,8 +73,8 @@ def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 50)
 
 def matrix(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Orders of every route between known states, in long form."""
-    counted = apply_filters(fact, spec).dropna(subset=ROUTE).groupBy(*ROUTE)
-    return counted.agg(m.orders().alias("order_count"))
+    rows = sliced(apply_filters(fact, spec).dropna(subset=ROUTE), order_route)
+    return rows.groupBy(*ROUTE).agg(grain_of(rows).orders().alias("order_count"))
 
 
 def matrix_wide(long: DataFrame, customer_states: list[str]) -> DataFrame:

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
 from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order
+from marketlens.plans.slices import SLICES
 from marketlens.session import discard, size_for, stage, stored_bytes, tune
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
 from marketlens.sources.tables import balanced, write_fact, write_table, write_tables
 
 
+# So that the filter of the seller card skips row groups.
+SORTED = {"agg_order_seller": ("seller_id",)}
+
+
 class QualityError(ValueError):
     """A prepared table fails a check."""
 
@@ -42,7 +47,8 @@ def prepare(
         orders = write_fact(balanced(by_order(fact, order_measures(side))), f"{folder}/agg_order.parquet")
     finally:
         discard(side)
-    write_tables(build_rollups(fact, orders), folder)
+    slices = {name: write_fact(balanced(make(fact)), f"{folder}/{name}.parquet", *SORTED.get(name, ())) for name, make in SLICES.items()}
+    write_tables(build_rollups(orders, slices), folder)
     return quality_checks(fact, raw["order_items"], raw["geolocation"], centroids, orders, late_share=late_share)
 
 

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ITEMS, ORDER_VALUE, ItemGrain, grain_of
+from marketlens.functions.measures import ITEMS, ORDER_VALUE, grain_of
+from marketlens.plans.slices import (
+    CATEGORY,
+    PLACE,
+    SELLER,
+    late_share,
+    order_category,
+    order_seller,
+    seller_figures,
+    sliced,
+)
 
 # What an order fixes for all its items.
 ORDER_ATTRIBUTES = [
@@ -61,37 +73,35 @@ def state_monthly(fact: DataFrame) -> DataFrame:
 
 
 def by_category(fact: DataFrame) -> DataFrame:
-    """Items without an English category are left out."""
-    m = ItemGrain()
-    named = fact.where(F.col("product_category_name_english").isNotNull())
-    return named.groupBy(F.col("product_category_name_english").alias("category")).agg(
+    """From the fact or ``agg_order_category``; items without an English category are left out."""
+    rows = sliced(fact.where(F.col(CATEGORY).isNotNull()), order_category)
+    m = grain_of(rows)
+    return rows.groupBy(F.col(CATEGORY).alias("category")).agg(
         m.orders().alias("order_count"),
         m.gmv().alias("gmv"),
-        F.avg("price").alias("avg_price"),
-        F.avg("freight_ratio").alias("avg_freight_ratio"),
+        m.mean("price").alias("avg_price"),
+        m.mean("freight_ratio").alias("avg_freight_ratio"),
         m.review().alias("avg_review_score"),
         m.late_rate().alias("late_rate"),
-        F.avg("transit_days").alias("avg_transit_days"),
+        m.mean("transit_days").alias("avg_transit_days"),
     )
 
 
 def by_seller(fact: DataFrame) -> DataFrame:
-    """Keyed by seller and position; a missing position is a key too."""
-    m = ItemGrain()
-    return fact.groupBy("seller_id", "seller_city", "seller_state", "seller_lat", "seller_lng").agg(
-        m.orders().alias("order_count"),
-        m.gmv().alias("gmv"),
-        m.review().alias("avg_review_score"),
-        m.late_rate().alias("late_rate"),
-        F.avg("approval_wait_hours").alias("avg_approval_wait_hours"),
-        F.count_distinct("product_category_name_english").alias("category_count"),
+    """From the fact or ``agg_order_seller``, keyed by seller and position; a missing position is a key too."""
+    return seller_figures(
+        sliced(fact, order_seller),
+        [*SELLER, *PLACE],
+        late_share(1.0).alias("late_rate"),
+        avg_review_score="avg_review_score",
+        avg_approval_wait_hours="approval_wait_hours",
     )
 
 
-def build_rollups(fact: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
-    """The small rollups by table name; ``orders`` is the stored order rollup."""
+def build_rollups(orders: DataFrame, slices: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The small rollups by table name, from the stored order rollup and the stored slices."""
     return {
         "agg_state_monthly": state_monthly(orders),
-        "agg_category": by_category(fact),
-        "agg_seller": by_seller(fact),
+        "agg_category": by_category(slices["agg_order_category"]),
+        "agg_seller": by_seller(slices["agg_order_seller"]),
     }

@@ -5,32 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ItemGrain
 from marketlens.functions.classes import bubble_size, late_flag, quadrant, review_flag
 from marketlens.functions.text import grouped_number, plain_number, reais, short_id, title_case
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import ascending, descending, largest, smallest
-
-m = ItemGrain()
-SELLER = ["seller_id", "seller_city", "seller_state"]
+from marketlens.plans.slices import SELLER, late_share, order_seller, seller_figures, sliced
 
 
 def _sellers(fact: DataFrame, spec: FilterSpec, min_orders: int) -> DataFrame:
-    return (
-        apply_filters(fact, spec)
-        .groupBy(*SELLER)
-        .agg(
-            F.avg("seller_lat").alias("seller_lat"),
-            F.avg("seller_lng").alias("seller_lng"),
-            m.orders().alias("order_count"),
-            m.gmv().alias("gmv"),
-            m.review().alias("avg_review_score"),
-            m.late_pct().alias("late_pct"),
-            F.avg("approval_wait_hours").alias("avg_approval_wait_hours"),
-            F.count_distinct("product_category_name_english").alias("category_count"),
-        )
-        .where(F.col("order_count") >= min_orders)
+    """From the fact or ``agg_order_seller``."""
+    found = seller_figures(
+        sliced(apply_filters(fact, spec), order_seller),
+        SELLER,
+        late_share(100.0).alias("late_pct"),
+        seller_lat="seller_lat",
+        seller_lng="seller_lng",
+        avg_review_score="avg_review_score",
+        avg_approval_wait_hours="approval_wait_hours",
     )
+    return found.where(F.col("order_count") >= min_orders)
 
 
 def leaderboard(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
