@@ -61,6 +61,7 @@ DELIVERED_FROM_SOUTH = FilterSpec(
 )
 SPRING = FilterSpec(date_from=date(1997, 3, 1), date_to=date(1997, 5, 31))
 SELLER = "Supplier#000000007"
+ALL_MONTHS = list(range(80))  # from the first purchase of the supplied tables to the last
 
 
 def _rounded(df: DataFrame, decimals: int, *columns: str) -> DataFrame:
@@ -308,7 +309,7 @@ QUERIES: dict[str, Query] = {
     "flow_routes_filtered": _round(_on_routes(flow.routes, DELIVERED_FROM_SOUTH, 5), 3, "avg_distance_km"),
     "flow_kpis": _on_routes(flow.kpis),
     "flow_matrix": _on_routes(flow.matrix),
-    "flow_matrix_wide": _then(_on_routes(flow.matrix), lambda long: flow.matrix_wide(long, ["SP", "RJ", "AC"])),
+    "flow_matrix_wide": _then(_on_routes(flow.matrix), lambda long: flow.matrix_wide(long, [*STATE_CODES, "XX"])),
     "flow_top_routes": _round(_on_routes(flow.top_routes), 3, "avg_distance_km"),
     "flow_route_labels": _then(_on_routes(flow.top_routes), flow.route_labels),
     # Delivery
@@ -346,7 +347,7 @@ QUERIES: dict[str, Query] = {
     "installment_box_filtered": _on_orders(payments.installment_box, MANY),
     # Cohorts, reviews, funnel
     "cohort_retention": _on_orders(cohorts.retention),
-    "cohort_retention_wide": _then(_on_orders(cohorts.retention), lambda long: cohorts.retention_wide(long, [0, 1, 6])),
+    "cohort_retention_wide": _then(_on_orders(cohorts.retention), lambda long: cohorts.retention_wide(long, ALL_MONTHS)),
     "cohort_retention_window": _on_orders(cohorts.retention, WINDOW),
     "repeat_purchase_kpis": _on_orders(cohorts.repeat_kpis),
     "repeat_purchase_kpis_window": _on_orders(cohorts.repeat_kpis, SPRING),

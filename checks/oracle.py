@@ -211,6 +211,10 @@ def over_fact(select: str, *ctes: str) -> str:
     return "WITH " + ",".join([RAW, CENTROIDS, SUMMARIES, FACT, *ctes]) + "\n" + select
 
 
+# Columns of the wide forms: every state code of the raw customers, every month from the first purchase to the last.
+UFS = "RO AC AM RR PA AP TO MA PI CE RN PB PE AL SE BA MG ES RJ SP PR SC RS MS MT GO DF XX".split()
+MONTHS = 80
+
 # Conditions used by the queries.
 WINDOW = "order_purchase_timestamp >= DATE '1996-02-10' AND order_purchase_timestamp <= DATE '1999-08-05'"
 PICKED = """
@@ -569,10 +573,9 @@ ORACLE: dict[str, str] = {
         WHERE seller_state IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1, 2"""
     ),
     "flow_matrix_wide": over_fact(
-        """SELECT seller_state, count(DISTINCT order_id) FILTER (customer_state = 'SP') AS "SP",
-        count(DISTINCT order_id) FILTER (customer_state = 'RJ') AS "RJ",
-        count(DISTINCT order_id) FILTER (customer_state = 'AC') AS "AC" FROM fact
-        WHERE seller_state IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1"""
+        "SELECT seller_state, "
+        + ", ".join(f"""count(DISTINCT order_id) FILTER (customer_state = '{uf}') AS "{uf}\"""" for uf in UFS)
+        + " FROM fact WHERE seller_state IS NOT NULL AND customer_state IS NOT NULL GROUP BY 1"
     ),
     "flow_top_routes": over_fact(
         f"""SELECT seller_state, customer_state, order_count, gmv, avg_delay_days,
@@ -729,9 +732,9 @@ ORACLE: dict[str, str] = {
     # Cohorts, reviews, funnel
     "cohort_retention": over_fact(RETENTION, cohorts("true")),
     "cohort_retention_wide": over_fact(
-        f"""SELECT cohort_month, max(retention_pct) FILTER (months_since_first = 0) AS "0",
-        max(retention_pct) FILTER (months_since_first = 1) AS "1", max(retention_pct) FILTER (months_since_first = 6) AS "6"
-        FROM ({RETENTION}) r GROUP BY cohort_month""",
+        "SELECT cohort_month, "
+        + ", ".join(f'max(retention_pct) FILTER (months_since_first = {i}) AS "{i}"' for i in range(MONTHS))
+        + f" FROM ({RETENTION}) r GROUP BY cohort_month",
         cohorts("true"),
     ),
     "cohort_retention_window": over_fact(RETENTION, cohorts(WINDOW)),

@@ -22,10 +22,10 @@ def as_dict(df):
     return {(r["g"], r["measure"], r["prob"]): r["quantile"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("slices", [3, 256])
+@pytest.mark.parametrize("accuracy", [100, 10_000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, monkeypatch, slices, seed):
-    monkeypatch.setattr(quantiles, "SLICES", slices)
+def test_against_brute_force(spark, monkeypatch, accuracy, seed):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)  # 100: brackets are narrower than the groups
     rng = random.Random(seed)
     rows = []
     for _ in range(3000):
@@ -73,11 +73,48 @@ def test_box(spark):
     }
 
 
-def test_values_are_counted_in_one_pass(spark, tmp_path):
-    """All branches read one shuffle of the source, whatever the number of measures."""
+def test_only_values_inside_brackets_are_shuffled(spark, tmp_path):
+    """Of 400,000 values any shuffle gets less than one in two hundred."""
     path = str(tmp_path / "values")
-    spark.range(1000).selectExpr("id % 3 AS g", "rand(1) AS x", "rand(2) AS y").write.parquet(path)
-    df = medians(spark.read.parquet(path), ["g"], ["x", "y"])
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
-    assert plan.count("ReusedExchange") == 3
+    spark.range(0, 400_000, 1, 4).selectExpr("id % 2 AS g", "rand(1) * rand(2) AS x", "id AS y").write.parquet(path)
+    df = medians(spark.read.parquet(path), ["g"], ["x"])
+    (one, two) = sorted(df.collect())
+    values = spark.read.parquet(path).toPandas()
+    for row in (one, two):
+        assert row["median_x"] == float(np.quantile(values[values["g"] == row["g"]]["x"], 0.5)) and row["n"] == 200_000
+    written = []
+
+    def walk(node):
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            written.append(metrics.apply("shuffleRecordsWritten").value())
+        if "AdaptiveSparkPlan" in node.nodeName():
+            walk(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            walk(node.plan())
+        else:
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert len(written) > 3 and max(written) < 2000
+
+
+def test_weights(spark):
+    """A row of the order rollup counts once for each item, also for the brackets."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.gauss(0, 1), rng.choice([1, 1, 1, 2, 40])) for _ in range(2000)]
+    got = as_dict(exact_quantiles(spark.createDataFrame(rows, "g string, x double, items int"), ["g"], ["x"], PROBS))
+    for g in "ab":
+        values = [x for group, x, n in rows if group == g for _ in range(n)]
+        for prob in PROBS:
+            assert got[g, "x", prob] == pytest.approx(expected(values, prob), rel=1e-12, abs=1e-12)
+
+
+def test_a_missed_bracket_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "REACH", -40)  # brackets of nothing
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    df = spark.range(0, 10_000).selectExpr("1 AS g", "double(id) AS x")
+    with pytest.raises(Exception, match="outside its bracket"):
+        exact_quantiles(df, ["g"], ["x"], [0.5]).collect()
