@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketlens.functions.timing import month_start
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
 from marketlens.plans.quality import quality_checks
-from marketlens.plans.rollups import build_rollups, by_order
+from marketlens.plans.rollups import build_rollups, by_order, state_monthly
 from marketlens.plans.slices import SLICES
 from marketlens.session import discard, size_for, stage, stored_bytes, tune
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
-from marketlens.sources.tables import balanced, write_fact, write_table, write_tables
+from marketlens.sources.tables import MONTH_KEY, balanced, replace_months, write_fact, write_table, write_tables
 
 
 # So that the filter of the seller card skips row groups.
@@ -52,6 +55,44 @@ def prepare(
     return quality_checks(fact, raw["order_items"], raw["geolocation"], centroids, orders, late_share=late_share)
 
 
+def refresh(spark: SparkSession, raw_paths: Mapping[str, str] | str, folder: str, months: Iterable[date]) -> None:
+    """Bring the prepared tables in ``folder`` up to date for the orders bought in some months.
+
+    ``raw_paths`` has raw tables with all rows of these months' orders, whatever else they hold; ``months`` are given by their first day.
+    An order that moved needs both its months. Only the folders of these months are rewritten, in the fact, the order rollup and
+    the slices; the monthly rollup keeps its other rows, the rollups by category and seller are added up anew from the slices.
+    Positions of zip codes stay as they were stored, as do the Parquet copies of the raw tables.
+    """
+    folder, months = folder.rstrip("/"), sorted({month.replace(day=1) for month in months})
+    tune(spark)
+    raw = dict(read_raw(spark, raw_paths))
+    raw["orders"] = raw["orders"].where(month_start("order_purchase_timestamp").isin(*months))
+    centroids = spark.read.parquet(f"{folder}/geo_centroids.parquet")
+    side = stage(order_side(raw, centroids), "order_side")
+    # Built aside first: the counts of what is new come from tables, not from joins run once more.
+    staged = [side]
+    try:
+        items = stage(balanced_fact(raw, centroids, side), "refreshed_items")
+        staged.append(items)
+        fact = replace_months(balanced(items), f"{folder}/orders_enriched.parquet", months, "seller_id")
+        by_orders = stage(by_order(items, order_measures(side)), "refreshed_orders")
+        staged.append(by_orders)
+        replace_months(balanced(by_orders), f"{folder}/agg_order.parquet", months)
+        for name, make in SLICES.items():
+            rows = stage(make(fact), name)
+            staged.append(rows)
+            replace_months(balanced(rows), f"{folder}/{name}.parquet", months, *SORTED.get(name, ()))
+        monthly = spark.read.parquet(f"{folder}/agg_state_monthly.parquet")
+        merged = monthly.where(~F.col(MONTH_KEY).isin(*months)).unionByName(state_monthly(by_orders))
+        slices = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SLICES}
+        rollups = {**build_rollups(by_orders, slices), "agg_state_monthly": merged}
+        fresh = {name: stage(df, name) for name, df in rollups.items()}  # a table can't be replaced while it is read
+        staged += fresh.values()
+        write_tables(fresh, folder)
+    finally:
+        discard(*staged)
+
+
 def require(checks: DataFrame) -> None:
     """Raise if a check failed."""
     failed = [row["check"] for row in checks.where("NOT passed").collect()]  # a handful of rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def write_fact(df: DataFrame, path: str, *order: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replace_months(df: DataFrame, path: str, months: Iterable[date], *order: str) -> DataFrame:
+    """Write the rows of some months in place of what a table of ``write_fact`` has of them; other folders stay untouched.
+
+    New files are moved in when all are written, so a write that fails leaves the table as it was. Months that have no
+    rows any more lose their folder. Returns the rows of these months as stored.
+    """
+    spark, wanted = df.sparkSession, sorted(set(months))
+    rows = df.where(F.col(MONTH_KEY).isin(*wanted))
+    sorted_ = rows.sortWithinPartitions(MONTH_KEY, *order) if order else rows
+    sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)
+    left = {row[0] for row in rows.select(MONTH_KEY).distinct().collect()}  # at most the months asked for
+    for month in wanted:
+        if month not in left:
+            fs, folder = _files(spark, f"{path.rstrip('/')}/{MONTH_KEY}={month.isoformat()}")
+            fs.delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path).where(F.col(MONTH_KEY).isin(*wanted))
+
+
 def _files(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
