@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import hex_sha256, read, stage
+from marketlens.llm.common import hex_sha256, read
 from marketlens.session import new_table_path
 
 LEAST = 100
@@ -108,6 +109,12 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
     rows.write.options(**options).option("maxRecordsPerFile", RECORDS).text(path)
 
 
+def _stated(http: bytes) -> int | None:
+    """Length of the payload that the HTTP headers state; a revisit leaves the payload itself out."""
+    found = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", http)
+    return int(found.group(1)) if found else None
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at``, where it ends, and what is wrong with it."""
     head = data.find(b"\r\n\r\n", at)
@@ -135,7 +142,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         "record_type": kind, "record_id": headers.get(b"warc-record-id", b"").decode("latin-1"),
         "uri": headers.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
         "refers_to": headers[b"warc-refers-to"].decode("latin-1") if b"warc-refers-to" in headers else None,
-        "digest": digest.partition(":")[2], "payload": payload,
+        "digest": digest.partition(":")[2], "payload": payload, "full_bytes": _stated(http) if kind == "revisit" else len(payload),
     }
     return found, end + 4, ""
 
@@ -158,40 +165,6 @@ def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(parts), at - len(unpack.unused_data), "" if unpack.eof else "member cut off"
 
 
-def _members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """Offset, length and contents of every gzip member; without contents it is a gap.
-
-    What a damaged member unpacks to before the damage comes with the reason, and what follows it is a gap.
-    """
-    at, lost, reason = 0, -1, ""
-    while at < len(data):
-        found = data.find(MEMBER, at)
-        if found != at and lost < 0:
-            lost, reason = at, "no member"
-        if found < 0:
-            break
-        contents, end, wrong = _unpacked(data, found)
-        if not wrong:
-            if lost >= 0:
-                start = min(lost, found - 1)
-                yield start, found - start, None, reason
-                lost = -1
-            yield found, end - found, contents, ""
-            at = end
-            continue
-        whole = any(row["gap"] is None for row in _parsed(found, contents, wrong))
-        if whole and lost >= 0:
-            yield min(lost, found - 1), found - min(lost, found - 1), None, reason
-            lost = -1
-        if whole:
-            yield found, end - found, contents, wrong
-        if lost < 0:
-            lost, reason = min(end, len(data) - 1) if whole else found, "damaged member"
-        at = found + 1
-    if lost >= 0:
-        yield lost, len(data) - lost, None, reason
-
-
 def _parsed(member: int, contents: bytes, damage: str) -> Iterator[dict]:
     """Records and gaps of unpacked contents. Ahead of damage only what has a digest is known to be right."""
     at, lost, why = 0, -1, ""
@@ -215,23 +188,67 @@ def _parsed(member: int, contents: bytes, damage: str) -> Iterator[dict]:
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of a file; offsets are in the file, or in the unpacked member they name."""
-    parts = _members(data) if data.startswith(MEMBER[:2]) else [(-1, len(data), data, "")]
-    for member, size, contents, reason in parts:
-        if contents is None:
-            yield {"gap": reason, "member": None, "offset": member, "length": size}
-        else:
-            yield from _parsed(member, contents, reason)
+    """Records and gaps of a file; offsets are in the file (``member`` -1 or null), or in the unpacked member they name.
+
+    Whatever the file starts with, the search is for the next member or version line, so plain records, members and noise
+    may follow one another. What a damaged member unpacks to before the damage is kept, and what follows it is a gap. Inside
+    a gap only a member that holds a whole record, or nothing, ends it: others may be part of what was damaged.
+    """
+    size, at = len(data), 0
+    lost, why, side = -1, "", None  # where a gap began, its reason, -1 among plain records
+    among_records = not data.startswith(MEMBER[:2])
+    members, lines = -1, -1  # the next ones from ``at`` on, searched for once
+
+    def gap(end: int) -> Iterator[dict]:
+        if lost >= 0:
+            start = min(lost, end - 1)  # damage may be noticed only behind the next member's start
+            yield {"gap": why, "member": side, "offset": start, "length": end - start}
+
+    while at < size:
+        if members < at:
+            members = data.find(MEMBER, at) % (size + 1)  # the file's end if there is none
+        if lines < at:
+            lines = data.find(VERSION, at) % (size + 1)
+        place = min(members, lines)
+        if place > at and lost < 0:
+            plain = lines < members or (place == size and among_records)
+            lost, why, side = at, *(("no version line", -1) if plain else ("no member", None))
+        if place == size:
+            break
+        if place == lines:
+            record, end, wrong = parse_record(data, place)
+            if record:
+                yield from gap(place)
+                yield record | {"gap": None, "member": -1, "offset": place, "length": end - place}
+                lost, at, among_records = -1, end, True
+            else:
+                if lost < 0:
+                    lost, why, side = place, wrong, -1
+                at = place + 1
+            continue
+        contents, end, wrong = _unpacked(data, place)
+        rows = list(_parsed(place, contents, wrong))
+        whole = any(row["gap"] is None for row in rows)
+        if whole or (not wrong and (lost < 0 or not contents)):
+            yield from gap(place)
+            yield from rows
+            lost, at, among_records = -1, end, False
+        if wrong:
+            if lost < 0:
+                lost, why, side = (min(end, size - 1) if whole else place), "damaged member", None
+        if wrong or lost >= 0:
+            at = place + 1
+    yield from gap(size)
 
 
 FIELDS = pa.schema(
     [("file", pa.string()), ("member", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()),
      ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()),
-     ("digest", pa.string()), ("payload", pa.binary())]
+     ("digest", pa.string()), ("payload", pa.binary()), ("full_bytes", pa.int64())]
 )
 SALVAGED = (
     "file string, member long, offset long, length long, gap string, record_type string, record_id string, uri string, "
-    "refers_to string, digest string, payload binary"
+    "refers_to string, digest string, payload binary, full_bytes long"
 )
 BATCH_BYTES = 16 << 20
 
@@ -263,17 +280,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     def page(urn: str) -> Column:
         return F.nullif(F.regexp_extract(urn, "^<urn:x-page:(.*)>$", 1), F.lit("")).cast("long")
 
-    rows = stage(
-        back.select(
-            page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), "digest",
-            F.octet_length("payload").cast("long").alias("own_bytes"),
-        ),
-        "warc-rows",
-    )
-    # A revisit's payload is that of the response it refers to.
-    full = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("own_bytes").alias("bytes"))
-    return rows.join(full, F.col("refers_to") == F.col("of"), "left").select(
-        "page_id",
-        F.when(F.col("record_type") == "revisit", F.col("bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), "record_type", "refers_to",
-    )
+    return back.select(
+        page("record_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"),
+    )

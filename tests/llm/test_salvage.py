@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 
-from marketlens.llm.warc import salvage, write_archives
+from marketlens.llm.warc import op10_warc, salvage, write_archives
 
 
 def record(n: int, payload: bytes = b"", length: int | None = None) -> bytes:
@@ -89,3 +89,39 @@ def test_written_archives_lose_one_record(spark, tmp_path):
         ids, gaps = read(data[: second + 30] + b"\xff\xff\xff" + data[second + 33 :])
         assert len(ids) >= len(read(data)[0]) - 1 and gaps
     assert kept == 40
+
+
+def test_damage_at_the_first_byte():
+    members = [gzip.compress(record(i)) for i in range(4)]
+    ids, gaps = read(b"\0\0" + b"".join(members)[2:])
+    assert ids == ["1", "2", "3"] and gaps == [("no member", None, 0, len(members[0]))]
+    assert read(b"x" + b"".join(members)) == (["0", "1", "2", "3"], [("no member", None, 0, 1)])
+    ids, gaps = read(b"V" + record(0)[1:] + record(1))
+    assert ids == ["1"] and gaps == [("no version line", -1, 0, len(record(0)))]
+
+
+def test_plain_records_and_members_side_by_side():
+    data = gzip.compress(record(0)) + record(1) + gzip.compress(record(2)) + b"noise" + record(3) + b"tail"
+    ids, gaps = read(data)
+    assert ids == ["0", "1", "2", "3"]
+    assert gaps == [("no version line", -1, data.index(b"noise"), 5), ("no version line", -1, len(data) - 4, 4)]
+
+
+def test_members_in_a_payload_are_payload():
+    """A whole plain record may hold a gzip payload; in a damaged one it is part of the gap."""
+    inner = gzip.compress(b"not a record " * 9)
+    assert read(record(0, inner) + record(1)) == (["0", "1"], [])
+    damaged = record(0, inner).replace(b"HTTP/1.1 200 OK", b"HTTP/1.1 200 KO!")
+    ids, gaps = read(damaged + record(1))
+    assert ids == ["1"] and [g[2:] for g in gaps] == [(0, len(damaged))]
+
+
+def test_sizes_of_repeated_ids(spark, tmp_path):
+    """Rows that share an id or have none keep their own size, also those whose payload is stored elsewhere."""
+    a, b = "A" * 200, "B" * 5000
+    pages = [(1, a), (1, b), (2, a), (3, b), (None, a), (None, "short"), (4, None), (4, "é" * 99)]
+    spark.createDataFrame([(i, "u", html) for i, html in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in op10_warc(spark, str(tmp_path)).collect())
+    payloads = [(i or 0, (html or "").encode()) for i, html in pages]
+    assert [row[:3] for row in got] == sorted((i, len(p), hashlib.sha256(p).hexdigest()) for i, p in payloads)
+    assert [(row[0], row[1]) for row in got if row[3] == "revisit"] == [(2, 200), (3, 5000)]  # without an id: a response
