@@ -17,8 +17,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks.catalog import QUERIES
-from checks.testdata import build, build_order_rollup, build_order_side, raw_tables
+from checks.testdata import build, build_order_rollup, build_order_side, build_slice, raw_tables
 from marketlens.plans import job
+from marketlens.plans.slices import SLICES
 from marketlens.session import build_session, new_table_path
 from marketlens.sources.raw import RAW_SCHEMAS
 
@@ -58,6 +59,8 @@ def main() -> None:
     measure("build_order_side", lambda: build_order_side(spark, SF_DIR))
     measure("build_fact", lambda: build(spark, SF_DIR))
     measure("build_order_rollup", lambda: build_order_rollup(spark, SF_DIR))
+    for name in SLICES:
+        measure(f"build_{name}", lambda: build_slice(spark, SF_DIR, name))
     for name, query in QUERIES.items():
         measure(name, lambda: query(spark, SF_DIR).write.format("noop").mode("overwrite").save())
     spark.stop()

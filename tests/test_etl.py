@@ -194,9 +194,10 @@ def test_quality_of_an_empty_fact(shop, shop_orders, raw):
 
 
 def test_the_job_writes_every_table(spark, prepared):
+    from marketlens.plans.slices import SLICES
     from marketlens.sources.tables import table_names
 
-    expected = {*RAW_SCHEMAS, "geo_centroids", "orders_enriched", "agg_order",
+    expected = {*RAW_SCHEMAS, "geo_centroids", "orders_enriched", "agg_order", *SLICES,
                 "agg_state_monthly", "agg_category", "agg_seller"}
     assert set(table_names(spark, prepared[0])) == expected
 
