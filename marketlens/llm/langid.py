@@ -15,6 +15,8 @@ Cases. A null html, or one without text, has no text evidence. A page that decla
 null or malformed url, counts as declaring, or being at, the empty string. Documents without text or
 language teach nothing; without any labelled document ``lang`` is null. Languages that tie are taken in
 order. Pages that repeat an id are separate. Empty tables give no rows. Other columns are not looked at.
+Markup that is never closed is read in time in proportion to its length. References to characters that can't be
+give the replacement character.
 """
 
 from __future__ import annotations
@@ -37,19 +39,62 @@ SMOOTHING = 1.0
 SIZE = 64
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.DOTALL | re.IGNORECASE)
+HIDDEN = ("script", "style", "noscript", "template")
+OPENED = re.compile(rf"<(?:{'|'.join(f'({name})' for name in HIDDEN)})\b|<!--", re.IGNORECASE)
+CLOSED = [re.compile("-->"), *[re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in HIDDEN]]
 TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
-META = re.compile(r"""<meta\b[^>]*content-language[^>]*?\bcontent\s*=\s*["']?([A-Za-z]+)""", re.IGNORECASE)
+ZEROS = re.compile(r"(?:(?<=&#)0+(?=[0-9])|(?<=&#[xX])0+(?=[0-9a-fA-F]))")
+BEYOND = re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")  # no character has such a number
+LANGUAGE_OF = {  # value of the attribute, in a tag of that name
+    "html": re.compile(r"""\blang(?=\s*=\s*["']?([A-Za-z]+))""", re.IGNORECASE),
+    "meta": re.compile(r"""\bcontent(?=\s*=\s*["']?([A-Za-z]+))""", re.IGNORECASE),
+}
+STARTS = {name: re.compile(rf"<{name}\b", re.IGNORECASE) for name in LANGUAGE_OF}
+CONTENT_LANGUAGE = re.compile("content-language", re.IGNORECASE)
+
+
+def without_hidden(markup: str) -> str:
+    """Comments and elements that aren't shown become a blank. One scan: an end that isn't found once is not looked for again."""
+    kept, done, at, missing = [], 0, 0, set()
+    while opened := OPENED.search(markup, at):
+        at, kind = opened.end(), opened.lastindex or 0
+        closed = None if kind in missing else CLOSED[kind].search(markup, at)
+        if closed is None:
+            missing.add(kind)
+            continue
+        kept.append(markup[done : opened.start()])
+        done = at = closed.end()
+    return " ".join([*kept, markup[done:]])
 
 
 def visible_text(markup: str) -> str:
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup)))
+    shown = without_hidden(markup)
+    end = shown.rfind(">") + 1  # no tag ends beyond
+    text = TAG.sub(" ", shown[:end]) + shown[end:]
+    return entities.unescape(BEYOND.sub("\ufffd", ZEROS.sub("", text)))
+
+
+def _in_tags(markup: str, name: str) -> Iterator[tuple[int, int]]:
+    """Where the attributes of the tags of a name begin and end, each sign looked at once."""
+    at = 0
+    while found := STARTS[name].search(markup, at):
+        end = markup.find(">", found.end())
+        at = len(markup) if end < 0 else end
+        yield found.end(), at
 
 
 def declared_language(markup: str) -> str:
-    found = DECLARED.search(markup) or META.search(markup)
-    return found[1].lower() if found else ""
+    for start, end in _in_tags(markup, "html"):
+        if found := LANGUAGE_OF["html"].search(markup, start, end):
+            return found[1].lower()
+    for start, end in _in_tags(markup, "meta"):
+        # The value after the last mention of the language that has one after it.
+        values = [(found.start(), found[1]) for found in LANGUAGE_OF["meta"].finditer(markup, start, end)]
+        last = values[-1][0] if values else start
+        named = [found.end() for found in CONTENT_LANGUAGE.finditer(markup, start, last)]
+        if named:
+            return next(value for at, value in values if at >= named[-1]).lower()
+    return ""
 
 
 def _classes() -> np.ndarray:

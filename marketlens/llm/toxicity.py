@@ -3,7 +3,9 @@
 A disguised word is a lattice: every sign may stand for itself, for letters it looks like, for any
 letter (an asterisk) or for nothing (separators), and a run of one letter for one or two of it. Viterbi
 decoding takes the path that is likeliest under the channel and a character trigram model, which
-is counted over all documents. Runs of single letters are decoded as one word.
+is counted over all documents. Runs of single letters are decoded as one word. Decoded is every token that
+holds such signs and two different ones of them or of letters, and every word that mixes scripts; the plain
+letters of a word stay as a second reading. Numbers are none: digits with signs of number or money around.
 
 Features are the restored words and their beginnings, present or not. The classifier learns from at most
 ``LABELLED`` labelled documents, chosen by a hash of their id, never from held-out ones: the features
@@ -13,7 +15,8 @@ regression is fitted on them. Scoring is one pass over the documents.
 Cases. A null text is empty and gets the score of a document without any feature. A null doc_id is not
 held out. A label of null is no label; a document with several counts as toxic if one says so. Without
 labels of both kinds the score is their smoothed share. Rows that repeat a doc_id are scored each
-on its own. An empty table gives no rows. Other columns are not looked at.
+on its own. An empty table gives no rows. Other columns are not looked at. Decoding takes time in
+proportion to the length of a token, about a millisecond for an asterisk.
 """
 
 from __future__ import annotations
@@ -52,8 +55,10 @@ SPACED = re.compile(r"(?<!\w)[^\W_](?:[ ._\-*][^\W_]){2,}(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 TOKEN = re.compile(r"\S*")
 TAIL = re.compile(r"([*#%&$@!?.+])\1+$")
+NUMBER = re.compile(r"[\W_]*\d[\d.,:;/\-+()%$€£#*!?^=<>]*")
 
-COST_LOOK, COST_ANY, COST_DROP, COST_LOSE, COST_FOLD, COST_KEEP = -1.0, -2.0, -0.5, -9.0, -0.2, -6.0
+FLOOR = 0.05
+COST_LOOK, COST_ANY, COST_DROP, COST_LOSE, COST_FOLD, COST_KEEP, COST_PAIR = -1.0, -2.0, -0.5, -9.0, -0.2, -6.0, -15.0
 
 
 def _table() -> np.ndarray:
@@ -91,11 +96,24 @@ def language_model(docs: DataFrame) -> np.ndarray:
     p1 = one / one.sum()
     p2 = (two + 50 * p1) / (two.sum(axis=1, keepdims=True) + 50)
     p3 = (three + 20 * p2[None]) / (three.sum(axis=2, keepdims=True) + 20)
-    return np.log(p3).astype(np.float32)
+    # Rude words may be missing from a corpus: any letter keeps a share, so that the channel decides where the counts don't know.
+    return np.log((1 - FLOOR) * p3 + FLOOR / SIZE).astype(np.float32)
 
 
-def _lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For every run of a sign the strings it may stand for, with the channel's log probability."""
+def _longest(model: np.ndarray) -> int:
+    """How many letters a run of asterisks can gain by.
+
+    A letter costs at least COST_DROP - COST_ANY more than none, and letters after the run see others before
+    them for two steps only, so that a run of more letters than this is never on the likeliest path.
+    """
+    return int(2 * float(model.max() - model.min()) / (COST_DROP - COST_ANY)) + 1
+
+
+def _lattice(word: str, longest: int) -> list[list[tuple[str, float]]]:
+    """For every run of a sign the strings it may stand for, with the channel's log probability.
+
+    Of a run of asterisks no more than ``longest`` stand for letters.
+    """
     slots: list[list[tuple[str, float]]] = []
     for run in re.finditer(r"(.)\1*", word, re.DOTALL):
         sign, n = run[1], len(run[0])
@@ -108,20 +126,24 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
             else:
                 slots.append([(sign, COST_FOLD), (sign * 2, COST_FOLD)])
         elif letters:
-            options = [(c * k, COST_LOOK * (1 if n > 2 else n)) for c in letters for k in ((1, 2) if n > 1 else (1,))]
-            slots.append(options + [("", COST_LOSE)])
+            if n > 2:  # stress
+                slots.append([(c * k, COST_LOOK) for c in letters for k in (1, 2)] + [("", COST_LOSE)])
+            elif n == 2:  # as two equal letters, seldom one
+                slots.append([(c * k, COST_LOOK * 2 + (COST_PAIR if k == 1 else 0.0)) for c in letters for k in (1, 2)] + [("", 2 * COST_LOSE)])
+            else:
+                slots.append([(c, COST_LOOK) for c in letters] + [("", COST_LOSE)])
         elif sign == ANY:
-            slots += [[(c, COST_ANY) for c in ALPHABET] + [("", COST_DROP)]] * min(n, 8)
+            slots += [[(c, COST_ANY) for c in ALPHABET] + [("", COST_DROP)]] * min(n, longest)
         else:
             slots.append([("", COST_DROP)])
     return slots
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest word behind a disguised one."""
-    paths = {(0, 0): (0.0, "")}
-    for options in _lattice(word):
-        best: dict[tuple[int, int], tuple[float, str]] = {}
+def _decode_few(slots: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """Viterbi over the pairs of letters reached; a path is a chain of its strings."""
+    paths: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    for options in slots:
+        best: dict[tuple[int, int], tuple] = {}
         for (a, b), (score, path) in paths.items():
             for letters, cost in options:
                 total, x, y = score + cost, a, b
@@ -129,9 +151,69 @@ def decode(word: str, model: np.ndarray) -> str:
                     z = LETTER.get(c, 1)
                     total, x, y = total + float(model[x, y, z]), y, z
                 if (x, y) not in best or total > best[x, y][0]:
-                    best[x, y] = (total, path + letters)
+                    best[x, y] = (total, (path, letters))
         paths = best
-    return max((score + float(model[a, b, 0]), path) for (a, b), (score, path) in paths.items())[1]
+    path = max(((score + float(model[a, b, 0]), path) for (a, b), (score, path) in paths.items()), key=lambda p: p[0])[1]
+    made = []
+    while path is not None:
+        path, letters = path
+        made.append(letters)
+    return "".join(reversed(made))
+
+
+def _decode_any(slots: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The same over all pairs of letters at once, for words with signs that may be any letter."""
+    before, score = [], np.full((SIZE, SIZE), -np.inf, np.float32)
+    score[0, 0] = 0
+    for options in slots:
+        old, score = score, np.full((SIZE, SIZE), -np.inf, np.float32)
+        before.append(old)
+        reached = (old[:, :, None] + model).max(axis=0) if len(options) > 8 else None
+        for letters, cost in options:
+            if not letters:
+                np.maximum(score, old + np.float32(cost), out=score)
+                continue
+            first, last = LETTER.get(letters[0], 1), LETTER.get(letters[-1], 1)
+            column = (reached[:, first] if reached is not None else (old + model[:, :, first]).max(axis=0)) + np.float32(cost)
+            if len(letters) == 1:
+                score[:, first] = np.maximum(score[:, first], column)
+            else:
+                score[first, last] = max(score[first, last], (column + model[:, first, last]).max())
+    y, z = np.unravel_index(np.argmax(score + model[:, :, 0]), score.shape)
+    made = []
+    for options, old in zip(reversed(slots), reversed(before)):
+        ways = []  # into (y, z): score, the pair before, letters
+        for letters, cost in options:
+            codes = [LETTER.get(c, 1) for c in letters]
+            if not codes:
+                ways.append((old[y, z] + cost, y, z, letters))
+            elif codes == [z]:
+                column = old[:, y] + model[:, y, z]
+                ways.append((column.max() + cost, np.argmax(column), y, letters))
+            elif codes == [y, z]:
+                pairs = old + model[:, :, y] + model[:, y, z]
+                a, b = np.unravel_index(np.argmax(pairs), pairs.shape)
+                ways.append((pairs[a, b] + cost, a, b, letters))
+        _, y, z, letters = max(ways, key=lambda way: way[0])
+        made.append(letters)
+    return "".join(reversed(made))
+
+
+def decode(word: str, model: np.ndarray, longest: int | None = None) -> str:
+    """The likeliest word behind a disguised one."""
+    slots = _lattice(word, _longest(model) if longest is None else longest)
+    return (_decode_any if ANY in word else _decode_few)(slots, model)
+
+
+def _disguised(token: str) -> bool:
+    """Whether a token may hold letters under other signs: it has two different ones and is no number."""
+    signs = {c for c in token if c.isalpha() or c in LOOKS or c == ANY}
+    return len(signs) > 1 and not token.isalpha() and not NUMBER.fullmatch(token)
+
+
+def _mixed(word: str) -> bool:
+    """Whether a word of letters has look-alikes of another script among plain ones."""
+    return not word.isascii() and any(c in LOOKS for c in word) and any(c in LETTER for c in word)
 
 
 def restored_words(text: str, restore) -> set[str]:
@@ -142,13 +224,18 @@ def restored_words(text: str, restore) -> set[str]:
         word = token.strip(EDGE)
         if word.isalpha():
             found.add(word)
-            # Signs at an end may be letters, too: "a$$", "1diot".
-            if len(word) == len(token) or len(token) - len(word) > 2 and TAIL.search(token):
+            if _mixed(word):
+                found.add(restore(word))
+            if len(word) == len(token):
                 continue
-        token = TAIL.sub("", token).strip("\"'()[]{}<>.,;:?…«»“”‘’")
-        if token != word or not word.isalpha():
-            if sum(map(str.isalpha, token)) >= 2 and not token.isalpha():
-                found.add(restore(token))
+        # Signs at an end may be letters, too: "a$$", "1diot". Two equal ones are read with and without, more after a word are stress.
+        body = token.strip("\"'()[]{}<>.,;:?…«»“”‘’")
+        short = TAIL.sub("", body)
+        for form in {word, short, body} if len(body) - len(short) <= 2 or not word.isalpha() else {word, short}:
+            if form.isalpha():
+                found.add(form)
+            elif _disguised(form):
+                found.add(restore(form))
     end = 0
     for match in REPEATED.finditer(text):
         if match.start() >= end:
@@ -169,7 +256,7 @@ def features(words: set[str]) -> set[str]:
 
 
 def _restorer(model: np.ndarray):
-    return lru_cache(maxsize=100_000)(partial(decode, model=model))
+    return lru_cache(maxsize=100_000)(partial(decode, model=model, longest=_longest(model)))
 
 
 def held_out(doc_id: Column) -> Column:
