@@ -32,6 +32,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_row() -> Column:
+    """What tells apart the rows of a table that ``read`` gave, also where ids repeat or are missing; the same in every scan."""
+    return F.struct("_metadata.file_path", "_metadata.row_index")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -11,8 +11,8 @@ Document words don't move between tasks: shingles probe a broadcast index while
 ``BROADCAST_ROWS`` rows; to a larger one only their hashes and places are shuffled.
 
 Cases. A null text has no words, nor has one of separators only; such an item has no
-windows and such a document no hits. Rows that share a doc_id count as one document: its
-words are the most of any row, a position is hit if it is hit in any row. Repeated items
+windows and such a document no hits. Rows that share a doc_id, or have none, are documents of
+their own (``find_hits`` itself takes rows of one doc_id for one document). Repeated items
 count once; an item_id with several texts has the windows of all. A null item_id matches
 like any other and is left out of the list of ids. Empty tables give no rows, or no hits.
 Other columns are not looked at.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketlens.llm.common import hex_sha256, packed, read, release, stage, text_or_empty
+from marketlens.llm.common import hex_sha256, packed, read, release, stage, stored_row, text_or_empty
 
 WINDOW = 10
 SHINGLE = 5
@@ -157,10 +157,11 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    docs = read(spark, sf_dir, "documents").select(F.struct("doc_id", stored_row().alias("at")).alias("doc_id"), "text")
+    found = find_hits(docs, read(spark, sf_dir, "benchmark"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(
-        "doc_id",
+        "doc_id.doc_id",
         "n_words",
         _positions().alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),

@@ -117,23 +117,26 @@ def running(sums: DataFrame, group: str, bucket: str, value: str) -> DataFrame:
     return sums.select(group, bucket, F.coalesce(F.sum(value).over(before), F.lit(0)).alias("offset"))
 
 
-def mix(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The sources' plan, and the documents (row, size, sid, taken) with the words the mix takes of each."""
+def mix(docs: DataFrame, row: Column, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The sources' plan, and the documents (row, doc_id, size, sid, taken) with the words the mix takes of each.
+
+    ``row`` is a number that tells rows apart which share an id or have none; it orders them and shuffles the latter.
+    """
     spark = docs.sparkSession
-    sized = docs.withColumns({"size": n_words(F.col("text"))}).select("doc_id", "source", "size")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("row"))
     sized = stage(sized, "mix-sizes")
     plan = stage(with_stretches(targets(sized)), "mix-plan")
     slots = schedule(spark, plan.where("target > 0"))
 
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))).cast("binary"))
     known = sized.join(
         F.broadcast(plan.select("source", "sid", "source_size")) if plan.count() <= CELLS else plan.select("source", "sid", "source_size"),
         sized["source"].eqNullSafe(plan["source"]),
-    ).select("doc_id", sized["source"], "size", "sid", "source_size", shuffled.alias("h")).withColumn(
+    ).select("row", "doc_id", sized["source"], "size", "sid", "source_size", shuffled.alias("h")).withColumn(
         "bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     )
     buckets = running(known.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), "sid", "bucket", "n")
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "row")
     placed = stage(
         known.withColumns({
             "place": F.row_number().over(inside),
@@ -156,31 +159,27 @@ def mix(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
         .groupBy("sid", "bucket", "place").agg(F.sum("words").alias("taken"))
     )
     result = placed.join(taken, ["sid", "bucket", "place"], "left").select(
-        "doc_id", "source", "size", "source_size", "sid", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "row", "doc_id", "source", "size", "source_size", "sid", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     release(sized)
     return plan, result
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, to the nearest whole number.
+    """The documents as often as the mix takes them, each row to the nearest whole number.
 
-    Documents without words fill no block and stay once. Rows that repeat doc_id and source share what
-    is taken of them.
+    Documents without words fill no block and stay once.
     """
-    _, mixed = mix(docs)
-    copies = mixed.groupBy("doc_id", "source").agg(
-        F.when(F.sum("size") == 0, F.lit(1)).otherwise(F.round(F.sum("taken") / F.sum("size"))).cast("int").alias("n")
-    )
-    taken = copies.where("n > 0").select(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), F.col("n").alias("n_copies"))
-    rows = docs.select("doc_id", "source", packed(docs).alias("row"))
-    same = rows["doc_id"].eqNullSafe(taken["of_doc"]) & rows["source"].eqNullSafe(taken["of_source"])
-    repeated = rows.join(taken, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("n_copies"))))
-    return unpacked(repeated, "row", docs.columns)
+    rows = stage(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("at")), "mix-rows")
+    _, mixed = mix(rows.select("at", "doc.doc_id", "doc.source", "doc.text"), F.col("at"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    taken = mixed.select(F.col("row").alias("at"), copies.alias("copies")).where("copies > 0")
+    repeated = rows.join(taken, "at").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return unpacked(repeated, "doc", docs.columns)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, mixed = mix(read(spark, sf_dir, "documents"))
+    plan, mixed = mix(read(spark, sf_dir, "documents"), F.xxhash64("_metadata.file_name", "_metadata.row_index"))
     wanted = plan.select("sid", "target")
     return mixed.join(F.broadcast(wanted) if plan.count() <= CELLS else wanted, "sid").select(
         "doc_id", "size", "source_size", "target", "taken", "source"

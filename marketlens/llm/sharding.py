@@ -1,15 +1,16 @@
 """Sharding by histogram sort.
 
 Rows are ordered by a key, a hash of the text and then one of the doc_id, so copies of a
-text lie side by side and a large group of copies can still be cut. In every round one
+text lie side by side and a large group of copies can still be cut, also where they repeat an
+id or have none: the second hash takes in a number of the row. In every round one
 job counts the exact bytes between evenly spaced probes inside the interval that holds
 each undecided splitter; only these counts, at most shards x probes of them, come to the
 driver. A splitter is settled when the bytes below a probe are within the tolerance of
 its target. Then the rows are exchanged once.
 
-Cases. A null text has no bytes and the hash of an empty text. A null doc_id is a key of
-its own. Rows that repeat text and doc_id have one key and stay in one shard. A shard
-may stay empty when there are fewer keys than shards; an empty table gives no rows.
+Cases. A null text has no bytes and the hash of an empty text. Rows that repeat text and
+doc_id, or have no doc_id, are keys of their own and may lie in different shards. A shard
+may stay empty when there are fewer rows than shards; an empty table gives no rows.
 Other columns are carried along; ``shard`` and ``slot`` replace input columns of that name.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketlens.llm.common import packed, read, release, stage, text_or_empty, unpacked
+from marketlens.llm.common import packed, read, stage, stored_row, text_or_empty, unpacked
 
 SHARDS = 40
 PROBES = 1024
@@ -31,9 +32,9 @@ PIECES = 256  # of a shard, for numbering
 TOP = 2**63 - 1
 
 
-def key_columns(text: Column, doc_id: Column) -> tuple[Column, Column]:
-    """Two numbers of 63 bits."""
-    return F.shiftrightunsigned(F.xxhash64(text), 1), F.shiftrightunsigned(F.xxhash64(doc_id), 1)
+def key_columns(text: Column, doc_id: Column, row: Column) -> tuple[Column, Column]:
+    """Two numbers of 63 bits; ``row`` tells rows of one text and id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1), F.shiftrightunsigned(F.xxhash64(doc_id, row), 1)
 
 
 @dataclass(frozen=True)
@@ -134,19 +135,17 @@ def number(rows: DataFrame, *order: Column) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1, near equal bytes) and ``slot`` (from 0 in each shard)."""
-    k1, k2 = key_columns(text_or_empty(), F.col("doc_id"))
+    k1, k2 = key_columns(text_or_empty(), F.col("doc_id"), F.monotonically_increasing_id())
     size = F.octet_length(text_or_empty()).cast("long") + ROW_BYTES
-    keys = stage(docs.select(k1.alias("k1"), k2.alias("k2"), size.alias("size")), "shard-keys")
-    splitters = find_splitters(keys, shards)
-    release(keys)
-    rows = docs.select(packed(docs).alias("row"), k1.alias("k1"), k2.alias("k2")).withColumns(
-        {"shard": shard_of(F.col("k1"), F.col("k2"), splitters), "piece": F.col("k2") % PIECES}
-    )
+    # Written with the rows, as their numbers must not change between the count and the exchange.
+    keyed = stage(docs.select(packed(docs).alias("row"), k1.alias("k1"), k2.alias("k2"), size.alias("size")), "shard-rows")
+    splitters = find_splitters(keyed.drop("row"), shards)
+    rows = keyed.drop("size").withColumns({"shard": shard_of(F.col("k1"), F.col("k2"), splitters), "piece": F.col("k2") % PIECES})
     return unpacked(number(rows, F.col("k1"), F.col("k2")), "row", docs.columns, "shard", "slot")
 
 
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k1, k2 = key_columns(text_or_empty(), F.col("doc_id"))
+    k1, k2 = key_columns(text_or_empty(), F.col("doc_id"), stored_row())
     docs = read(spark, sf_dir, "documents")
     keys = stage(
         docs.select(

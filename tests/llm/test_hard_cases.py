@@ -84,7 +84,7 @@ def test_toxicity(hard_docs, hard_labels):
 
 
 def test_mix(hard_docs):
-    plan, mixed = mixing.mix(hard_docs)
+    plan, mixed = mixing.mix(hard_docs, F.monotonically_increasing_id())
     rows = mixed.collect()
     assert len(rows) == hard_docs.count()
     assert all(row["taken"] <= 2 * row["size"] for row in rows)
