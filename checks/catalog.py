@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.testdata import STATE_CODES, centroids, fact, order_rollup, raw_tables, table
+from checks.testdata import STATE_CODES, centroids, days, fact, order_rollup, raw_tables, table
 from marketlens.functions.text import pad_zip
 from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest, pick
 from marketlens.plans import (
@@ -85,6 +85,15 @@ def _on_orders(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *arg
     return run
 
 
+def _with_customers(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *args) -> Query:
+    """The same with customers counted by the stored bitmaps."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(coarsest(fact(spark, sf_dir), order_rollup(spark, sf_dir), spec), spec, *args, days=days(spark, sf_dir))
+
+    return run
+
+
 def _on_slice(groups: tuple[str, ...], plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *args) -> Query:
     """A plan over the coarsest stored table that its groups and conditions allow."""
     return lambda spark, sf_dir: plan(table(spark, sf_dir, pick(spec, *groups)), spec, *args)
@@ -238,7 +247,7 @@ def dim_state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_state_name(by_state.select("customer_state", F.col("order_count").alias("orders")))
 
 
-STATE_METRICS = _on_orders(geo.state_metrics)
+STATE_METRICS = _with_customers(geo.state_metrics)
 ROUTES = _on_routes(flow.routes)
 LEADERBOARD = _on_sellers(sellers.leaderboard)
 DELAYS = _on_orders(delivery.delay_by_state)
@@ -277,7 +286,7 @@ QUERIES: dict[str, Query] = {
         3,
         "distance_km",
     ),
-    "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(order_rollup(spark, sf_dir)),
+    "rollup_state_monthly": lambda spark, sf_dir: rollups.state_monthly(order_rollup(spark, sf_dir), days(spark, sf_dir)),
     "rollup_category": _on_categories(lambda df, spec: rollups.by_category(df)),
     "rollup_order": lambda spark, sf_dir: order_rollup(spark, sf_dir),
     "rollup_seller": _on_sellers(lambda df, spec: rollups.by_seller(df)),
@@ -299,7 +308,8 @@ QUERIES: dict[str, Query] = {
     "overview_kpis_filtered": _on_orders(overview.kpis, ALL_KEYS),
     "geo_state_metrics": STATE_METRICS,
     "geo_state_metrics_filtered": _on_orders(geo.state_metrics, MANY),
-    "geo_state_ranked": _on_orders(geo.ranked_states, ALL_ROWS, "unique_customers"),
+    "geo_state_metrics_window": _with_customers(geo.state_metrics, WINDOW),
+    "geo_state_ranked": _with_customers(geo.ranked_states, ALL_ROWS, "unique_customers"),
     "city_drilldown": _on_orders(geo.city_drilldown, ALL_ROWS, "SP", "gmv"),
     "city_top20": _on_orders(geo.ranked_cities, ALL_ROWS, "SP", "avg_review_score"),
     "city_extent": _round(_on_orders(geo.city_extent, ALL_ROWS, "SP"), 9, "center_lat", "center_lng"),

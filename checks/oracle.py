@@ -514,6 +514,9 @@ ORACLE: dict[str, str] = {
         ORDER BY gmv DESC NULLS LAST, customer_state LIMIT 5"""
     ),
     "geo_state_metrics": over_fact(f"SELECT customer_state, {GEO} FROM fact GROUP BY customer_state"),
+    "geo_state_metrics_window": over_fact(
+        f"SELECT customer_state, {GEO} FROM fact WHERE {WINDOW} GROUP BY customer_state"
+    ),
     "geo_state_metrics_filtered": over_fact(
         f"SELECT customer_state, {GEO} FROM fact WHERE {MANY} GROUP BY customer_state"
     ),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.text import pad_zip
 from marketlens.operators.filters import FACT
+from marketlens.plans.customers import customer_days, number_customers
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
 from marketlens.plans.job import SORTED
 from marketlens.plans.rollups import by_order
@@ -283,6 +284,24 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _slice_builders = {name: partial(build_slice, name=name) for name in SLICES}
 
 
+def build_customer_numbers(spark: SparkSession, sf_dir: str) -> str:
+    path = new_table_path(spark, "dim_customer")
+    number_customers(order_rollup(spark, sf_dir)).write.parquet(path)
+    return path
+
+
+def build_customer_days(spark: SparkSession, sf_dir: str) -> str:
+    path = new_table_path(spark, "agg_customer_day")
+    numbers = _stored(build_customer_numbers, spark, sf_dir)
+    write_fact(balanced(customer_days(order_rollup(spark, sf_dir), numbers)), path)
+    return path
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bitmaps of customers by state and day."""
+    return _stored(build_customer_days, spark, sf_dir)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table of the lattice by its name."""
     builders = {FACT: build, "agg_order": build_order_rollup, **_slice_builders}

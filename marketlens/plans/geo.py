@@ -8,6 +8,7 @@ from marketlens.functions.measures import grain_of
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import ascending, descending, largest
 from marketlens.operators.scaling import spatial_extent
+from marketlens.plans.customers import answers, with_customers
 
 METRICS = ("gmv", "order_count", "unique_customers", "avg_review_score")
 
@@ -18,20 +19,24 @@ def _checked(metric: str) -> str:
     return metric
 
 
-def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
+def _metrics(rows: DataFrame, *keys: str, customers: bool = True) -> DataFrame:
     m = grain_of(rows)
     return rows.groupBy(*keys).agg(
         m.mean("customer_lat").alias("lat"),
         m.mean("customer_lng").alias("lng"),
         m.orders().alias("order_count"),
-        m.customers().alias("unique_customers"),
+        *([m.customers().alias("unique_customers")] if customers else []),
         m.gmv().alias("gmv"),
         m.review().alias("avg_review_score"),
     )
 
 
-def state_metrics(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
-    return _metrics(apply_filters(fact, spec), "customer_state")
+def state_metrics(fact: DataFrame, spec: FilterSpec = FilterSpec(), days: DataFrame | None = None) -> DataFrame:
+    """``days``, the stored bitmaps of customers, spare the distinct count where the conditions allow it."""
+    rows = apply_filters(fact, spec)
+    if days is None or not answers(spec):
+        return _metrics(rows, "customer_state")
+    return with_customers(_metrics(rows, "customer_state", customers=False), days, spec, "customer_state")
 
 
 def city_metrics(fact: DataFrame, spec: FilterSpec, state: str) -> DataFrame:
@@ -43,9 +48,11 @@ def city_drilldown(fact: DataFrame, spec: FilterSpec, state: str, metric: str =
     return city_metrics(fact, spec, state).orderBy(*descending(_checked(metric)), *ascending("customer_city"))
 
 
-def ranked_states(fact: DataFrame, spec: FilterSpec = FilterSpec(), metric: str = "gmv") -> DataFrame:
+def ranked_states(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), metric: str = "gmv", days: DataFrame | None = None
+) -> DataFrame:
     """Every state with a value, largest first."""
-    bars = state_metrics(fact, spec).select("customer_state", _checked(metric)).dropna()
+    bars = state_metrics(fact, spec, days).select("customer_state", _checked(metric)).dropna()
     return bars.orderBy(*descending(metric), *ascending("customer_state"))
 
 

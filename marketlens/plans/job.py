@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.timing import month_start
+from marketlens.plans.customers import customer_days, new_numbers, number_customers
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
 from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order, state_monthly
@@ -51,7 +52,9 @@ def prepare(
     finally:
         discard(side)
     slices = {name: write_fact(balanced(make(fact)), f"{folder}/{name}.parquet", *SORTED.get(name, ())) for name, make in SLICES.items()}
-    write_tables(build_rollups(orders, slices), folder)
+    numbers = spark.read.parquet(write_table(number_customers(orders), folder, "dim_customer"))
+    days = write_fact(balanced(customer_days(orders, numbers)), f"{folder}/agg_customer_day.parquet")
+    write_tables(build_rollups(orders, slices, days), folder)
     return quality_checks(fact, raw["order_items"], raw["geolocation"], centroids, orders, late_share=late_share)
 
 
@@ -78,12 +81,19 @@ def refresh(spark: SparkSession, raw_paths: Mapping[str, str] | str, folder: str
         by_orders = stage(by_order(items, order_measures(side)), "refreshed_orders")
         staged.append(by_orders)
         replace_months(balanced(by_orders), f"{folder}/agg_order.parquet", months)
+        fresh_numbers = stage(new_numbers(by_orders, spark.read.parquet(f"{folder}/dim_customer.parquet")), "new_customers")
+        staged.append(fresh_numbers)
+        # Numbers are stored ahead of the bitmaps; if what follows fails they are merely not used yet.
+        fresh_numbers.write.mode("append").parquet(f"{folder}/dim_customer.parquet")
+        days = stage(customer_days(by_orders, spark.read.parquet(f"{folder}/dim_customer.parquet")), "refreshed_customers")
+        staged.append(days)
+        replace_months(balanced(days), f"{folder}/agg_customer_day.parquet", months)
         for name, make in SLICES.items():
             rows = stage(make(fact), name)
             staged.append(rows)
             replace_months(balanced(rows), f"{folder}/{name}.parquet", months, *SORTED.get(name, ()))
         monthly = spark.read.parquet(f"{folder}/agg_state_monthly.parquet")
-        merged = monthly.where(~F.col(MONTH_KEY).isin(*months)).unionByName(state_monthly(by_orders))
+        merged = monthly.where(~F.col(MONTH_KEY).isin(*months)).unionByName(state_monthly(by_orders, days))
         slices = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SLICES}
         rollups = {**build_rollups(by_orders, slices), "agg_state_monthly": merged}
         fresh = {name: stage(df, name) for name, df in rollups.items()}  # a table can't be replaced while it is read

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.measures import ITEMS, ORDER_VALUE, grain_of
+from marketlens.operators.filters import ALL_ROWS
+from marketlens.plans.customers import with_customers
 from marketlens.plans.slices import (
     CATEGORY,
     PLACE,
@@ -59,17 +61,18 @@ def by_order(fact: DataFrame, orders: DataFrame) -> DataFrame:
     return orders.select("order_id", *ORDER_ATTRIBUTES).join(sums, "order_id")
 
 
-def state_monthly(fact: DataFrame) -> DataFrame:
-    """From the fact or its order rollup."""
-    m = grain_of(fact)
-    return fact.groupBy("customer_state", "order_year_month").agg(
+def state_monthly(fact: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """From the fact or its order rollup; customers from the stored bitmaps ``days``, if given."""
+    m, keys = grain_of(fact), ("customer_state", "order_year_month")
+    figures = fact.groupBy(*keys).agg(
         m.orders().alias("order_count"),
-        m.customers().alias("unique_customers"),
+        *([m.customers().alias("unique_customers")] if days is None else []),
         m.gmv().alias("gmv"),
         m.mean("delay_days").alias("avg_delay_days"),
         m.late_rate().alias("late_rate"),
         m.review().alias("avg_review_score"),
     )
+    return figures if days is None else with_customers(figures, days, ALL_ROWS, *keys)
 
 
 def by_category(fact: DataFrame) -> DataFrame:
@@ -98,10 +101,10 @@ def by_seller(fact: DataFrame) -> DataFrame:
     )
 
 
-def build_rollups(orders: DataFrame, slices: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The small rollups by table name, from the stored order rollup and the stored slices."""
+def build_rollups(orders: DataFrame, slices: Mapping[str, DataFrame], days: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The small rollups by table name, from the stored order rollup, slices and bitmaps of customers."""
     return {
-        "agg_state_monthly": state_monthly(orders),
+        "agg_state_monthly": state_monthly(orders, days),
         "agg_category": by_category(slices["agg_order_category"]),
         "agg_seller": by_seller(slices["agg_order_seller"]),
     }

@@ -9,12 +9,15 @@ from pathlib import Path
 import pytest
 
 from checks.compare import normalized
+from marketlens.operators.filters import ALL_ROWS
 from marketlens.plans import job
+from marketlens.plans.customers import unique_customers
 from marketlens.plans.slices import SLICES
 from marketlens.sources import tables
 
-MONTHLY = ["orders_enriched", "agg_order", *SLICES]
-TABLES = [*MONTHLY, "agg_state_monthly", "agg_category", "agg_seller"]
+PLAIN = ["orders_enriched", "agg_order", *SLICES]
+MONTHLY = [*PLAIN, "agg_customer_day"]
+TABLES = [*PLAIN, "agg_state_monthly", "agg_category", "agg_seller"]
 
 
 def rows(spark, folder, name):
@@ -66,6 +69,16 @@ def test_equals_a_full_run(spark, refreshed, name):
     assert rows(spark, top / "kept", name) == rows(spark, top / "whole", name)
 
 
+def test_customers_after_a_refresh(spark, refreshed):
+    """Their numbers may differ from those of a full run, what is counted may not."""
+    kept, whole = (spark.read.parquet(f"{refreshed[0] / run}/agg_customer_day.parquet") for run in ("kept", "whole"))
+    for keys in ((), ("customer_state",), ("customer_state", "order_year_month")):
+        counted = [sorted(map(str, unique_customers(days, ALL_ROWS, *keys).collect())) for days in (kept, whole)]
+        assert counted[0] == counted[1]
+    numbers = spark.read.parquet(f"{refreshed[0] / 'kept'}/dim_customer.parquet")
+    assert numbers.count() == numbers.select("customer_no").distinct().count() == numbers.select("customer_unique_id").distinct().count()
+
+
 def test_rewrites_only_the_months(refreshed):
     _, before, after = refreshed
     other = {name: time for name, time in before.items() if "=2018-" in name}
