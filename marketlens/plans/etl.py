@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.spherical import haversine_km
 from marketlens.functions.timing import days_between, hours_between, month_start
+from marketlens.operators.commonest import commonest
 from marketlens.sources.tables import MONTH_KEY, balanced
 
 NULL_SALTS = 10_000
@@ -81,11 +82,13 @@ DERIVED_COLUMNS = [
 
 def group_centroids(points: DataFrame, key: str, lat: str, lng: str, city: str, state: str) -> DataFrame:
     """Mean position and commonest city and state per key; ties go to the smallest text."""
-    return points.groupBy(F.col(key).alias("zip")).agg(
-        F.avg(lat).alias("lat"),
-        F.avg(lng).alias("lng"),
-        F.mode(city, True).alias("city"),
-        F.mode(state, True).alias("state"),
+    placed = points.select(F.col(key).alias("zip"), F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.col(city).alias("city"), F.col(state).alias("state"))
+    totals = {name: total for c in ("lat", "lng") for name, total in ((f"{c}_sum", F.sum(c)), (f"{c}_n", F.count(c)))}
+    return commonest(placed, "zip", ["city", "state"], totals).select(
+        "zip",
+        *[F.try_divide(f"{c}_sum", f"{c}_n").alias(c) for c in ("lat", "lng")],
+        "city",
+        "state",
     )
 
 
@@ -112,11 +115,14 @@ def review_summary(order_reviews: DataFrame) -> DataFrame:
 
 def payment_summary(order_payments: DataFrame) -> DataFrame:
     """Paid sum, most instalments and commonest type per order."""
-    return order_payments.groupBy("order_id").agg(
-        F.sum("payment_value").alias("total_payment"),
-        F.max("payment_installments").alias("max_installments"),
-        F.mode("payment_type", True).alias("primary_payment_type"),
+    paid = commonest(
+        order_payments,
+        "order_id",
+        ["payment_type"],
+        {"total_payment": F.sum("payment_value"), "max_installments": F.max("payment_installments")},
+        {"max_installments": F.max},
     )
+    return paid.select("order_id", "total_payment", "max_installments", F.col("payment_type").alias("primary_payment_type"))
 
 
 def _located(df: DataFrame, zip_column: str, centroids: DataFrame, prefix: str, row_id: str) -> DataFrame:
