@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.testdata import STATE_CODES, centroids, days, fact, order_rollup, raw_tables, table
+from checks.testdata import STATE_CODES, centroids, days, fact, order_rollup, purchases, raw_tables, table
 from marketlens.functions.text import pad_zip
 from marketlens.operators.filters import ALL_ROWS, FilterSpec, all_options, apply_filters, coarsest, pick
 from marketlens.plans import (
@@ -94,6 +94,11 @@ def _with_customers(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS,
     return run
 
 
+def _on_histories(plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS) -> Query:
+    """A plan over the stored histories of the customers."""
+    return lambda spark, sf_dir: plan(purchases(spark, sf_dir), spec)
+
+
 def _on_slice(groups: tuple[str, ...], plan: Callable[..., DataFrame], spec: FilterSpec = ALL_ROWS, *args) -> Query:
     """A plan over the coarsest stored table that its groups and conditions allow."""
     return lambda spark, sf_dir: plan(table(spark, sf_dir, pick(spec, *groups)), spec, *args)
@@ -356,11 +361,11 @@ QUERIES: dict[str, Query] = {
     "installment_summary": _positioned(_on_orders(payments.bucket_summary)),
     "installment_box_filtered": _on_orders(payments.installment_box, MANY),
     # Cohorts, reviews, funnel
-    "cohort_retention": _on_orders(cohorts.retention),
-    "cohort_retention_wide": _then(_on_orders(cohorts.retention), lambda long: cohorts.retention_wide(long, ALL_MONTHS)),
-    "cohort_retention_window": _on_orders(cohorts.retention, WINDOW),
-    "repeat_purchase_kpis": _on_orders(cohorts.repeat_kpis),
-    "repeat_purchase_kpis_window": _on_orders(cohorts.repeat_kpis, SPRING),
+    "cohort_retention": _on_histories(cohorts.retention),
+    "cohort_retention_wide": _then(_on_histories(cohorts.retention), lambda long: cohorts.retention_wide(long, ALL_MONTHS)),
+    "cohort_retention_window": _on_histories(cohorts.retention, WINDOW),
+    "repeat_purchase_kpis": _on_histories(cohorts.repeat_kpis),
+    "repeat_purchase_kpis_window": _on_histories(cohorts.repeat_kpis, SPRING),
     "review_driver_rows": _round(_on_fact(reviews.driver_rows), 3, "seller_customer_distance_km"),
     "review_driver_medians": _round(_on_fact(reviews.driver_medians), 3, "median_seller_customer_distance_km"),
     "review_driver_box": _round(_on_fact(reviews.driver_boxes), 3, "mean", "min", "max", "q1", "median", "q3"),

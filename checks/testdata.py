@@ -18,6 +18,7 @@ from marketlens.functions.text import pad_zip
 from marketlens.operators.filters import FACT
 from marketlens.plans.customers import customer_days, number_customers
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
+from marketlens.plans.histories import customer_histories
 from marketlens.plans.job import SORTED
 from marketlens.plans.rollups import by_order
 from marketlens.plans.slices import SLICES
@@ -302,6 +303,17 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(build_customer_days, spark, sf_dir)
 
 
+def build_customer_histories(spark: SparkSession, sf_dir: str) -> str:
+    path = new_table_path(spark, "agg_customer")
+    customer_histories(order_rollup(spark, sf_dir)).write.parquet(path)
+    return path
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored histories of the customers."""
+    return _stored(build_customer_histories, spark, sf_dir)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table of the lattice by its name."""
     builders = {FACT: build, "agg_order": build_order_rollup, **_slice_builders}

@@ -1,4 +1,4 @@
-"""Customer cohorts and repeat purchases."""
+"""Customer cohorts and repeat purchases, from the fact, the order rollup or the stored histories of the customers."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.measures import ItemGrain, grain_of
 from marketlens.functions.timing import month_start, months_between_starts
 from marketlens.operators.filters import FilterSpec, apply_filters, in_date_range
+from marketlens.plans import histories
 
 CUSTOMER = "customer_unique_id"
 PURCHASE = "order_purchase_timestamp"
@@ -20,8 +21,10 @@ def activity(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
 
     The date range decides which purchase founds the cohort, not which months
     count, so both come from one pass: purchases are first folded to one row per
-    customer and month, and only those rows meet in a window.
+    customer and month, and only those rows meet in a window. Histories need none.
     """
+    if histories.HISTORY in fact.columns:
+        return histories.activity(fact, spec, CUSTOMER)
     rows = apply_filters(fact, spec.without_dates()).where(F.col(CUSTOMER).isNotNull())
     founding = reduce(lambda a, b: a & b, in_date_range(spec), F.lit(True))
     months = rows.groupBy(CUSTOMER, month_start(PURCHASE).alias("order_month")).agg(
@@ -54,8 +57,11 @@ def retention_wide(long: DataFrame, months: list[int]) -> DataFrame:
 
 def repeat_kpis(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Share of customers with more than one order, and their mean number of orders."""
-    by_customer = apply_filters(fact, spec).where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER)
-    per_customer = by_customer.agg(grain_of(fact).orders().alias("orders"))
+    if histories.HISTORY in fact.columns:
+        per_customer = histories.orders_per_customer(fact, spec)
+    else:
+        by_customer = apply_filters(fact, spec).where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER)
+        per_customer = by_customer.agg(grain_of(fact).orders().alias("orders"))
     returning = F.col("orders") > 1
     return per_customer.agg(
         F.count(F.lit(1)).alias("customers"),

@@ -60,14 +60,16 @@ def new_numbers(orders: DataFrame, known: DataFrame) -> DataFrame:
     return number_customers(orders.join(known.select(CUSTOMER), CUSTOMER, "left_anti"), last)
 
 
-def customer_days(orders: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Bitmaps of the customers by state and purchase day; reads the order rollup once.
+def until_midnight(ts: str) -> Column:
+    """The first midnight not before a purchase, as the last day of a date range ends at its midnight."""
+    day = F.to_date(ts)
+    return F.when(F.col(ts) == F.date_trunc("day", F.col(ts)), day).otherwise(F.date_add(day, 1))
 
-    ``until`` is the first midnight not before the purchase, as the last day of a date range ends at its midnight.
-    """
+
+def customer_days(orders: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Bitmaps of the customers by state and purchase day; reads the order rollup once."""
     day, number = F.to_date(PURCHASE), F.col(NUMBER)
-    until = F.when(F.col(PURCHASE) == F.date_trunc("day", F.col(PURCHASE)), day).otherwise(F.date_add(day, 1))
-    rows = orders.select(CUSTOMER, STATE, day.alias("day"), until.alias("until"), MONTH_KEY).join(numbers, CUSTOMER)
+    rows = orders.select(CUSTOMER, STATE, day.alias("day"), until_midnight(PURCHASE).alias("until"), MONTH_KEY).join(numbers, CUSTOMER)
     return rows.groupBy(STATE, "day", "until", F.bitmap_bucket_number(number).alias("bucket"), MONTH_KEY).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("customers")
     ).select(STATE, "day", "until", "bucket", "customers", MONTH_KEY)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.timing import month_start
 from marketlens.plans.customers import customer_days, new_numbers, number_customers
 from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
+from marketlens.plans.histories import customer_histories, merged_histories
 from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order, state_monthly
 from marketlens.plans.slices import SLICES
@@ -54,6 +55,7 @@ def prepare(
     slices = {name: write_fact(balanced(make(fact)), f"{folder}/{name}.parquet", *SORTED.get(name, ())) for name, make in SLICES.items()}
     numbers = spark.read.parquet(write_table(number_customers(orders), folder, "dim_customer"))
     days = write_fact(balanced(customer_days(orders, numbers)), f"{folder}/agg_customer_day.parquet")
+    write_table(customer_histories(orders), folder, "agg_customer")
     write_tables(build_rollups(orders, slices, days), folder)
     return quality_checks(fact, raw["order_items"], raw["geolocation"], centroids, orders, late_share=late_share)
 
@@ -63,7 +65,8 @@ def refresh(spark: SparkSession, raw_paths: Mapping[str, str] | str, folder: str
 
     ``raw_paths`` has raw tables with all rows of these months' orders, whatever else they hold; ``months`` are given by their first day.
     An order that moved needs both its months. Only the folders of these months are rewritten, in the fact, the order rollup and
-    the slices; the monthly rollup keeps its other rows, the rollups by category and seller are added up anew from the slices.
+    the slices; the monthly rollup and the customers' histories keep what they have of other months, the rollups by category and
+    seller are added up anew from the slices.
     Positions of zip codes stay as they were stored, as do the Parquet copies of the raw tables.
     """
     folder, months = folder.rstrip("/"), sorted({month.replace(day=1) for month in months})
@@ -95,7 +98,8 @@ def refresh(spark: SparkSession, raw_paths: Mapping[str, str] | str, folder: str
         monthly = spark.read.parquet(f"{folder}/agg_state_monthly.parquet")
         merged = monthly.where(~F.col(MONTH_KEY).isin(*months)).unionByName(state_monthly(by_orders, days))
         slices = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in SLICES}
-        rollups = {**build_rollups(by_orders, slices), "agg_state_monthly": merged}
+        histories = merged_histories(spark.read.parquet(f"{folder}/agg_customer.parquet"), by_orders, months)
+        rollups = {**build_rollups(by_orders, slices), "agg_state_monthly": merged, "agg_customer": histories}
         fresh = {name: stage(df, name) for name, df in rollups.items()}  # a table can't be replaced while it is read
         staged += fresh.values()
         write_tables(fresh, folder)

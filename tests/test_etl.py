@@ -198,7 +198,7 @@ def test_the_job_writes_every_table(spark, prepared):
     from marketlens.sources.tables import table_names
 
     expected = {*RAW_SCHEMAS, "geo_centroids", "orders_enriched", "agg_order", *SLICES,
-                "dim_customer", "agg_customer_day", "agg_state_monthly", "agg_category", "agg_seller"}
+                "dim_customer", "agg_customer_day", "agg_customer", "agg_state_monthly", "agg_category", "agg_seller"}
     assert set(table_names(spark, prepared[0])) == expected
 
 

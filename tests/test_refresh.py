@@ -79,6 +79,12 @@ def test_customers_after_a_refresh(spark, refreshed):
     assert numbers.count() == numbers.select("customer_no").distinct().count() == numbers.select("customer_unique_id").distinct().count()
 
 
+def test_histories_after_a_refresh(spark, refreshed):
+    """In any order of a customer's days."""
+    entries = [spark.read.parquet(f"{refreshed[0] / run}/agg_customer.parquet").selectExpr("customer_unique_id", "inline(history)") for run in ("kept", "whole")]
+    assert sorted(map(str, entries[0].collect())) == sorted(map(str, entries[1].collect())) != []
+
+
 def test_rewrites_only_the_months(refreshed):
     _, before, after = refreshed
     other = {name: time for name, time in before.items() if "=2018-" in name}
