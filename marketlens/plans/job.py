@@ -15,7 +15,7 @@ from marketlens.plans.histories import customer_histories, merged_histories
 from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order, state_monthly
 from marketlens.plans.slices import SLICES
-from marketlens.session import discard, size_for, stage, stored_bytes, tune
+from marketlens.session import JOIN_BYTES, discard, size_for, stage, stored_bytes, tune
 from marketlens.sources.raw import RAW_SCHEMAS, read_raw
 from marketlens.sources.tables import MONTH_KEY, balanced, replace_months, write_fact, write_table, write_tables
 
@@ -43,7 +43,7 @@ def prepare(
     folder = folder.rstrip("/")
     tune(spark)
     write_tables(read_raw(spark, raw_paths), folder)
-    size_for(spark, stored_bytes(spark, folder))
+    size_for(spark, stored_bytes(spark, folder), JOIN_BYTES)
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
     side = stage(order_side(raw, centroids), "order_side")

@@ -17,12 +17,15 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # What a file of a stored table is made from, compressed as in a shuffle.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512m",
+    # What a task reads and a file of a stored table is made from, compressed as in a shuffle. Rows take up to seven
+    # times as much when sorted, so that a task's share of the memory holds them.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "48m",
 }
 
 # Starting size of a shuffle partition, in bytes of the tables read.
 SHUFFLE_BYTES = 512 * 1024**2
+# The same where the fact is put together: a shuffle of items has about five times the bytes of their table.
+JOIN_BYTES = 16 * 1024**2
 
 _local_dirs: dict[str, str] = {}
 
@@ -58,13 +61,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_for(spark: SparkSession, input_bytes: int) -> SparkSession:
+def size_for(spark: SparkSession, input_bytes: int, shuffle_bytes: int | None = None) -> SparkSession:
     """Start shuffles with enough partitions for tables of this size; adaptive execution joins small ones.
 
     To be called once, at the start of a session or job.
     """
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(least, -(-input_bytes // SHUFFLE_BYTES))
+    partitions = max(least, -(-input_bytes // (shuffle_bytes or SHUFFLE_BYTES)))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
     return spark
 
