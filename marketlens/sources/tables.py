@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTH_KEY = "order_year_month"
+CODEC = "zstd"  # of the large tables: written once and read often
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> str:
@@ -34,7 +35,7 @@ def write_fact(df: DataFrame, path: str, *order: str) -> DataFrame:
     file, so that a filter on it skips row groups.
     """
     sorted_ = df.sortWithinPartitions(MONTH_KEY, *order) if order else df
-    sorted_.write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
+    sorted_.write.mode("overwrite").option("compression", CODEC).partitionBy(MONTH_KEY).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +48,8 @@ def replace_months(df: DataFrame, path: str, months: Iterable[date], *order: str
     spark, wanted = df.sparkSession, sorted(set(months))
     rows = df.where(F.col(MONTH_KEY).isin(*wanted))
     sorted_ = rows.sortWithinPartitions(MONTH_KEY, *order) if order else rows
-    sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)
+    writer = sorted_.write.mode("overwrite").option("compression", CODEC)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)
     left = {row[0] for row in rows.select(MONTH_KEY).distinct().collect()}  # at most the months asked for
     for month in wanted:
         if month not in left:

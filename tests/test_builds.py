@@ -8,6 +8,7 @@ from checks import testdata
 from checks.catalog import QUERIES
 from marketlens.plans import etl, rollups, slices
 from marketlens.session import JOIN_BYTES, RUNTIME_CONF, size_for
+from marketlens.sources import tables
 
 ON_ORDERS = ["installment_order_level", "overview_kpis_default", "geo_state_metrics", "geo_state_metrics_window"]
 ON_ROUTES = ["flow_matrix", "flow_matrix_wide", "flow_kpis"]
@@ -100,3 +101,14 @@ def test_shuffles_of_the_fact_start_with_more_partitions(spark):
         assert int(spark.conf.get(key)) == 6400
     finally:
         spark.conf.unset(key)
+
+
+def test_what_an_order_fixes_goes_first_in_the_shuffle_of_the_fact(spark, source):
+    raw, side = testdata.raw_tables(spark, source), testdata._stored(testdata.build_order_side, spark, source)
+    fact = etl.balanced_fact(raw, testdata._stored(testdata.build_centroids, spark, source), side)
+    plan = fact._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "RebalancePartitions":
+        plan = plan.children().head()
+    names = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    last = max(names.index(c) for c in names if c in side.columns or c == tables.MONTH_KEY)
+    assert last < min(names.index(c) for c in names if c in ("price", "seller_id", "product_id", "seller_lat"))
