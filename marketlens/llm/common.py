@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from marketlens.session import new_table_path
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("_noted", default=None)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -29,7 +35,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    if (made := _noted.get()) is not None:
+        made.append(staged)
+    return staged
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are staged inside, as the frame an operator returns may still read them."""
+    token = _noted.set(made := [])
+    try:
+        yield made
+    finally:
+        _noted.reset(token)
 
 
 def stored_row() -> Column:
@@ -46,11 +65,16 @@ def hex_sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def folders(df: DataFrame) -> set[str]:
+    """Of the files that ``df`` reads."""
+    return {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+
+
 def release(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        for folder in folders(df):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
