@@ -154,11 +154,12 @@ def mix(docs: DataFrame, row: Column, seed: int = 0) -> tuple[DataFrame, DataFra
         .select("sid", "bucket", "place", "begin", "finish", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("finish") - 1) / BLOCK))).alias("rank"))
     )
     overlap = F.least("finish", (F.col("rank") + 1) * BLOCK) - F.greatest("begin", F.col("rank") * BLOCK)
+    # Merged, as slots and documents grow with the input: what is small as a compressed shuffle takes ten times that of the driver when broadcast.
     taken = (
-        pieces.withColumn("words", overlap).join(slots, ["sid", "rank"])
+        pieces.withColumn("words", overlap).join(slots.hint("merge"), ["sid", "rank"])
         .groupBy("sid", "bucket", "place").agg(F.sum("words").alias("taken"))
     )
-    result = placed.join(taken, ["sid", "bucket", "place"], "left").select(
+    result = placed.join(taken.hint("merge"), ["sid", "bucket", "place"], "left").select(
         "row", "doc_id", "source", "size", "source_size", "sid", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
     release(sized)
