@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.timing import month_start
 from marketlens.plans.customers import customer_days, new_numbers, number_customers
-from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side
+from marketlens.plans.etl import balanced_fact, geo_centroids, order_measures, order_side, seller_side
 from marketlens.plans.histories import customer_histories, merged_histories
 from marketlens.plans.quality import quality_checks
 from marketlens.plans.rollups import build_rollups, by_order, state_monthly
@@ -46,12 +46,13 @@ def prepare(
     size_for(spark, stored_bytes(spark, folder), JOIN_BYTES)
     raw = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in RAW_SCHEMAS}
     centroids = spark.read.parquet(write_table(geo_centroids(raw["geolocation"]), folder, "geo_centroids"))
-    side = stage(order_side(raw, centroids), "order_side")
+    staged = [side := stage(order_side(raw, centroids), "order_side")]
     try:
-        fact = write_fact(balanced_fact(raw, centroids, side), f"{folder}/orders_enriched.parquet", "seller_id")
+        staged.append(sellers := stage(seller_side(raw, centroids), "seller_side"))
+        fact = write_fact(balanced_fact(raw, centroids, side, sellers), f"{folder}/orders_enriched.parquet", "seller_id")
         orders = write_fact(balanced(by_order(fact, order_measures(side))), f"{folder}/agg_order.parquet")
     finally:
-        discard(side)
+        discard(*staged)
     slices = {name: write_fact(balanced(make(fact)), f"{folder}/{name}.parquet", *SORTED.get(name, ())) for name, make in SLICES.items()}
     numbers = spark.read.parquet(write_table(number_customers(orders), folder, "dim_customer"))
     days = write_fact(balanced(customer_days(orders, numbers)), f"{folder}/agg_customer_day.parquet")
@@ -78,7 +79,9 @@ def refresh(spark: SparkSession, raw_paths: Mapping[str, str] | str, folder: str
     # Built aside first: the counts of what is new come from tables, not from joins run once more.
     staged = [side]
     try:
-        items = stage(balanced_fact(raw, centroids, side), "refreshed_items")
+        sellers = stage(seller_side(raw, centroids), "seller_side")
+        staged.append(sellers)
+        items = stage(balanced_fact(raw, centroids, side, sellers), "refreshed_items")
         staged.append(items)
         fact = replace_months(balanced(items), f"{folder}/orders_enriched.parquet", months, "seller_id")
         by_orders = stage(by_order(items, order_measures(side)), "refreshed_orders")

@@ -112,3 +112,20 @@ def test_what_an_order_fixes_goes_first_in_the_shuffle_of_the_fact(spark, source
     names = [plan.output().apply(i).name() for i in range(plan.output().size())]
     last = max(names.index(c) for c in names if c in side.columns or c == tables.MONTH_KEY)
     assert last < min(names.index(c) for c in names if c in ("price", "seller_id", "product_id", "seller_lat"))
+
+
+def initial_plan(spark, source: str, name: str, limit: str) -> str:
+    """How a slice is planned before it runs, in a session that has the tables it joins."""
+    testdata.table(spark, source, name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        return slices.SLICES[name](testdata._joined_items(spark, source))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", list(slices.SLICES))
+def test_items_are_not_shuffled_by_seller_for_a_small_table(spark, source, name):
+    # A limit far above the size of the sellers and below the product of it and that of the zip codes.
+    plan = initial_plan(spark, source, name, "65536")
+    assert "BroadcastHashJoin [seller_id" in plan and "SortMergeJoin [seller_id" not in plan
