@@ -7,7 +7,7 @@ order, or for those of them that share a seller, category or state. ``grain_of``
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,25 @@ ITEMS = "items"
 ORDER_VALUE = "order_value"
 # 1 on the row that counts its order, where a rollup has several rows of an order in a group.
 COUNTS = "counts_order"
+# Of an item that stands for several rows of the fact, as several sellers have its seller's id: how many.
+COPIES = "copies"
 
 
 def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def weighed(df: DataFrame) -> tuple[Callable[[Column], Column], Callable[[str | Column], Column]]:
+    """Count and sum over items, each as often as its ``COPIES`` say, if it has any."""
+    if COPIES not in df.columns:
+        return F.count, F.sum
+    copies = F.col(COPIES)
+    return (
+        lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), copies)), F.lit(0)),
+        lambda c: F.sum(_column(c).cast("double") * copies),
+    )
+
+
 class ItemGrain:
     """Rows are items."""
 

@@ -9,7 +9,7 @@ from marketlens.functions.measures import grain_of
 from marketlens.functions.text import grouped_number, or_not_available, plain_number, reais
 from marketlens.operators.filters import FilterSpec, apply_filters
 from marketlens.operators.ranking import largest
-from marketlens.plans.slices import order_route, sliced
+from marketlens.plans.slices import order_flow, order_route, sliced
 
 ROUTE = ["seller_state", "customer_state"]
 
@@ -44,8 +44,11 @@ def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 50)
 
     Orders are summed over routes, so one with sellers in two states counts twice.
     """
+    rows = sliced(apply_filters(fact, spec), order_flow)
+    m = grain_of(rows)
+    counted = rows.groupBy(*ROUTE).agg(m.orders().alias("order_count"), m.gmv().alias("gmv"))
     summed = (
-        routes(fact, spec, min_orders)
+        counted.where(F.col("order_count") >= min_orders)
         .withColumn("crosses", crosses_states())
         .groupingSets([["seller_state"], ["customer_state"], []], *ROUTE)
         .agg(
@@ -73,7 +76,7 @@ def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 50)
 
 def matrix(fact: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Orders of every route between known states, in long form."""
-    rows = sliced(apply_filters(fact, spec).dropna(subset=ROUTE), order_route)
+    rows = sliced(apply_filters(fact, spec).dropna(subset=ROUTE), order_flow)
     return rows.groupBy(*ROUTE).agg(grain_of(rows).orders().alias("order_count"))
 
 

@@ -21,7 +21,7 @@ from marketlens.sources.tables import MONTH_KEY, balanced, replace_months, write
 
 
 # So that the filter of the seller card skips row groups.
-SORTED = {"agg_order_seller": ("seller_id",)}
+SORTED = {"agg_order_seller": ("seller_id",), "agg_order_seller_id": ("seller_id",)}
 
 
 class QualityError(ValueError):

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.measures import ITEMS, ORDER_VALUE, grain_of
+from marketlens.functions.measures import ITEMS, ORDER_VALUE, grain_of, weighed
 from marketlens.operators.filters import ALL_ROWS
 from marketlens.plans.customers import with_customers
 from marketlens.plans.slices import (
@@ -57,7 +57,8 @@ def by_order(fact: DataFrame, orders: DataFrame) -> DataFrame:
     shuffling order ids, which is most of their cost on the fact. Only the id and two
     numbers of the items travel; the attributes come from ``orders`` (``etl.order_measures``).
     """
-    sums = fact.groupBy("order_id").agg(F.count(F.lit(1)).alias(ITEMS), F.sum("total_item_value").alias(ORDER_VALUE))
+    count, total = weighed(fact)
+    sums = fact.groupBy("order_id").agg(count(F.lit(1)).alias(ITEMS), total("total_item_value").alias(ORDER_VALUE))
     return orders.select("order_id", *ORDER_ATTRIBUTES).join(sums, "order_id")
 
 
@@ -90,12 +91,16 @@ def by_category(fact: DataFrame) -> DataFrame:
     )
 
 
-def by_seller(fact: DataFrame) -> DataFrame:
-    """From the fact or ``agg_order_seller``, keyed by seller and position; a missing position is a key too."""
+def by_seller(fact: DataFrame, sellers: DataFrame | None = None) -> DataFrame:
+    """From the fact or ``agg_order_seller``, keyed by seller and position; a missing position is a key too.
+
+    Or from ``agg_order_seller_id`` with ``sellers``, a ``seller_side``.
+    """
     return seller_figures(
         sliced(fact, order_seller),
         [*SELLER, *PLACE],
         late_share(1.0).alias("late_rate"),
+        sellers,
         avg_review_score="avg_review_score",
         avg_approval_wait_hours="approval_wait_hours",
     )

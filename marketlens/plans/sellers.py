@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,16 @@ from marketlens.operators.ranking import ascending, descending, largest, smalles
 from marketlens.plans.slices import SELLER, late_share, order_seller, seller_figures, sliced
 
 
-def _sellers(fact: DataFrame, spec: FilterSpec, min_orders: int) -> DataFrame:
-    """From the fact or ``agg_order_seller``."""
+def _sellers(fact: DataFrame, spec: FilterSpec, min_orders: int, sellers: DataFrame | None = None) -> DataFrame:
+    """From the fact or ``agg_order_seller``; with ``sellers``, a ``seller_side``, from ``agg_order_seller_id``."""
+    if sellers is not None and spec.seller_states:
+        sellers = sellers.where(F.col("seller_state").isin(*spec.seller_states))
+        spec = replace(spec, seller_states=())
     found = seller_figures(
         sliced(apply_filters(fact, spec), order_seller),
         SELLER,
         late_share(100.0).alias("late_pct"),
+        sellers,
         seller_lat="seller_lat",
         seller_lng="seller_lng",
         avg_review_score="avg_review_score",
@@ -26,13 +32,17 @@ def _sellers(fact: DataFrame, spec: FilterSpec, min_orders: int) -> DataFrame:
     return found.where(F.col("order_count") >= min_orders)
 
 
-def leaderboard(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
-    return _sellers(fact, spec, min_orders).orderBy(*descending("gmv"), *ascending(*SELLER))
+def leaderboard(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
+    return _sellers(fact, spec, min_orders, sellers).orderBy(*descending("gmv"), *ascending(*SELLER))
 
 
-def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
+def kpis(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
     """Means weigh each seller once."""
-    return _sellers(fact, spec, min_orders).agg(
+    return _sellers(fact, spec, min_orders, sellers).agg(
         F.count(F.lit(1)).alias("n_sellers"),
         F.sum("gmv").alias("total_gmv"),
         F.avg("avg_review_score").alias("avg_review_score"),
@@ -40,9 +50,11 @@ def kpis(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10)
     )
 
 
-def quadrants(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
+def quadrants(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
     """Sellers with score, lateness and value: flags, quadrant, size, short id."""
-    placed = _sellers(fact, spec, min_orders).dropna(subset=["avg_review_score", "late_pct", "gmv"])
+    placed = _sellers(fact, spec, min_orders, sellers).dropna(subset=["avg_review_score", "late_pct", "gmv"])
     return placed.select(
         "*",
         review_flag().alias("review_flag"),
@@ -53,9 +65,11 @@ def quadrants(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int
     )
 
 
-def display(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
+def display(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
     """Leaderboard as shown in a table."""
-    return leaderboard(fact, spec, min_orders).select(
+    return leaderboard(fact, spec, min_orders, sellers).select(
         short_id("seller_id", 12).alias("seller"),
         title_case("seller_city").alias("city"),
         F.col("seller_state").alias("state"),
@@ -70,13 +84,15 @@ def display(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int =
     )
 
 
-def spotlight(fact: DataFrame, seller_id: str, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
+def spotlight(
+    fact: DataFrame, seller_id: str, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
     """One seller's line of the leaderboard with its card texts.
 
     The id is a filter on the grouping key, so it reaches the scan; files are sorted by
     seller, so most row groups are skipped.
     """
-    chosen = _sellers(fact, spec, min_orders).where(F.col("seller_id") == seller_id)
+    chosen = _sellers(fact, spec, min_orders, sellers).where(F.col("seller_id") == seller_id)
     return chosen.select(
         "*",
         F.concat(title_case("seller_city"), F.lit(", "), F.col("seller_state")).alias("location"),
@@ -87,8 +103,10 @@ def spotlight(fact: DataFrame, seller_id: str, spec: FilterSpec = FilterSpec(),
     )
 
 
-def top5(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10) -> DataFrame:
-    best = largest(_sellers(fact, spec, min_orders), 5, "gmv", SELLER)
+def top5(
+    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, sellers: DataFrame | None = None
+) -> DataFrame:
+    best = largest(_sellers(fact, spec, min_orders, sellers), 5, "gmv", SELLER)
     return best.select(
         short_id("seller_id", 12).alias("seller"),
         "seller_city", "seller_state", "order_count", "gmv", "avg_review_score", "late_pct",
@@ -96,10 +114,14 @@ def top5(fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10)
 
 
 def worst5(
-    fact: DataFrame, spec: FilterSpec = FilterSpec(), min_orders: int = 10, problem_orders: int = 50
+    fact: DataFrame,
+    spec: FilterSpec = FilterSpec(),
+    min_orders: int = 10,
+    problem_orders: int = 50,
+    sellers: DataFrame | None = None,
 ) -> DataFrame:
     """Lowest review scores among sellers with enough orders."""
-    enough = _sellers(fact, spec, min_orders).where(F.col("order_count") >= problem_orders)
+    enough = _sellers(fact, spec, min_orders, sellers).where(F.col("order_count") >= problem_orders)
     worst = smallest(enough, 5, "avg_review_score", ["gmv"], SELLER)
     return worst.select(
         short_id("seller_id", 12).alias("seller"),
