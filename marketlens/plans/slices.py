@@ -35,13 +35,15 @@ ORDER_KEYS = [
     "delay_days",
     "is_late",
 ]
+# The same of pages that count orders and add up values by route.
+FLOW_KEYS = ["order_id", "customer_state", "order_status", "order_purchase_timestamp"]
 
 
-def _rows(fact: DataFrame, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+def _rows(fact: DataFrame, by: Sequence[str], sums: Sequence[str] = (), keys: Sequence[str] = ORDER_KEYS) -> DataFrame:
     """One row per order and value of ``by``; of ``sums``, which items differ in, total and number of values."""
     count, total = weighed(fact)
     totals = [c for name in sums for c in (total(name).alias(f"{name}_sum"), count(F.col(name)).alias(f"{name}_n"))]
-    grouped = fact.groupBy(*ORDER_KEYS, MONTH_KEY, *by).agg(
+    grouped = fact.groupBy(*keys, MONTH_KEY, *by).agg(
         count(F.lit(1)).alias(ITEMS), total("total_item_value").alias(ORDER_VALUE), *totals
     )
     return grouped.select(*[c for c in grouped.columns if c != MONTH_KEY], MONTH_KEY)  # names the folders when stored
@@ -79,7 +81,7 @@ def order_route(fact: DataFrame) -> DataFrame:
 
 def order_flow(fact: DataFrame) -> DataFrame:
     """The same without positions and distances, for which each seller has to be met."""
-    return _rows(fact, ["seller_state"])
+    return _rows(fact, ["seller_state"], keys=FLOW_KEYS)
 
 
 # Stored tables by name, with what makes them.
